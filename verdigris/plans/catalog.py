@@ -2,5 +2,6 @@
 
 from verdigris.plans import (  # noqa: F401
     admission_queries,
+    projection_queries,
 )
 from verdigris.plans.registry import QUERIES, SQL  # noqa: F401
