@@ -2,6 +2,8 @@
 
 from verdigris.plans import (  # noqa: F401
     admission_queries,
+    interval_queries,
+    join_queries,
     projection_queries,
 )
 from verdigris.plans.registry import QUERIES, SQL  # noqa: F401
