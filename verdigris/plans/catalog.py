@@ -2,6 +2,7 @@
 
 from verdigris.plans import (  # noqa: F401
     admission_queries,
+    aggregate_queries,
     interval_queries,
     join_queries,
     projection_queries,
