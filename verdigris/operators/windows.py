@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +15,15 @@ KEEP_MESSAGES = 8
 KEEP_CANDIDATES_PER_REVIEW = 8
 KEEP_CANDIDATES_PER_OWNER = 20
 CONTEXT_CHARS = 6_000
-CUT_MARKER = "…"
+CUT_MARKER = "…较早内容已省略…\n"
+USER_LABEL = "用户："
+ASSISTANT_LABEL = "助手："
 CONTEXT_TOKENS = 40_960
 SAFETY_TOKENS = 1_024
 MIN_OUTPUT_TOKENS = 512
 MAX_OUTPUT_TOKENS = 32_768
 FIXED_PROMPT_TOKENS = 2_048
 BLOCK_TOKENS = 32
-FAILURE_THRESHOLD = 3
-COOLDOWN_SECONDS = 30
 LOGIN_ATTEMPTS = 5
 LOGIN_WINDOW_SECONDS = 300
 JUDGE_BUDGET = 8
@@ -76,7 +75,7 @@ def context_key(finding_id: Column, file_id: Column, start: Column, end: Column,
 def conversation_context(messages: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Recent conversation of each context as one text: the last eight messages, cut from the left."""
     recent = keep_last_n(messages, keys, order, KEEP_MESSAGES)
-    line = F.concat(F.col("role"), F.lit(": "), F.col("content"))
+    line = F.concat(F.when(F.col("role") == "user", USER_LABEL).otherwise(ASSISTANT_LABEL), F.col("content"))
     joined = recent.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, line.alias("line")))).alias("_lines"))
     text = F.array_join(F.transform("_lines", lambda item: item["line"]), "\n")
     cut = F.when(F.length("_text") > CONTEXT_CHARS, F.concat(F.lit(CUT_MARKER), F.right("_text", F.lit(CONTEXT_CHARS)))).otherwise(F.col("_text"))
@@ -102,7 +101,8 @@ def fit_context(
     base = F.lit(fixed_tokens) + estimate_tokens("target_code") + BLOCK_TOKENS
     sized = chunks.withColumn("base_tokens", base)
     most = available // (BLOCK_TOKENS + 1) + 1
-    head = first_n(refs, ["chunk_id"], [F.col("rank"), F.col("path"), F.col("start_line")], most, "position")
+    order = [F.col(name) for name in ("rank", "path", "start_line", "end_line", "code")]
+    head = first_n(refs, ["chunk_id"], order, most, "position")
     label = F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
     costed = head.withColumn("cost", estimate_tokens(F.concat(label, F.col("code"))) + BLOCK_TOKENS)
     running = Window.partitionBy("chunk_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -158,82 +158,6 @@ def undoable_revision(revisions: DataFrame, files: DataFrame) -> DataFrame:
     return newest.join(same, ["review_id", "file_id", "after_sha256"], "left_semi")
 
 
-def failure_streaks(
-    attempts: DataFrame,
-    threshold: int = FAILURE_THRESHOLD,
-    cooldown_seconds: int = COOLDOWN_SECONDS,
-    slice_seconds: int = 3600,
-) -> DataFrame:
-    """Add ``streak`` and ``circuit_open`` after each attempt of an endpoint.
-
-    Failures add up, a success clears them, ``outcome = 'neutral'`` changes nothing; at ``threshold`` the
-    circuit opens, and the first attempt later than the cooldown after the last failure finds it closed.
-
-    An endpoint may hold most of the log, so it is worked in time slices: each slice reports where it ends
-    for every possible start, the short list of slices is chained, then each slice is replayed from its known
-    start. ``attempts``: endpoint, attempt_id, started_at, outcome (ok, failed, neutral).
-    """
-    cooldown = cooldown_seconds * 1_000_000
-    rows = attempts.select(
-        "endpoint", "attempt_id", F.unix_micros("started_at").alias("at"), "outcome", time_slice(F.col("started_at"), slice_seconds).alias("slice")
-    )
-
-    def replay(batch: pd.DataFrame, streak: int, opened: float | None) -> tuple[list[int], list[bool]]:
-        streaks, open_after = [], []
-        for at, outcome in zip(batch["at"], batch["outcome"]):
-            if opened is not None and at - opened > cooldown:
-                streak, opened = 0, None
-            if outcome == "ok":
-                streak, opened = 0, None
-            elif outcome == "failed":
-                streak += 1
-                opened = at if streak >= threshold else None
-            streaks.append(streak)
-            open_after.append(opened is not None)
-        return streaks, open_after
-
-    def ordered(batch: pd.DataFrame) -> pd.DataFrame:
-        return batch.sort_values(["at", "attempt_id"], kind="stable")
-
-    def ends(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = ordered(batch)
-        before = None if pd.isna(batch["last_failure"].iloc[0]) else int(batch["last_failure"].iloc[0])
-        results = []
-        for start in range(threshold + 1):
-            streaks, _ = replay(batch, start, before if start >= threshold else None)
-            results.append(min(streaks[-1], threshold))
-        return pd.DataFrame({"endpoint": [batch["endpoint"].iloc[0]], "slice": [batch["slice"].iloc[0]], "ends": [results]})
-
-    def label(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = ordered(batch)
-        before = None if pd.isna(batch["last_failure"].iloc[0]) else int(batch["last_failure"].iloc[0])
-        start = int(batch["start"].iloc[0])
-        streaks, open_after = replay(batch, start, before if start >= threshold else None)
-        out = batch[["endpoint", "attempt_id"]].copy()
-        out["streak"], out["circuit_open"] = streaks, open_after
-        return out
-
-    slices = rows.groupBy("endpoint", "slice").agg(F.max(F.when(F.col("outcome") == "failed", F.col("at"))).alias("_failure"))
-    earlier = Window.partitionBy("endpoint").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    known = slices.select("endpoint", "slice", F.max("_failure").over(earlier).alias("last_failure"))
-    endpoint_type = dict(attempts.dtypes)["endpoint"]
-    placed = rows.join(known, ["endpoint", "slice"])
-    transitions = placed.groupBy("endpoint", "slice").applyInPandas(ends, f"endpoint {endpoint_type}, slice bigint, ends array<int>")
-    chained = transitions.groupBy("endpoint").agg(F.sort_array(F.collect_list(F.struct("slice", "ends"))).alias("_steps"))
-    starts = F.aggregate(
-        "_steps",
-        F.array(F.lit(0)),
-        lambda done, step: F.array_append(done, F.element_at(step["ends"], F.element_at(done, -1) + 1)),
-    )
-    begin = chained.select("endpoint", F.explode(F.arrays_zip(F.transform("_steps", lambda step: step["slice"]).alias("slice"), starts.alias("start"))).alias("item"))
-    begin = begin.select("endpoint", "item.slice", "item.start").where(F.col("slice").isNotNull())
-    return (
-        placed.join(begin, ["endpoint", "slice"])
-        .groupBy("endpoint", "slice")
-        .applyInPandas(label, f"endpoint {endpoint_type}, attempt_id bigint, streak int, circuit_open boolean")
-    )
-
-
 def rate_limit(
     attempts: DataFrame, allowed: int = LOGIN_ATTEMPTS, window_seconds: int = LOGIN_WINDOW_SECONDS, slice_seconds: int = 3600
 ) -> DataFrame:

@@ -312,8 +312,8 @@ def _(t: Tables):
     with_views(FILES_SQL)
     + """
     , runs AS (SELECT review_id, CASE WHEN language IN ('en', 'es') THEN 'python' ELSE 'cpp' END AS language, language <> 'fr' AS available, file_id % 13 = 0 AS failed FROM files)
-    SELECT review_id, language, CASE WHEN language = 'cpp' THEN 'compiler' WHEN bool_and(available AND NOT failed) THEN 'linter' ELSE 'python-ast' END AS analyzer,
-      language = 'python' OR bool_and(available AND NOT failed) AS available, NOT bool_and(available AND NOT failed) AS fallback FROM runs GROUP BY ALL""",
+    SELECT review_id, language, CASE WHEN language = 'cpp' THEN 'compiler' WHEN bool_and(runs.available AND NOT failed) THEN 'linter' ELSE 'python-ast' END AS analyzer,
+      (language = 'python' OR bool_and(runs.available AND NOT failed)) AS available, NOT bool_and(runs.available AND NOT failed) AS fallback FROM runs GROUP BY review_id, language""",
 )
 def _(t: Tables):
     python = F.col("language").isin("en", "es")

@@ -6,5 +6,6 @@ from verdigris.plans import (  # noqa: F401
     interval_queries,
     join_queries,
     projection_queries,
+    window_queries,
 )
 from verdigris.plans.registry import QUERIES, SQL  # noqa: F401
