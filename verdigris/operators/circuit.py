@@ -46,11 +46,11 @@ def failure_streaks(
     the state of the current one. ``attempts``: endpoint, attempt_id, started_at, outcome (ok, failed, neutral).
     """
     cooldown = cooldown_seconds * 1_000_000
-    columns = ["endpoint", "slice", "at", "outcome", "last_failure"]
+    columns = ["endpoint", "slice", "at", "outcome"]
 
     def walk(batch: pd.DataFrame, *more: str) -> Iterator[tuple]:
-        frame = batch.astype({"last_failure": object}).where(batch["last_failure"].notna(), None)
-        return zip(*[frame[name].tolist() for name in (*columns, *more)])
+        before = [None if pd.isna(value) else int(value) for value in batch["last_failure"].tolist()]
+        return zip(*[batch[name].tolist() for name in columns], before, *[batch[name].tolist() for name in more])
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["endpoint", "slice", "ends", "carries"]
