@@ -3,6 +3,7 @@
 from verdigris.plans import (  # noqa: F401
     admission_queries,
     aggregate_queries,
+    code_queries,
     interval_queries,
     join_queries,
     projection_queries,
