@@ -7,6 +7,7 @@ from verdigris.plans import (  # noqa: F401
     interval_queries,
     join_queries,
     projection_queries,
+    sink_queries,
     stream_queries,
     window_queries,
 )
