@@ -119,16 +119,16 @@ def rename_consensus(drafts: DataFrame, facts: DataFrame, files: DataFrame) -> D
         _methods(symbols, facts).select("sha256", "symbol", F.col("class_name").alias("_class"), F.col("bases").alias("_bases")), ["sha256", "symbol"], "left"
     )
     asked = with_class.where("old_name IS NOT NULL AND _class IS NOT NULL").select("review_id", "file_id", "name", "def_line", "position", "_class", "_bases").distinct()
-    by_base = asked.withColumn("class_name", F.explode("_bases")).join(family, ["review_id", "class_name", "name", "position"])
+    key = ["review_id", "file_id", "name", "def_line"]
+    by_base = asked.withColumn("class_name", F.explode("_bases")).join(_named_by(family, "class_name"), ["review_id", "class_name", "name", "position"])
     by_child = asked.join(
-        family.withColumn("_base", F.explode("bases")).withColumnRenamed("_base", "_class"), ["review_id", "_class", "name", "position"]
+        _named_by(family.withColumn("_class", F.explode("bases")), "_class"), ["review_id", "_class", "name", "position"]
     )
-    key = ["review_id", "file_id", "name", "def_line"]
+    own = F.struct(F.col("file_id").alias("_file"), F.col("def_line").alias("_line"))
     votes = (
-        by_base.select(*key, "_file", "_line", "parameter")
-        .unionByName(by_child.select(*key, "_file", "_line", "parameter"))
-        .where(~((F.col("_file") == F.col("file_id")) & (F.col("_line") == F.col("def_line"))))
-        .where(F.col("parameter").rlike(SNAKE_CASE))
+        by_base.select(*key, "parameter", "_low", "_high")
+        .unionByName(by_child.select(*key, "parameter", "_low", "_high"))
+        .where((F.col("_low") != own) | (F.col("_high") != own))
         .groupBy(*key)
         .agg(F.min("parameter").alias("_low"), F.max("parameter").alias("_high"))
     )
@@ -146,6 +146,19 @@ def rename_consensus(drafts: DataFrame, facts: DataFrame, files: DataFrame) -> D
     )
 
 
+def _named_by(family: DataFrame, class_column: str) -> DataFrame:
+    """Snake-case names per class, method and position, each once, with the first and last place that uses it.
+
+    Two places are enough to tell whether anything but the asking method itself uses the name.
+    """
+    place = F.struct("_file", "_line")
+    return (
+        family.where(F.col("parameter").rlike(SNAKE_CASE))
+        .groupBy("review_id", class_column, "name", "position", "parameter")
+        .agg(F.min(place).alias("_low"), F.max(place).alias("_high"))
+    )
+
+
 def _methods(symbols: DataFrame, facts: DataFrame) -> DataFrame:
     """Functions directly inside a class, with the class's name and bases."""
     classes = symbols.where("is_class").select(
@@ -171,16 +184,17 @@ def rename_callsites(plans: DataFrame, facts: DataFrame, files: DataFrame) -> Da
     wanted = plans.where("naming_code = 'verified'").select("draft_id", "review_id", "file_id", "sha256", "symbol", "name", "old_name", "new_name")
     hashes = files.select("review_id", F.col("file_id").alias("_file"), "sha256")
     keywords = hashes.join(kind(facts, "keyword", name="name", keyword="detail", line="line"), "sha256").drop("sha256")
-    key = ["review_id", "name"]
-    passed = F.col("keyword") == F.col("old_name")
+    passed = (
+        keywords.where("keyword <> '**'")
+        .groupBy("review_id", "name", F.col("keyword").alias("old_name"))
+        .agg(F.count(F.lit(1)).alias("callsites"), F.min("_file").alias("_first"), F.max("_file").alias("_last"))
+    )
+    spread = keywords.where("keyword = '**'").select("review_id", "name", F.lit(True).alias("_spread")).distinct()
+    elsewhere = (F.col("_first") != F.col("file_id")) | (F.col("_last") != F.col("file_id"))
     sites = (
-        wanted.join(keywords, key)
-        .groupBy("draft_id")
-        .agg(
-            F.count_if(passed).alias("callsites"),
-            F.max(F.col("keyword") == "**").alias("_spread"),
-            F.max(passed & (F.col("_file") != F.col("file_id"))).alias("_elsewhere"),
-        )
+        wanted.join(passed, ["review_id", "name", "old_name"], "left")
+        .join(spread, ["review_id", "name"], "left")
+        .select("draft_id", "callsites", "_spread", elsewhere.alias("_elsewhere"))
     )
     reflected = hashes.join(kind(facts, "reflection", text="name"), "sha256").select("review_id", "text").distinct()
     either = wanted.select("draft_id", "review_id", F.explode(F.array("name", "old_name")).alias("text"))

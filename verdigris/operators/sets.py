@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.operators.running import running_totals
+
 
 def shared(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.select(*keys).intersect(right.select(*keys))
@@ -24,11 +26,14 @@ def arrays_share(left: Column, right: Column) -> Column:
     return F.coalesce(F.arrays_overlap(left, right), F.lit(False))
 
 
-def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """Each value once per key, numbered by where it first occurred."""
-    first = df.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_first"))
-    position = F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))
-    return first.withColumn("position", position).drop("_first")
+def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str, slice_size: int = 65_536) -> DataFrame:
+    """Each value once per key, numbered by where it first occurred. ``order`` is a number, unique per row.
+
+    A key with very many values is numbered in slices of ``order``.
+    """
+    first = df.groupBy(*keys, value).agg(F.min(order).alias("_first"))
+    numbered = running_totals(first, keys, [F.col("_first")], F.floor(F.col("_first") / slice_size), {"position": F.lit(1)})
+    return numbered.drop("_first")
 
 
 def set_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

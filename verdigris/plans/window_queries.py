@@ -415,7 +415,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     hosts = t.paths.withColumn("host", F.regexp_extract("path", "^[^/]*", 0))
-    return sets.ordered_distinct(hosts, ["review_id"], "host", ["page_id"])
+    return sets.ordered_distinct(hosts, ["review_id"], "host", "page_id")
 
 
 @query(
