@@ -222,15 +222,13 @@ def locate_evidence(drafts: DataFrame, files: DataFrame) -> DataFrame:
     end_column = F.when(whole, F.instr(from_text, F.col("_quote")) + F.length("_quote")).otherwise(
         F.instr(final_line, F.col("_last")) + F.length("_last")
     )
-    found = placed.where(whole | ((F.col("_first_at") > 0) & (F.instr(final_line, F.col("_last")) > 0)))
     kept = [name for name in drafts.columns if name not in ("start_line", "end_line", "start_column", "end_column")]
-    return found.select(
-        *kept,
-        F.col("_from").alias("start_line"),
-        start_column.alias("start_column"),
-        F.col("_to").alias("end_line"),
-        end_column.alias("end_column"),
+    place = F.struct(
+        F.col("_from").alias("start_line"), start_column.alias("start_column"), F.col("_to").alias("end_line"), end_column.alias("end_column")
     )
+    complete = whole | ((F.col("_first_at") > 0) & (F.instr(final_line, F.col("_last")) > 0))
+    # Exploding the place instead of filtering on it keeps the searches from being copied into a pushed-down filter.
+    return placed.select(*kept, F.explode(F.when(complete, F.array(place))).alias("_place")).select(*kept, "_place.*")
 
 
 def shift_spans(spans: DataFrame, edits: DataFrame, keys: list[str], on_overlap: str = "drop") -> DataFrame:

@@ -73,6 +73,10 @@ TEXT_FINDINGS_SQL = """text_findings AS (
   FROM spans s JOIN files f ON f.file_id = s.part_id)"""
 
 
+# Tables whose rows are expensive to work on; the given files hold one row group each.
+SPREAD = ("documents", "lineitem")
+
+
 def with_views(*views: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(views) + "\n"
 
@@ -86,7 +90,12 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """One given table. A text or fact table too small to give every core a split is spread over the cores."""
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in SPREAD and table.rdd.getNumPartitions() < cores:
+            return table.repartition(cores)
+        return table
 
     @cached_property
     def files(self) -> DataFrame:

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folders: dict[str, str] = {}
+
+
 def build_session(app: str = "verdigris", master: str | None = None, **conf: object) -> SparkSession:
     """A session with the settings every operator relies on; size settings stay the cluster's."""
     builder = SparkSession.builder.appName(app)
@@ -35,9 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="run-verdigris-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="run-verdigris-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

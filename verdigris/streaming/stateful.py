@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from verdigris.operators.circuit import COOLDOWN_SECONDS, FAILURE_THRESHOLD, after_attempt
@@ -188,7 +187,7 @@ class Circuit(InOrder):
 def _process(stream: DataFrame, keys: list[str], processor: StatefulProcessor, output: str, timed: bool = False) -> DataFrame:
     return stream.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor,
-        outputStructType=T._parse_datatype_string(output),
+        outputStructType=output,
         outputMode="Append",
         timeMode="eventTime" if timed else "none",
     )
