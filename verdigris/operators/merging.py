@@ -24,7 +24,8 @@ def merge_findings(findings: DataFrame) -> DataFrame:
     with the survivors so far, not with their whole history. A static survivor stays, a model survivor is
     replaced by the newer finding.
 
-    The ordered fold is decomposed so that nothing of a hot identity sits in one row:
+    The ordered fold is decomposed so that nothing of a hot identity sits in one row, and works on ids and spans
+    only; the full findings are joined back once at the end (``finding_id`` is unique):
 
     * Static: of equal starts only the first can survive, so a map-side aggregate leaves at most one row per
       start line. Survivors never overlap, hence the fold over those rows only looks at the last survivor.
@@ -33,16 +34,16 @@ def merge_findings(findings: DataFrame) -> DataFrame:
     * Model findings among themselves: starts only grow, so only the latest survivor can still be hit. Every
       remaining finding becomes that survivor, and it survives unless its successor starts inside it.
     """
-    row = F.struct(*findings.columns)
-    keyed = findings.withColumns(
-        {"_symbol": F.coalesce("symbol", F.lit(NO_SYMBOL)), "_evidence": normalize_evidence("evidence"), "_row": row}
+    keyed = findings.select(
+        "file_id", "rule_id", F.coalesce("symbol", F.lit(NO_SYMBOL)).alias("_symbol"),
+        F.sha2(normalize_evidence("evidence"), 256).alias("_evidence"), "source", "start_line", "end_line", "start_column", "finding_id",
     )
     kept = _static_survivors(keyed)
     model = (
         keyed.where("source <> 'static'")
         .groupBy(*IDENTITY, "start_line", "end_line")
         .agg(
-            F.max(F.struct("start_column", "finding_id", "_row")).alias("_last"),
+            F.max(F.struct("start_column", "finding_id")).alias("_last"),
             F.count(F.lit(1)).alias("_copies"),
         )
     )
@@ -55,7 +56,7 @@ def merge_findings(findings: DataFrame) -> DataFrame:
     met = both.withColumn("_nearest", nearest).withColumn(
         "_absorbed", (F.col("_side") == 0) & F.coalesce(F.col("_nearest") <= F.col("end_line"), F.lit(False))
     )
-    return _flagged_static(met, findings).unionByName(_model_survivors(met, findings))
+    return findings.join(_survivors(met), "finding_id").select(*findings.columns, "deduplicated")
 
 
 def _static_survivors(keyed: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def _static_survivors(keyed: DataFrame) -> DataFrame:
         keyed.where("source = 'static'")
         .groupBy(*IDENTITY, "start_line")
         .agg(
-            F.min(F.struct("start_column", "finding_id", "end_line", "_row")).alias("_first"),
+            F.min(F.struct("start_column", "finding_id", "end_line")).alias("_first"),
             F.count(F.lit(1)).alias("_copies"),
         )
     )
@@ -71,7 +72,7 @@ def _static_survivors(keyed: DataFrame) -> DataFrame:
         F.collect_list(
             F.struct(
                 "start_line", F.col("_first.end_line").alias("end_line"), (F.col("_copies") > 1).alias("flag"),
-                F.col("_first._row").alias("row"),
+                F.col("_first.finding_id").alias("id"),
             )
         )
     )
@@ -80,7 +81,7 @@ def _static_survivors(keyed: DataFrame) -> DataFrame:
         last = F.element_at(kept, -1)
         hit = (F.size(kept) > 0) & F.coalesce(last["end_line"] >= item["start_line"], F.lit(False))
         marked = F.struct(
-            last["start_line"].alias("start_line"), last["end_line"].alias("end_line"), F.lit(True).alias("flag"), last["row"].alias("row")
+            last["start_line"].alias("start_line"), last["end_line"].alias("end_line"), F.lit(True).alias("flag"), last["id"].alias("id")
         )
         return F.when(hit, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(marked))).otherwise(
             F.concat(kept, F.array(item))
@@ -93,31 +94,27 @@ def _static_survivors(keyed: DataFrame) -> DataFrame:
         F.col("_kept.start_line").alias("start_line"),
         F.col("_kept.end_line").alias("end_line"),
         F.col("_kept.flag").alias("_flag"),
-        F.col("_kept.row").alias("_row"),
+        F.col("_kept.id").alias("_static_id"),
     )
 
 
-def _flagged_static(met: DataFrame, findings: DataFrame) -> DataFrame:
-    same = Window.partitionBy(*IDENTITY, F.when(F.col("_side") == 1, F.col("start_line")).when(F.col("_absorbed"), F.col("_nearest")))
-    hit = met.withColumn("_hit", F.max("_absorbed").over(same))
-    return hit.where("_side = 1").select(
-        *[F.col(f"_row.{name}").alias(name) for name in findings.columns],
-        (F.col("_flag") | F.col("_hit")).alias("deduplicated"),
-    )
-
+def _survivors(met: DataFrame) -> DataFrame:
+    """Static survivors with their final flag, and the model findings that survive, in one pass.
 
-def _model_survivors(met: DataFrame, findings: DataFrame) -> DataFrame:
-    chain = (
-        met.where("_side = 0 AND NOT _absorbed")
-        .groupBy(*IDENTITY, "start_line")
-        .agg(F.max(F.struct("_last", "end_line")).alias("_final"), F.sum("_copies").alias("_copies"))
-        .withColumn("_end", F.col("_final.end_line"))
-    )
-    order = Window.partitionBy(*IDENTITY).orderBy("start_line")
-    follows = F.lead("start_line").over(order)
-    reached = F.lag("_end").over(order)
-    linked = chain.withColumns({"_next": follows, "_reached": reached})
-    return linked.where(F.col("_next").isNull() | (F.col("_next") > F.col("_end"))).select(
-        *[F.col(f"_final._last._row.{name}").alias(name) for name in findings.columns],
-        ((F.col("_copies") > 1) | F.coalesce(F.col("_reached") >= F.col("start_line"), F.lit(False))).alias("deduplicated"),
+    Every window is partitioned by the identity and more, so all of them share the shuffle by identity.
+    """
+    is_static, is_model = F.col("_side") == 1, (F.col("_side") == 0) & ~F.col("_absorbed")
+    group = F.when(is_static, F.col("start_line")).when(F.col("_absorbed"), F.col("_nearest"))
+    hit = F.max("_absorbed").over(Window.partitionBy(*IDENTITY, group))
+    same_start = Window.partitionBy(*IDENTITY, is_model, "start_line")
+    final = is_model & (F.row_number().over(same_start.orderBy(F.desc("_last"))) == 1)
+    chain = Window.partitionBy(*IDENTITY, "_final").orderBy("start_line")
+    linked = (
+        met.withColumns({"_hit": hit, "_final": final, "_all_copies": F.sum("_copies").over(same_start)})
+        .withColumns({"_next": F.lead("start_line").over(chain), "_reached": F.lag("end_line").over(chain)})
+        .where(is_static | (F.col("_final") & (F.col("_next").isNull() | (F.col("_next") > F.col("end_line")))))
     )
+    replaced = (F.col("_all_copies") > 1) | F.coalesce(F.col("_reached") >= F.col("start_line"), F.lit(False))
+    kept = F.when(is_static, F.col("_static_id")).otherwise(F.col("_last.finding_id"))
+    flagged = F.when(is_static, F.col("_flag") | F.col("_hit")).otherwise(replaced)
+    return linked.select(kept.alias("finding_id"), flagged.alias("deduplicated"))

@@ -149,6 +149,24 @@ def _(t: Tables):
     return exports.metric_table(aggregates.golden_metrics(*golden(t), GOLDEN_KEYS))
 
 
+@query(
+    "metric_markdown",
+    with_views(GOLDEN_SQL)
+    + """
+    , n AS (SELECT (SELECT count(*) FROM (SELECT * FROM expected INTERSECT SELECT * FROM actual)) AS tp,
+      (SELECT count(*) FROM (SELECT * FROM actual EXCEPT SELECT * FROM expected)) AS fp, (SELECT count(*) FROM (SELECT * FROM expected EXCEPT SELECT * FROM actual)) AS fn),
+    wrong AS (SELECT case_id || ': ' || kind || ' ' || rule_id || ' at ' || path || ':' || line AS failure FROM (
+      SELECT *, 'missing' AS kind FROM (SELECT * FROM expected EXCEPT SELECT * FROM actual) UNION ALL SELECT *, 'unexpected' FROM (SELECT * FROM actual EXCEPT SELECT * FROM expected)))
+    SELECT 0 AS section, '' AS item, '# Golden benchmark: labels' || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|---|---:|' AS text
+    UNION ALL SELECT 1, '000000', '| Precision | ' || printf('%.3f', tp / (tp + fp)) || ' |' FROM n UNION ALL SELECT 1, '000001', '| Recall | ' || printf('%.3f', tp / (tp + fn)) || ' |' FROM n
+    UNION ALL SELECT 1, '000002', '| False-positive rate | ' || printf('%.3f', fp / (tp + fp)) || ' |' FROM n UNION ALL SELECT 1, '000003', '| Location accuracy | ' || printf('%.3f', tp / (tp + fp)) || ' |' FROM n
+    UNION ALL SELECT 2, '', chr(10) || '## Failures' || chr(10) UNION ALL SELECT 3, failure, '- ' || failure FROM wrong""",
+)
+def _(t: Tables):
+    table = exports.metric_table(aggregates.golden_metrics(*golden(t), GOLDEN_KEYS))
+    return exports.metric_markdown(table, aggregates.golden_failures(*golden(t)), "labels")
+
+
 DOOMED_SQL = "doomed AS (SELECT review_id FROM reviews WHERE status = 'failed')"
 
 
