@@ -99,7 +99,7 @@ def user_stats(users: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_counters(increments: DataFrame) -> DataFrame:
+def counter_totals(increments: DataFrame) -> DataFrame:
     """Total per counter name. ``increments``: (name, amount)."""
     return increments.groupBy("name").agg(F.sum("amount").alias("total"))
 

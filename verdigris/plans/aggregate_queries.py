@@ -154,9 +154,9 @@ def _(t: Tables):
     return aggregates.user_stats(t.users)
 
 
-@query("pipeline_counters", with_views(ATTEMPTS_SQL) + "SELECT event AS name, CAST(sum(tokens) AS BIGINT) AS total FROM attempts GROUP BY event")
+@query("counter_totals", with_views(ATTEMPTS_SQL) + "SELECT event AS name, CAST(sum(tokens) AS BIGINT) AS total FROM attempts GROUP BY event")
 def _(t: Tables):
-    return aggregates.pipeline_counters(t.attempts.select(F.col("event").alias("name"), F.col("tokens").alias("amount")))
+    return aggregates.counter_totals(t.attempts.select(F.col("event").alias("name"), F.col("tokens").alias("amount")))
 
 
 @query(
@@ -167,7 +167,7 @@ def _(t: Tables):
     SELECT hits, misses, hits / (hits + misses) AS hit_ratio FROM s""",
 )
 def _(t: Tables):
-    counters = aggregates.pipeline_counters(t.attempts.select(F.col("event").alias("name"), F.col("tokens").alias("amount")))
+    counters = aggregates.counter_totals(t.attempts.select(F.col("event").alias("name"), F.col("tokens").alias("amount")))
     return aggregates.cache_ratio(counters, "view", "click")
 
 
