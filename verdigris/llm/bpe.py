@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from verdigris.llm.common import columns_but, slices, with_column
+
 #: White space as the split pattern knows it (Unicode White_Space). Fixed values.
-_WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run this long would exhaust the stack of the tokenizer's look-ahead.
 _LONG_RUN = re.compile(f"[{_WHITE}]{{500,}}")
 #: Between a non-white and a white character every match of the pattern ends.
@@ -85,17 +87,19 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
-        for batch in batches:
-            found = [codec.encode(value or "") for value in batch.column(text).to_pylist()]
-            column = (
-                pa.array([np.array(one, "<u4").tobytes() for one in found], pa.binary())
-                if packed else pa.array(found, pa.list_(pa.int32()))
-            )
-            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), column], names=[*kept, ids])
+        for batch in slices(batches, text):
+            found = [np.array(codec.encode(value or ""), "<u4") for value in batch.column(text).to_pylist()]
+            if packed:
+                column = pa.array([one.tobytes() for one in found], pa.binary())
+            else:
+                flat = np.concatenate(found) if found else np.zeros(0, "<u4")
+                column = pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat.astype(np.int32), pa.int32())
+                )
+            yield with_column(batch, kept, ids, column)
 
-    kept = [name for name in docs.columns if name != ids]
-    fields = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in docs.select([f"`{name}`" for name in kept]).dtypes)
-    return docs.select([f"`{name}`" for name in kept]).mapInArrow(run, f"{fields}, `{ids}` {'binary' if packed else 'array<int>'}")
+    base, kept, fields = columns_but(docs, ids)
+    return base.mapInArrow(run, f"{fields}`{ids}` {'binary' if packed else 'array<int>'}")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -104,11 +108,14 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in batches:
-            values = batch.column(ids).to_pylist()
-            lists = (np.frombuffer(value, "<u4").tolist() if isinstance(value, bytes) else value or [] for value in values)
-            column = pa.array([codec.decode(one) for one in lists], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), column], names=[*kept, decoded])
-
-    kept = [name for name in encoded.columns if name != decoded]
-    fields = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in encoded.select([f"`{name}`" for name in kept]).dtypes)
-    return encoded.select([f"`{name}`" for name in kept]).mapInArrow(run, f"{fields}, `{decoded}` binary")
+            for first in range(0, len(batch), 256):
+                part = batch.slice(first, 256)
+                column = pa.array([codec.decode(_listed(value)) for value in part.column(ids).to_pylist()], pa.binary())
+                yield with_column(part, kept, decoded, column)
+
+    base, kept, fields = columns_but(encoded, decoded)
+    return base.mapInArrow(run, f"{fields}`{decoded}` binary")
+
+
+def _listed(value: bytes | list[int] | None) -> list[int]:
+    return np.frombuffer(value, "<u4").tolist() if isinstance(value, bytes) else value or []

@@ -31,6 +31,14 @@ def fraction_of(column: Column | str, parts: int = 5) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def blocks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes, so that scratch arrays stay small; a longer text is a range of its own."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) or pa.types.is_binary(texts.type) else np.int64)
@@ -43,6 +51,28 @@ def blocks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about a megabyte of text, so that a worker's memory doesn't depend on their size."""
+    for batch in batches:
+        column = batch.column(text)
+        if not column.type.equals(pa.string()) and not pa.types.is_binary(column.type):
+            column = column.cast(pa.string())
+        for first, last in blocks(column):
+            yield batch.slice(first, last - first)
+
+
+def with_column(batch: pa.RecordBatch, kept: list[str], name: str, column: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(batch.column(one) for one in kept), column], names=[*kept, name])
+
+
+def columns_but(df: DataFrame, name: str) -> tuple[DataFrame, list[str], str]:
+    """``df`` without a column, the names that are left and their types as a schema string."""
+    kept = [one for one in df.columns if one.lower() != name.lower()]
+    quoted = ["`" + one.replace("`", "``") + "`" for one in kept]
+    base = df.select(quoted)
+    return base, kept, "".join(f"{one} {kind}, " for one, (_, kind) in zip(quoted, base.dtypes, strict=True))
+
+
 def text_bytes(texts: pa.Array, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of rows ``first`` to ``last`` without a copy, and where each row begins (one more entry than rows)."""
     kind = np.int32 if pa.types.is_string(texts.type) or pa.types.is_binary(texts.type) else np.int64
