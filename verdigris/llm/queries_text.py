@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, secret_scan, url_rules
+from verdigris.llm import bpe, chat, secret_scan, url_rules
 from verdigris.llm.common import table
 from verdigris.llm.registry import query
 from verdigris.session import settle
@@ -72,3 +72,11 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("*", stated.alias("stated")).select(
         "page_id", "host", "path", F.col("stated.rule").alias("rule"), F.coalesce("stated.verdict", "mined").alias("verdict")
     )
+
+
+@query("op4_chat")
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(chat.conversation(spark, -7, [("user", said), ("assistant", said)]))
+    return chat.read_back(chat.windows(turns, *rank_file()), arranged=True)
