@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, chat, secret_scan, url_rules
-from verdigris.llm.common import table
+from verdigris.llm import bpe, chat, quality, secret_scan, url_rules
+from verdigris.llm.common import fraction_of, table
 from verdigris.llm.registry import query
 from verdigris.session import settle
 
@@ -80,3 +80,16 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(chat.conversation(spark, -7, [("user", said), ("assistant", said)]))
     return chat.read_back(chat.windows(turns, *rank_file()), arranged=True)
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the documents, chosen by their id alone, is held out of training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = settle(quality.with_features(docs).select("doc_id", "features"), "quality-features")
+    labels = quality.labels_of(table(spark, sf_dir, "labels"))
+    forest = quality.fit(known.where(fraction_of("doc_id") != 0).join(labels, "doc_id"), "quality", F.col("doc_id"))
+    scored = quality.with_score(known, forest, features="features")
+    return scored.select(
+        "doc_id", (fraction_of("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
