@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import kd_search
+from verdigris.llm import contain, kd_search, simhash
 from verdigris.llm.common import table
 from verdigris.llm.registry import query
+from verdigris.session import settle
 
 _SQL10 = """
 WITH good AS (
@@ -25,3 +26,36 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 @query("op10_kd_search", _SQL10)
 def op10_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SQL6 = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (
+  SELECT item_id, w, least(5, len(w)) AS k FROM (
+    SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark)
+  WHERE len(w) > 0),
+si AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM i)),
+n AS (SELECT item_id, count(*) AS shingles FROM si GROUP BY item_id),
+sd AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM (
+    SELECT d.*, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+m AS (SELECT doc_id, item_id, count(*) AS shared FROM sd JOIN si USING (k, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared, shingles, shared / shingles AS containment FROM m JOIN n USING (item_id)
+WHERE shared >= 0.8 * shingles - 1e-9
+"""
+
+
+@query("op6_decontaminate", _SQL6)
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contain.with_matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.shared", "m.shingles", "m.containment")
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    printed = settle(simhash.with_fingerprint(docs, shingle=3).select("doc_id", "fingerprint"), "document-fingerprints")
+    return simhash.group_of(printed).select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
