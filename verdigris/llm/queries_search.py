@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import contain, kd_search, simhash
+from verdigris.llm import contain, kd_search, simhash, spans
 from verdigris.llm.common import table
 from verdigris.llm.registry import query
 from verdigris.session import settle
@@ -59,3 +59,24 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     printed = settle(simhash.with_fingerprint(docs, shingle=3).select("doc_id", "fingerprint"), "document-fingerprints")
     return simhash.group_of(printed).select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+_SQL1 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS pos FROM d WHERE len(w) >= 50),
+s AS (SELECT doc_id, pos, md5(array_to_string(w[pos : pos + 49], ' ')) AS m FROM p),
+f AS (SELECT m, min(doc_id) AS low FROM s GROUP BY m HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM s JOIN f USING (m) WHERE doc_id > low),
+x AS (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [0] ELSE range(1, len(w) + 1) END) AS pos FROM d),
+k AS (
+  SELECT x.doc_id, any_value(len(w)) AS n_words, count(*) FILTER (r.pos IS NOT NULL) AS n_removed,
+    coalesce(string_agg(w[x.pos], ' ' ORDER BY x.pos) FILTER (r.pos IS NULL AND x.pos > 0), '') AS kept
+  FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.pos = r.pos GROUP BY x.doc_id)
+SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM k
+"""
+
+
+@query("op1_spans", _SQL1)
+def op1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
