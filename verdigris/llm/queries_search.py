@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import contain, kd_search, simhash, spans
-from verdigris.llm.common import table
+from verdigris.llm import contain, kd_search, ngram_lm, simhash, spans
+from verdigris.llm.common import fraction_of, table
 from verdigris.llm.registry import query
 from verdigris.session import settle
 
@@ -80,3 +80,9 @@ SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM k
 def op1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spans.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_ngram_lm")
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_lm.score(docs, fraction_of("doc_id") == 1).withColumnRenamed("id", "doc_id")
