@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import _LOWER, columns_but, fresh, slices, with_column
+from verdigris.llm.common import (
+    _LOWER, blocks, columns_but, filled, fresh, lowered, mixed, row_of, run_hashes, sift, slices, span_hashes, text_bytes, with_column,
+    word_spans,
+)
 from verdigris.llm.graphs import components
 from verdigris.session import settle
 
@@ -129,3 +132,173 @@ def group_of(docs: DataFrame, key: str = "doc_id", fingerprint: str = "fingerpri
     return plain.join(named, plain[fingerprint] == named[code], "left").select(
         *(plain[f"`{one}`"] for one in plain.columns), F.when(named[code].isNull(), plain[key]).otherwise(named[group]).alias(group)
     )
+
+
+#: A passage ends after a pair of words whose hash is divisible by the first number, or after that many words.
+PASSAGE, LONGEST_PASSAGE = 16, 64
+#: Fingerprints of texts with similar shingles differ in fewer bits: for a Jaccard similarity of 0.8 about 10 of 64 with a
+#: deviation of 3. Candidates beyond this distance aren't read again.
+FAR = 24
+
+
+def _majority(hashes: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Fingerprints of consecutive groups of hashes, which begin at ``starts``, of those that are ``counted``."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits[~counted] = 0
+    sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    whole = np.add.reduceat(counted, starts, dtype=np.int32)
+    return np.packbits(2 * sums > whole[:, None], axis=1, bitorder="little").view("<i8").ravel()
+
+
+def passages(data: np.ndarray, begins: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts that lie end to end: shingles per text, fingerprint per text, and row and fingerprint of each passage.
+
+    Passage ends depend on the words around them alone, so an edit changes one passage or two. Passages of fewer words than
+    a shingle are left to the fingerprint of the text, which counts as a passage too.
+    """
+    data = lowered(data)
+    starts, ends, firsts = word_spans(data, begins)
+    words = span_hashes(data, starts, ends)
+    n, rows = len(words), len(begins) - 1
+    length = np.diff(firsts)
+    shingles = np.maximum(length - shingle + 1, np.minimum(length, 1))
+    if not n:
+        return shingles, np.zeros(rows, np.int64), np.arange(rows), np.zeros(rows, np.int64)
+    row = row_of(firsts, n)
+    at = np.arange(n)
+    last = np.minimum(at + shingle, firsts[1:][row])
+    hashes = run_hashes(words, at, last)
+    inner = (at + shingle <= firsts[1:][row]) | (at == firsts[:-1][row])
+    filled_rows = np.flatnonzero(length > 0)
+    whole = np.zeros(rows, np.int64)
+    whole[filled_rows] = _majority(hashes, firsts[:-1][filled_rows], inner)
+    cut = np.zeros(n, bool)
+    cut[1:] = mixed(mixed(words[:-1]) + words[1:]) % np.uint64(PASSAGE) == 0
+    cut[firsts[:-1][filled_rows]] = True
+    begin = np.flatnonzero(cut)
+    cut |= (at - np.repeat(begin, np.diff(np.r_[begin, n]))) % LONGEST_PASSAGE == 0
+    begin = np.flatnonzero(cut)
+    end = np.r_[begin[1:], n]
+    inside = at + shingle <= np.repeat(end, end - begin)
+    prints = _majority(hashes, begin, inside)
+    long_enough = end - begin >= shingle
+    return (
+        shingles, whole, np.concatenate([np.arange(rows), row[begin[long_enough]]]), np.concatenate([whole, prints[long_enough]])
+    )
+
+
+def _profiles(texts: DataFrame, shingle: int) -> DataFrame:
+    """Per text: node, shingles, fingerprint and the distinct fingerprints of its passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "said"):
+            said = filled(batch.column("said"))
+            for first, last in blocks(said):
+                shingles, whole, row, prints = passages(*text_bytes(said, first, last), shingle)
+                order = np.lexsort((prints, row))
+                row, prints = row[order], prints[order]
+                new = np.r_[True, (row[1:] != row[:-1]) | (prints[1:] != prints[:-1])]
+                offsets = np.searchsorted(row[new], np.arange(last - first + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("node")[first:last], pa.array(shingles), pa.array(whole),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(prints[new])),
+                    ],
+                    names=["node", "shingles", "fingerprint", "passages"],
+                )
+
+    return texts.mapInArrow(run, "node string, shingles long, fingerprint long, passages array<long>")
+
+
+def similarity(a: str, b: str, shingle: int) -> float:
+    """Jaccard similarity of the distinct word shingles; texts without words are alike."""
+    sets = []
+    for text in (a, b):
+        words = text.encode().translate(_FOLD).split()
+        k = min(shingle, len(words))
+        sets.append(set(zip(*(words[at : len(words) - k + 1 + at] for at in range(k)), strict=True)) if k else set())
+    union = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / union if union else 1.0
+
+
+def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Links between distinct texts (``node``, ``said``): pairs ``a``, ``b`` whose shingles' Jaccard similarity is ``least`` or more.
+
+    Such pairs differ in more fingerprint bits than any search over 64 bits can bridge, so candidates come from two sides:
+    texts whose fingerprints differ in at most 3 bits (``links``), and texts that share the fingerprint of a passage. At this
+    similarity fewer than one word in forty is edited, so a passage of some sixteen words is left whole. Texts that share
+    a passage meet the least node among those of their length, not each other, so a passage of many texts costs each of
+    them one pair; texts of a group share other passages too. Lengths and fingerprints sort out most candidates, the rest
+    are read again and compared shingle by shingle.
+    """
+    profiles = settle(_profiles(texts, shingle), "text-profiles")
+    each = profiles.select("node", "shingles", F.explode("passages").alias("passage"))
+    shared = settle(
+        each.groupBy("passage").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("passage"),
+        "shared-passages",
+    )
+    band = F.floor(F.log(F.greatest("shingles", F.lit(1))) / F.log(F.lit(1 / least)))
+    banded = sift(each, shared, ["passage"]).join(shared, "passage").select("node", "passage", F.explode(F.array(band, band + 1)).alias("band"))
+    centres = banded.groupBy("passage", "band").agg(F.min("node").alias("a"))
+    by_passage = banded.join(centres, ["passage", "band"]).where("a < node").select("a", F.col("node").alias("b"))
+    prints = profiles.groupBy("fingerprint").agg(F.min("node").alias("one"))
+    near = links(prints, 3).join(prints.select(F.col("fingerprint").alias("a"), F.col("one").alias("node_a")), "a")
+    near = near.join(prints.select(F.col("fingerprint").alias("b"), F.col("one").alias("node_b")), "b")
+    by_bits = near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    facts = profiles.select("node", "shingles", "fingerprint")
+    side = lambda name: facts.select(F.col("node").alias(name), F.col("shingles").alias(f"n_{name}"), F.col("fingerprint").alias(f"f_{name}"))
+    candidates = settle(
+        by_passage.unionByName(by_bits).distinct().join(side("a"), "a").join(side("b"), "b")
+        .where(
+            (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9) & (F.bit_count(F.col("f_a").bitwiseXOR(F.col("f_b"))) <= FAR)
+        )
+        .select("a", "b"),
+        "near-candidates",
+    )
+    wanted = settle(candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct(), "near-nodes")
+    read = settle(sift(texts, wanted, ["node"]).join(wanted, "node"), "near-texts")
+    pairs = candidates.join(read.select(F.col("node").alias("a"), F.col("said").alias("said_a")), "a").join(
+        read.select(F.col("node").alias("b"), F.col("said").alias("said_b")), "b"
+    )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "said_a"):
+            good = [
+                similarity(a or "", b or "", shingle) >= least - 1e-9
+                for a, b in zip(batch.column("said_a").to_pylist(), batch.column("said_b").to_pylist(), strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("a", "b", "said_a", "said_b").mapInArrow(verify, "a string, b string")
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the least key (nulls last), a single one of equal rows.
+
+    Groups are what links of ``near_duplicates`` connect; equal texts are one node, null texts count as empty ones, which are
+    alike. Rows outside any group stay as they are and aren't shuffled. All columns stay.
+    """
+    node, low, n, lost = (fresh(docs, name) for name in ("text_node", "low_key", "text_rows", "text_lost"))
+    keyed = docs.withColumn(node, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    nodes = settle(
+        keyed.groupBy(node).agg(F.min(key).alias(low), F.count(F.lit(1)).alias(n)), "text-nodes"
+    )
+    once = keyed.select(F.col(node).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("said"))
+    copied = nodes.where(f"`{n}` > 1").select(F.col(node).alias("node"))
+    several = sift(once, copied, ["node"])
+    alone = sift(once, copied, ["node"], keep=False)
+    texts = alone.unionByName(several.groupBy("node").agg(F.first("said").alias("said")))
+    linked = components(near_duplicates(texts, least, shingle))
+    members = linked.join(nodes.select(F.col(node).alias("node"), F.col(low).alias("low")), "node")
+    winners = members.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("w"))
+    losers = members.join(winners, "root").where("node <> w.node").select(F.col("node").alias(node), F.lit(True).alias(lost))
+    touched = settle(
+        nodes.where(f"`{n}` > 1").select(node, low).join(losers, node, "full").select(node, low, F.coalesce(lost, F.lit(False)).alias(lost)),
+        "near-copies",
+    )
+    names = [f"`{name}`" for name in docs.columns]
+    decided = sift(keyed, touched, [node]).join(touched, node, "left")
+    unique = decided.where(F.col(lost).isNull()).select(names)
+    # Of equal texts the rows with the least key stay, and of those one.
+    copies = decided.where(~F.col(lost) & F.col(key).eqNullSafe(F.col(low))).dropDuplicates([node]).select(names)
+    return sift(keyed, touched, [node], keep=False).select(names).unionByName(unique).unionByName(copies)
