@@ -139,6 +139,10 @@ PASSAGE, LONGEST_PASSAGE = 16, 64
 #: Fingerprints of texts with similar shingles differ in fewer bits: for a Jaccard similarity of 0.8 about 10 of 64 with a
 #: deviation of 3. Candidates beyond this distance aren't read again.
 FAR = 24
+#: Random orders by which the texts that share a passage choose whom they all meet.
+CENTRES = 8
+#: Up to so many texts of one length that share a passage are all compared with each other by length and fingerprint.
+SMALL = 64
 
 
 def _majority(hashes: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np.ndarray:
@@ -226,33 +230,43 @@ def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> D
 
     Such pairs differ in more fingerprint bits than any search over 64 bits can bridge, so candidates come from two sides:
     texts whose fingerprints differ in at most 3 bits (``links``), and texts that share the fingerprint of a passage. At this
-    similarity fewer than one word in forty is edited, so a passage of some sixteen words is left whole. Texts that share
-    a passage meet the least node among those of their length, not each other, so a passage of many texts costs each of
-    them one pair; texts of a group share other passages too. Lengths and fingerprints sort out most candidates, the rest
+    similarity fewer than one word in forty is edited, so passages of some sixteen words are left whole. Texts that share
+    a passage meet those of about their length: all of them up to ``SMALL``, else the first in each of ``CENTRES`` random
+    orders, so a passage of many texts costs each of them a fixed number of comparisons. Lengths and fingerprints sort out most candidates, the rest
     are read again and compared shingle by shingle.
     """
-    profiles = settle(_profiles(texts, shingle), "text-profiles")
-    each = profiles.select("node", "shingles", F.explode("passages").alias("passage"))
+    profiles = settle(_profiles(texts, shingle).withColumn("id", F.xxhash64("node")), "text-profiles")
+    each = profiles.select("id", F.col("shingles").alias("n"), F.col("fingerprint").alias("f"), F.explode("passages").alias("passage"))
     shared = settle(
-        each.groupBy("passage").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("passage"),
+        each.groupBy("passage").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("passage"),
         "shared-passages",
     )
-    band = F.floor(F.log(F.greatest("shingles", F.lit(1))) / F.log(F.lit(1 / least)))
-    banded = sift(each, shared, ["passage"]).join(shared, "passage").select("node", "passage", F.explode(F.array(band, band + 1)).alias("band"))
-    centres = banded.groupBy("passage", "band").agg(F.min("node").alias("a"))
-    by_passage = banded.join(centres, ["passage", "band"]).where("a < node").select("a", F.col("node").alias("b"))
-    prints = profiles.groupBy("fingerprint").agg(F.min("node").alias("one"))
-    near = links(prints, 3).join(prints.select(F.col("fingerprint").alias("a"), F.col("one").alias("node_a")), "a")
-    near = near.join(prints.select(F.col("fingerprint").alias("b"), F.col("one").alias("node_b")), "b")
-    by_bits = near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    facts = profiles.select("node", "shingles", "fingerprint")
-    side = lambda name: facts.select(F.col("node").alias(name), F.col("shingles").alias(f"n_{name}"), F.col("fingerprint").alias(f"f_{name}"))
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1 / least)))
+    banded = sift(each, shared, ["passage"]).join(shared, "passage").select("id", "n", "f", "passage", F.explode(F.array(band, band + 1)).alias("band"))
+    order = lambda turn: F.xxhash64("id", F.lit(turn))
+    centres = banded.groupBy("passage", "band").agg(
+        F.count(F.lit(1)).alias("members"),
+        *(F.min_by(name, order(turn)).alias(f"{name}{turn}") for turn in range(CENTRES) for name in ("id", "n", "f"))
+    )
+    like = lambda n, f: (
+        (F.least("n", n) >= least * F.greatest("n", n) - 1e-9) & (F.bit_count(F.col("f").bitwiseXOR(f)) <= FAR)
+    )
+    met = F.filter(
+        F.array(*(F.when(like(F.col(f"n{turn}"), F.col(f"f{turn}")), F.col(f"id{turn}")) for turn in range(CENTRES))),
+        lambda one: one.isNotNull() & (one != F.col("id")),
+    )
+    placed = banded.join(centres, ["passage", "band"])
+    by_passage = placed.where(F.col("members") > SMALL).select("id", F.explode(F.array_distinct(met)).alias("other"))
+    small = placed.where(F.col("members") <= SMALL).select("passage", "band", "id", "n", "f")
+    others = small.select("passage", "band", F.col("id").alias("other"), F.col("n").alias("n2"), F.col("f").alias("f2"))
+    by_group = small.join(others, ["passage", "band"]).where((F.col("id") < F.col("other")) & like(F.col("n2"), F.col("f2"))).select("id", "other")
+    prints = profiles.groupBy("fingerprint").agg(F.min("id").alias("id"))
+    near = links(prints, 3).join(prints.select(F.col("fingerprint").alias("a"), "id"), "a")
+    by_bits = near.join(prints.select(F.col("fingerprint").alias("b"), F.col("id").alias("other")), "b").select("id", "other")
+    name = lambda one, as_: profiles.select(F.col("id").alias(one), F.col("node").alias(as_))
     candidates = settle(
-        by_passage.unionByName(by_bits).distinct().join(side("a"), "a").join(side("b"), "b")
-        .where(
-            (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9) & (F.bit_count(F.col("f_a").bitwiseXOR(F.col("f_b"))) <= FAR)
-        )
-        .select("a", "b"),
+        by_passage.unionByName(by_group).unionByName(by_bits).select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
+        .join(name("id", "a"), "id").join(name("other", "b"), "other").select("a", "b"),
         "near-candidates",
     )
     wanted = settle(candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct(), "near-nodes")
