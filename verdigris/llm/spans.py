@@ -143,7 +143,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         "shared-anchors",
     )
     repeated = settle(sift(runs, shared, ["anchor"]).join(shared, "anchor"), "shared-paths")
-    least = repeated.where("branches").groupBy("anchor", "path").agg(F.min("id").alias("low"))
+    least = settle(repeated.where("branches").groupBy("anchor", "path").agg(F.min("id").alias("low")), "path-owners")
     marked = repeated.join(least, ["anchor", "path"], "left").select(
         "id", "version", "first", "windows", F.coalesce(F.col("branches") & (F.col("id") == F.col("low")), F.lit(False)).alias("open")
     )
