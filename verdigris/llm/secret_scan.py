@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import columns_but, fresh, slices, with_column
+from verdigris.session import settle
 
 #: Kinds of base findings in the order in which they are listed, then the kind that ownership adds.
 KINDS = ("assign", "access", "hex", "owned")
@@ -129,7 +130,7 @@ def judge(
         "array<struct<kind:string,start:long,end:long,secret:string,entropy:double,repositories:long,owners:long,live:boolean>>"
     )
     names = [f"`{name}`" for name in found.columns]
-    counts = ownership(found, repository, owner, spans)
+    counts = settle(ownership(found, repository, owner, spans), "secret-owners")
     # Rows are matched by the secrets that they hold, not by an id: equal lists get equal answers.
     key, held = fresh(found, "list_key"), fresh(found, "judged_spans")
     keyed = found.withColumn(key, F.when(F.size(spans) > 0, F.sha2(F.to_json(spans), 256)))
@@ -164,7 +165,11 @@ def judge(
             ).cast(struct).alias(held),
         )
     )
-    return keyed.join(judged, key, "left").withColumn(spans, F.coalesce(held, F.array().cast(struct))).select(names)
+    # A table between: a list in very many rows is then split over tasks when it meets its answer.
+    answers = settle(judged, "secret-answers")
+    some = keyed.where(F.col(key).isNotNull()).join(answers, key, "left").withColumn(spans, F.coalesce(held, F.array().cast(struct)))
+    none = keyed.where(F.col(key).isNull()).withColumn(spans, F.array().cast(struct))
+    return some.select(names).unionByName(none.select(names))
 
 
 def mask(judged: DataFrame, text: str = "text", spans: str = "spans", mark: str = "[SECRET]", only_live: bool = False) -> DataFrame:
