@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import fresh
+from verdigris.session import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Marks the label among the items of a transaction; no url token begins with it.
@@ -139,4 +140,5 @@ def predict(pages: DataFrame, rules: DataFrame, url: str = "url", verdict: str =
         .agg(F.max_by("verdict", F.struct("confidence", "support", F.array_join("items", " "), "verdict")).alias("best"))
         .select(F.col("present").alias(key), F.col("best").alias(verdict))
     )
+    best = settle(best, "url-verdicts")  # a table between, so that a token set of very many urls is split over tasks
     return tokened.join(best, key, "left").withColumn(verdict, F.coalesce(verdict, F.lit(default))).drop(key)
