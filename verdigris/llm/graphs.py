@@ -19,9 +19,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now, before = settle(oriented, "edges"), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Tables between: a node of very many edges is then split over tasks when it meets its least neighbour.
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = settle(
+            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges"
+        )
+        lowest = settle(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = settle(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

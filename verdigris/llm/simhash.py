@@ -246,8 +246,9 @@ def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     order = lambda turn: F.xxhash64("id", F.lit(turn))
     centres = banded.groupBy("passage", "band").agg(
         F.count(F.lit(1)).alias("members"),
-        *(F.min_by(name, order(turn)).alias(f"{name}{turn}") for turn in range(CENTRES) for name in ("id", "n", "f"))
+        *(F.min_by(name, order(turn)).alias(f"{name}{turn}") for turn in range(CENTRES) for name in ("id", "n", "f")),
     )
+    centres = settle(centres, "passage-centres")  # a table between, so that a passage of very many texts is split over tasks
     like = lambda n, f: (
         (F.least("n", n) >= least * F.greatest("n", n) - 1e-9) & (F.bit_count(F.col("f").bitwiseXOR(f)) <= FAR)
     )
