@@ -134,7 +134,7 @@ class Forest:
             part = x[at : at + 4096]
             node = np.zeros((len(part), len(self.feature)), np.int64)
             rows = np.arange(len(part))[:, None]
-            while inner and node[0, 0] < inner:
+            while node.size and node[0, 0] < inner:
                 node = 2 * node + 1 + (part[rows, self.feature[trees, node]] > self.threshold[trees, node])
             out[at : at + 4096] = self.base + self.leaf[trees, node - inner].sum(1)
         return out

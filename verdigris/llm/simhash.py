@@ -155,7 +155,7 @@ def _majority(hashes: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np
 
 
 def passages(data: np.ndarray, begins: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts that lie end to end: shingles per text, fingerprint per text, and row and fingerprint of each passage.
+    """For texts that lie end to end: distinct shingles per text, their fingerprint, and row and fingerprint of each passage.
 
     Passage ends depend on the words around them alone, so an edit changes one passage or two. Passages of fewer words than
     a shingle are left to the fingerprint of the text, which counts as a passage too.
@@ -165,14 +165,17 @@ def passages(data: np.ndarray, begins: np.ndarray, shingle: int) -> tuple[np.nda
     words = span_hashes(data, starts, ends)
     n, rows = len(words), len(begins) - 1
     length = np.diff(firsts)
-    shingles = np.maximum(length - shingle + 1, np.minimum(length, 1))
     if not n:
-        return shingles, np.zeros(rows, np.int64), np.arange(rows), np.zeros(rows, np.int64)
+        return np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.arange(rows), np.zeros(rows, np.int64)
     row = row_of(firsts, n)
     at = np.arange(n)
     last = np.minimum(at + shingle, firsts[1:][row])
     hashes = run_hashes(words, at, last)
     inner = (at + shingle <= firsts[1:][row]) | (at == firsts[:-1][row])
+    order = np.lexsort((hashes, row))
+    again = (row[order][1:] == row[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
+    inner[order[1:][again]] = False
+    shingles = np.bincount(row[inner], minlength=rows)
     filled_rows = np.flatnonzero(length > 0)
     whole = np.zeros(rows, np.int64)
     whole[filled_rows] = _majority(hashes, firsts[:-1][filled_rows], inner)
