@@ -25,7 +25,8 @@ def main() -> None:
     from verdigris.session import build_session
 
     spark = build_session(
-        "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g", spark__ui__enabled="false"
+        "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g", spark__ui__enabled="false",
+        spark__verdigris__spread=cpus,
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE

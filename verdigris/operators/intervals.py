@@ -190,7 +190,8 @@ def line_annotations(findings: DataFrame, files: DataFrame) -> DataFrame:
 def locate_evidence(drafts: DataFrame, files: DataFrame) -> DataFrame:
     """Exact place of the quoted evidence inside the draft's line range; drafts without one are dropped.
 
-    The whole quote on one line wins; otherwise the line of its first piece up to its last piece.
+    The whole quote on one line wins. Otherwise the first line with the quote's first piece whose end line, as many lines
+    below as the quote has newlines but within the range, holds the last piece.
     """
     lines = files.select("file_id", split_lines("content").alias("_lines"))
     quote = F.trim(F.regexp_replace("evidence", r"(?U)^\s+|\s+$", ""))
@@ -208,16 +209,26 @@ def locate_evidence(drafts: DataFrame, files: DataFrame) -> DataFrame:
             }
         )
         .where((F.col("_quote") != "") & F.contains(squash_whitespace(F.array_join("_range", " ")), squash_whitespace(F.col("_quote"))))
-        .withColumns({"_first": tidy(F.element_at(pieces, 1)), "_last": tidy(F.element_at(pieces, -1)), "_breaks": F.size(pieces) - 1})
-        .withColumns({"_whole_at": first_line_with(F.col("_quote")), "_first_at": first_line_with(F.col("_first"))})
+        .withColumns({"_first": tidy(F.element_at(pieces, 1)), "_last": tidy(F.element_at(pieces, -1))})
+        .withColumns({"_whole_at": first_line_with(F.col("_quote")), "_breaks": F.size(F.split("_quote", "\n")) - 1})
     )
     whole = F.col("_whole_at") > 0
-    first_at = F.col("start_line") + F.col("_first_at").cast("int") - 1
-    last_at = F.least(F.col("end_line"), first_at + F.col("_breaks"))
-    final_line = F.get("_lines", F.col("_to") - 1)
-    from_line = F.when(whole, F.col("start_line") + F.col("_whole_at").cast("int") - 1).when(F.col("_first_at") > 0, first_at)
-    placed = narrowed.withColumns({"_from": from_line, "_to": F.when(whole, from_line).when(F.col("_first_at") > 0, last_at)})
-    from_text = F.get("_lines", F.col("_from") - 1)
+    tried = F.transform(
+        F.sequence(F.lit(0), F.size("_range") - 1),
+        lambda at: F.struct(at.alias("first"), F.least(F.size("_range") - 1, at + F.col("_breaks")).alias("last")),
+    )
+    fitting = F.filter(
+        tried,
+        lambda one: (F.instr(F.get("_range", one["first"]), F.col("_first")) > 0) & (F.instr(F.get("_range", one["last"]), F.col("_last")) > 0),
+    )
+    hit = F.get(fitting, F.lit(0))
+    placed = narrowed.withColumn("_hit", F.when(~whole, hit)).withColumns(
+        {
+            "_from": F.col("start_line") + F.when(whole, F.col("_whole_at").cast("int") - 1).otherwise(F.col("_hit.first")),
+            "_to": F.col("start_line") + F.when(whole, F.col("_whole_at").cast("int") - 1).otherwise(F.col("_hit.last")),
+        }
+    )
+    from_text, final_line = F.get("_lines", F.col("_from") - 1), F.get("_lines", F.col("_to") - 1)
     start_column = F.when(whole, F.instr(from_text, F.col("_quote"))).otherwise(F.instr(from_text, F.col("_first")))
     end_column = F.when(whole, F.instr(from_text, F.col("_quote")) + F.length("_quote")).otherwise(
         F.instr(final_line, F.col("_last")) + F.length("_last")
@@ -226,29 +237,40 @@ def locate_evidence(drafts: DataFrame, files: DataFrame) -> DataFrame:
     place = F.struct(
         F.col("_from").alias("start_line"), start_column.alias("start_column"), F.col("_to").alias("end_line"), end_column.alias("end_column")
     )
-    complete = whole | ((F.col("_first_at") > 0) & (F.instr(final_line, F.col("_last")) > 0))
+    complete = F.col("_from").isNotNull()
     # Exploding the place instead of filtering on it keeps the searches from being copied into a pushed-down filter.
     return placed.select(*kept, F.explode(F.when(complete, F.array(place))).alias("_place")).select(*kept, "_place.*")
 
 
 def shift_spans(spans: DataFrame, edits: DataFrame, keys: list[str], on_overlap: str = "drop") -> DataFrame:
-    """Move spans after one line edit per file.
+    """Move spans after the line edits of their file: one row per span, however many edits there are.
 
-    ``edits``: keys, fix_start, fix_end, new_lines. Spans after the edit shift; overlapping ones are dropped
-    (findings) or widened over the replacement (changed ranges).
+    ``edits``: keys, fix_start, fix_end, new_lines, in lines of the text before any of them; edits of a file don't overlap.
+    They are applied from top to bottom. A span after an edit shifts by its change of length; one that an edit overlaps is
+    dropped (findings) or widened over the replacement (changed ranges). The few edits of a file travel as one array.
     """
-    delta = F.col("new_lines") - (F.col("fix_end") - F.col("fix_start") + 1)
-    before = F.col("fix_start").isNull() | (F.col("end_line") < F.col("fix_start"))
-    after = F.col("start_line") > F.col("fix_end")
-    replacement_end = F.col("fix_start") + F.greatest(F.lit(1), F.col("new_lines")) - 1
-    joined = spans.join(edits, keys, "left")
-    start = F.when(before, F.col("start_line")).when(after, F.col("start_line") + delta)
-    end = F.when(before, F.col("end_line")).when(after, F.col("end_line") + delta)
-    if on_overlap == "widen":
-        start = start.otherwise(F.least("start_line", "fix_start"))
-        end = end.otherwise(F.greatest(replacement_end, F.col("end_line") + delta))
-    moved = joined.withColumns({"_start": start, "_end": end}).where(F.col("_start").isNotNull())
-    return moved.withColumns({"start_line": F.col("_start"), "end_line": F.col("_end")}).select(*spans.columns)
+    packed = edits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("fix_start", "fix_end", "new_lines"))).alias("_edits"))
+    kind = "struct<start:bigint,end:bigint,shift:bigint,hit:boolean>"
+    state = F.struct(F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.lit(0).alias("shift"), F.lit(False).alias("hit")).cast(kind)
+
+    def step(acc: Column, edit: Column) -> Column:
+        first, last = edit["fix_start"] + acc["shift"], edit["fix_end"] + acc["shift"]
+        delta = edit["new_lines"] - (edit["fix_end"] - edit["fix_start"] + 1)
+        before, after = acc["end"] < first, acc["start"] > last
+        start = F.when(before, acc["start"]).when(after, acc["start"] + delta).otherwise(F.least(acc["start"], first))
+        replaced = first + F.greatest(F.lit(1), edit["new_lines"]) - 1
+        end = F.when(before, acc["end"]).when(after, acc["end"] + delta).otherwise(F.greatest(replaced, acc["end"] + delta))
+        hit = acc["hit"] | ~(before | after)
+        return F.struct(start.alias("start"), end.alias("end"), (acc["shift"] + delta).alias("shift"), hit.alias("hit")).cast(kind)
+
+    none = F.array().cast(packed.schema["_edits"].dataType)
+    moved = spans.join(packed, keys, "left").withColumn("_moved", F.aggregate(F.coalesce("_edits", none), state, step))
+    if on_overlap == "drop":
+        moved = moved.where(~F.col("_moved.hit"))
+    types = {name: spans.schema[name].dataType for name in ("start_line", "end_line")}
+    return moved.withColumns(
+        {"start_line": F.col("_moved.start").cast(types["start_line"]), "end_line": F.col("_moved.end").cast(types["end_line"])}
+    ).select(*spans.columns)
 
 
 def apply_line_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
@@ -279,7 +301,7 @@ def apply_line_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def line_coverage(significant: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per file: required lines, covered lines, percent, and the first missing line.
+    """Per file: required lines, covered lines, percent, the first missing line, and all missing lines in order.
 
     ``significant``: (file_id, line). ``chunks``: leaf spans. Less than 100 percent is a failed review.
     """
@@ -296,6 +318,7 @@ def line_coverage(significant: DataFrame, chunks: DataFrame) -> DataFrame:
         covered.alias("covered"),
         (covered * 100 / required).alias("percent"),
         F.min(F.when(F.col("start_line").isNull(), F.col("line"))).alias("first_missing_line"),
+        F.sort_array(F.collect_list(F.when(F.col("start_line").isNull(), F.col("line")))).alias("missing_lines"),
     )
 
 

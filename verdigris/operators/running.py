@@ -11,9 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Above this rank Spark would stop cutting keys before the shuffle.
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-
-
 def running_totals(
     df: DataFrame,
     keys: list[str],
@@ -56,10 +53,7 @@ def time_slice(ts: Column, seconds: int = 3600) -> Column:
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First ``n`` rows per key. The filter on the rank lets Spark cut each key before the shuffle."""
-    conf = df.sparkSession.conf
-    if int(conf.get(GROUP_LIMIT)) < n:
-        conf.set(GROUP_LIMIT, str(n))
+    """First ``n`` rows per key. Up to the session's window group limit, Spark cuts each key before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 

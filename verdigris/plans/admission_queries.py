@@ -207,16 +207,16 @@ def response_log(t: Tables):
         .when(kind == 3, F.concat(F.lit("["), body, F.lit("]")))
         .otherwise(body)
     )
-    positive = t.attempts.where("tokens > 0")
-    return positive.select("attempt_id", "event", content.alias("content"), F.lit("stop").alias("finish_reason"))
+    return t.attempts.select("attempt_id", "event", content.alias("content"), F.lit("stop").alias("finish_reason"))
 
 
 @query(
     "parse_model_output",
     with_views(ATTEMPTS_SQL)
     + """
-    SELECT attempt_id, CASE attempt_id % 5 WHEN 2 THEN 'truncated' WHEN 3 THEN 'not_a_json_object' WHEN 4 THEN 'invalid_finding' END AS output_error
-    FROM attempts WHERE tokens > 0""",
+    SELECT attempt_id, CASE WHEN attempt_id % 5 = 2 THEN 'truncated' WHEN attempt_id % 5 = 3 THEN 'not_a_json_object'
+      WHEN attempt_id % 5 = 4 OR tokens < 1 THEN 'invalid_finding' END AS output_error
+    FROM attempts""",
 )
 def _(t: Tables):
     return model_output.parse_model_output(response_log(t)).select("attempt_id", "output_error")
@@ -241,7 +241,7 @@ def _(t: Tables):
     "salvage_truncated_output",
     with_views(ATTEMPTS_SQL)
     + """
-    , cut AS (SELECT attempt_id, event, tokens FROM attempts WHERE tokens > 0 AND attempt_id % 5 = 2)
+    , cut AS (SELECT attempt_id, event, tokens FROM attempts WHERE attempt_id % 5 = 2)
     SELECT attempt_id, 1 AS position, 'summary' AS field, 'note ' || event AS text FROM cut UNION ALL
     SELECT attempt_id, 2, 'title', 'issue "' || event || '"' FROM cut UNION ALL
     SELECT attempt_id, 3, 'evidence', 'line ' || tokens FROM cut UNION ALL

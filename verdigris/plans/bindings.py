@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import split_lines
@@ -62,19 +62,22 @@ MESSAGES_SQL = """messages AS (
 PATHS_SQL = """paths AS (
   SELECT page_id, regexp_replace(url, '^https?://', '') AS path, regexp_extract(url, '/([a-z]{2})/', 1) AS review_id, url FROM pages)"""
 
-# Findings and model drafts that point into the documents: one per line item whose part has a document.
+# Findings and model drafts that point into the documents: one per line item, its part folded into the document ids.
 TEXT_FINDINGS_SQL = """text_findings AS (
   SELECT s.finding_id, f.review_id, f.file_id, f.path, f.language, s.start_line,
          s.start_line + CAST(s.supplier_id % 3 AS INTEGER) AS end_line, s.start_column, s.end_column, s.rule_id, s.source, s.severity, s.confidence,
          CASE WHEN s.rule_id = 'rule.A' THEN coalesce(f.lines[s.start_line][3:32], 'n/a')
+              WHEN s.rule_id = 'rule.N' AND s.supplier_id % 3 = 2 THEN coalesce(right(f.lines[s.start_line + 1], 2) || chr(10) || f.lines[s.start_line + 2], 'n/a')
               WHEN s.rule_id = 'rule.N' THEN coalesce(f.lines[s.start_line] || chr(10) || f.lines[s.start_line + 1], 'n/a')
               ELSE 'not in   the text' END AS evidence,
          f.lines, s.part_id, s.supplier_id
-  FROM spans s JOIN files f ON f.file_id = s.part_id)"""
+  FROM spans s JOIN files f ON f.file_id = s.part_id % (SELECT count(*) FROM documents))"""
 
 
-# Tables whose rows are expensive to work on; the given files hold one row group each.
+# Tables whose rows are expensive to work on. Where the session sets SPREAD_KEY, they are dealt into that many partitions:
+# for test and bench files of a single row group. Unset, tables are read as they lie.
 SPREAD = ("documents", "lineitem")
+SPREAD_KEY = "spark.verdigris.spread"
 
 
 def with_views(*views: str) -> str:
@@ -90,12 +93,20 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def raw(self, name: str) -> DataFrame:
-        """One given table. A text or fact table too small to give every core a split is spread over the cores."""
+        """One given table; a text or fact table in as many partitions as the session asks for, if it does."""
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in SPREAD and table.rdd.getNumPartitions() < cores:
-            return table.repartition(cores)
-        return table
+        spread = self.spark.conf.get(SPREAD_KEY, None) if name in SPREAD else None
+        return table.repartition(int(spread)) if spread else table
+
+    @cached_property
+    def n_files(self) -> int:
+        """Number of documents; their ids run from 0."""
+        return max(1, self.spark.read.parquet(f"{self.folder}/documents.parquet").count())
+
+    @property
+    def file_of_part(self) -> Column:
+        """The document that a line item's part stands for."""
+        return F.col("part_id") % self.n_files
 
     @cached_property
     def files(self) -> DataFrame:
@@ -210,11 +221,16 @@ class Tables:
         files = self.files_with_lines.select("review_id", "file_id", "path", "language", "lines")
         first = F.get(F.col("lines"), F.col("start_line") - 1)
         second = F.get(F.col("lines"), F.col("start_line"))
-        return spans.join(files, spans.part_id == files.file_id).select(
+        third = F.get(F.col("lines"), F.col("start_line") + 1)
+        return spans.join(files, self.file_of_part == files.file_id).select(
             "finding_id", "review_id", "file_id", "path", "language", "start_line",
             (F.col("start_line") + (F.col("supplier_id") % 3).cast("int")).alias("end_line"),
             "start_column", "end_column", "rule_id", "source", "severity", "confidence",
             F.when(F.col("rule_id") == "rule.A", F.coalesce(F.substring(first, 3, 30), F.lit("n/a")))
+            .when(
+                (F.col("rule_id") == "rule.N") & (F.col("supplier_id") % 3 == 2),
+                F.coalesce(F.concat(F.right(second, F.lit(2)), F.lit("\n"), third), F.lit("n/a")),
+            )
             .when(F.col("rule_id") == "rule.N", F.coalesce(F.concat(first, F.lit("\n"), second), F.lit("n/a")))
             .otherwise("not in   the text").alias("evidence"),
             "part_id", "supplier_id",

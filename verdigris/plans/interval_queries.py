@@ -127,33 +127,37 @@ def _(t: Tables):
     , quoted AS (SELECT *, trim(evidence, ' ' || chr(10)) AS quote, lines[start_line:end_line] AS part FROM text_findings WHERE end_line <= len(lines)),
     kept AS (
       SELECT *, list_position(list_transform(part, lambda x: contains(x, quote)), true) AS whole_at, trim(string_split(quote, chr(10))[1]) AS first, trim(string_split(quote, chr(10))[-1]) AS last,
-        len(string_split(quote, chr(10))) - 1 AS breaks
+        length(quote) - length(replace(quote, chr(10), '')) AS breaks
       FROM quoted WHERE quote <> '' AND contains(trim(regexp_replace(array_to_string(part, ' '), '\s+', ' ', 'g')), trim(regexp_replace(quote, '\s+', ' ', 'g')))),
-    pieces AS (SELECT *, list_position(list_transform(part, lambda x: contains(x, first)), true) AS first_at FROM kept),
     placed AS (
-      SELECT *, CASE WHEN whole_at > 0 THEN start_line + whole_at - 1 WHEN first_at > 0 THEN start_line + first_at - 1 END AS f,
-        CASE WHEN whole_at > 0 THEN start_line + whole_at - 1 WHEN first_at > 0 THEN least(end_line, start_line + first_at - 1 + breaks) END AS e FROM pieces)
+      SELECT *, CASE WHEN whole_at > 0 THEN start_line + whole_at - 1
+        ELSE start_line - 1 + list_filter(range(1, len(part) + 1), lambda a: contains(part[a], first) AND contains(part[least(len(part), a + breaks)], last))[1] END AS f FROM kept),
+    ended AS (SELECT *, CASE WHEN whole_at > 0 THEN f ELSE least(end_line, f + breaks) END AS e FROM placed WHERE f IS NOT NULL)
     SELECT finding_id, CAST(f AS INTEGER) AS start_line, CAST(e AS INTEGER) AS end_line,
       CASE WHEN whole_at > 0 THEN instr(lines[f], quote) ELSE instr(lines[f], first) END AS start_column,
       CASE WHEN whole_at > 0 THEN instr(lines[f], quote) + length(quote) ELSE instr(lines[e], last) + length(last) END AS end_column
-    FROM placed WHERE whole_at > 0 OR (first_at > 0 AND contains(lines[e], last))""",
+    FROM ended""",
 )
 def _(t: Tables):
     located = intervals.locate_evidence(t.text_findings, t.files)
     return located.select("finding_id", "start_line", "start_column", "end_line", "end_column")
 
 
+# Up to four edits per file, well apart.
 EDITS_SQL = """edits AS (
-  SELECT file_id, min(start_line) + 3 AS fix_start, min(start_line) + 3 + CAST(min(supplier_id) % 5 AS INTEGER) AS fix_end, CAST(max(supplier_id) % 6 AS INTEGER) AS new_lines
-  FROM spans WHERE severity = 'critical' GROUP BY file_id)"""
+  SELECT file_id, 3 + 12 * CAST(part_id % 4 AS INTEGER) AS fix_start, 3 + 12 * CAST(part_id % 4 AS INTEGER) + CAST(min(supplier_id) % 5 AS INTEGER) AS fix_end,
+    CAST(max(supplier_id) % 6 AS INTEGER) AS new_lines
+  FROM spans WHERE severity IN ('critical', 'high') GROUP BY file_id, part_id % 4),
+  sized AS (SELECT *, new_lines - (fix_end - fix_start + 1) AS delta FROM edits)"""
 
 
 def edits(t: Tables):
-    first = F.min("start_line") + 3
-    return t.spans.where("severity = 'critical'").groupBy("file_id").agg(
-        first.alias("fix_start"),
-        (first + (F.min("supplier_id") % 5).cast("int")).alias("fix_end"),
-        (F.max("supplier_id") % 6).cast("int").alias("new_lines"),
+    first = 3 + 12 * F.col("slot")
+    return (
+        t.spans.where("severity in ('critical', 'high')").withColumn("slot", (F.col("part_id") % 4).cast("int"))
+        .groupBy("file_id", "slot")
+        .agg((F.min("supplier_id") % 5).cast("int").alias("length"), (F.max("supplier_id") % 6).cast("int").alias("new_lines"))
+        .select("file_id", first.alias("fix_start"), (first + F.col("length")).alias("fix_end"), "new_lines")
     )
 
 
@@ -161,9 +165,10 @@ def edits(t: Tables):
     "shift_findings",
     with_views(SPANS_SQL, EDITS_SQL)
     + """
-    SELECT finding_id, start_line + d AS start_line, end_line + d AS end_line FROM (
-      SELECT s.*, CASE WHEN fix_start IS NULL OR end_line < fix_start THEN 0 WHEN start_line > fix_end THEN new_lines - (fix_end - fix_start + 1) END AS d
-      FROM spans s LEFT JOIN edits USING (file_id)) WHERE d IS NOT NULL""",
+    SELECT finding_id, CAST(start_line + coalesce(sum(delta) FILTER (fix_end < start_line), 0) AS INTEGER) AS start_line,
+      CAST(end_line + coalesce(sum(delta) FILTER (fix_end < start_line), 0) AS INTEGER) AS end_line
+    FROM spans s LEFT JOIN sized e USING (file_id) GROUP BY finding_id, start_line, end_line
+    HAVING count(*) FILTER (fix_start <= end_line AND fix_end >= start_line) = 0""",
 )
 def _(t: Tables):
     return intervals.shift_spans(t.spans, edits(t), ["file_id"]).select("finding_id", "start_line", "end_line")
@@ -173,19 +178,22 @@ def _(t: Tables):
     "shift_ranges",
     with_views(SPANS_SQL, EDITS_SQL)
     + """
-    SELECT finding_id,
-      CASE WHEN fix_start IS NULL OR end_line < fix_start THEN start_line WHEN start_line > fix_end THEN start_line + d ELSE least(start_line, fix_start) END AS start_line,
-      CASE WHEN fix_start IS NULL OR end_line < fix_start THEN end_line WHEN start_line > fix_end THEN end_line + d
-           ELSE greatest(fix_start + greatest(1, new_lines) - 1, end_line + d) END AS end_line
-    FROM (SELECT s.*, e.fix_start, e.fix_end, e.new_lines, new_lines - (fix_end - fix_start + 1) AS d FROM spans s LEFT JOIN edits e USING (file_id))""",
+    , met AS (
+      SELECT finding_id, start_line, end_line, coalesce(sum(delta) FILTER (fix_end < start_line), 0) AS above,
+        coalesce(sum(delta) FILTER (fix_start <= end_line AND fix_end >= start_line), 0) AS inside,
+        min(fix_start) FILTER (fix_start <= end_line AND fix_end >= start_line) AS top,
+        max(fix_start + greatest(1, new_lines) - 1 - delta) FILTER (fix_start <= end_line AND fix_end >= start_line) AS bottom
+      FROM spans s LEFT JOIN sized e USING (file_id) GROUP BY finding_id, start_line, end_line)
+    SELECT finding_id, CAST(above + least(start_line, coalesce(top, start_line)) AS INTEGER) AS start_line,
+      CAST(above + inside + greatest(end_line, coalesce(bottom, end_line)) AS INTEGER) AS end_line FROM met""",
 )
 def _(t: Tables):
     return intervals.shift_spans(t.spans, edits(t), ["file_id"], on_overlap="widen").select("finding_id", "start_line", "end_line")
 
 
 LINE_EDITS_SQL = """line_edits AS (
-  SELECT l_partkey AS file_id, min(l_linenumber) AS start_line, min(l_linenumber) + 1 AS end_line, 'new text' || chr(10) || min(l_suppkey) AS replacement FROM lineitem GROUP BY 1
-  UNION ALL SELECT l_partkey, 20, 20, '' FROM lineitem GROUP BY 1)"""
+  SELECT l_partkey % (SELECT count(*) FROM documents) AS file_id, min(l_linenumber) AS start_line, min(l_linenumber) + 1 AS end_line, 'new text' || chr(10) || min(l_suppkey) AS replacement FROM lineitem GROUP BY 1
+  UNION ALL SELECT l_partkey % (SELECT count(*) FROM documents), 20, 20, '' FROM lineitem GROUP BY 1)"""
 
 
 @query(
@@ -198,13 +206,14 @@ LINE_EDITS_SQL = """line_edits AS (
     SELECT file_id, sha256(string_agg(text, chr(10) ORDER BY line)) AS sha256 FROM kept GROUP BY file_id""",
 )
 def _(t: Tables):
-    lines = t.raw("lineitem").groupBy(F.col("l_partkey").alias("file_id"))
+    file_id = (F.col("l_partkey") % t.n_files).alias("file_id")
+    lines = t.raw("lineitem").groupBy(file_id)
     first = F.min("l_linenumber")
     changes = lines.agg(
         first.alias("start_line"), (first + 1).alias("end_line"),
         F.concat(F.lit("new text\n"), F.min("l_suppkey").cast("string")).alias("replacement"),
     ).unionByName(
-        t.raw("lineitem").select(F.col("l_partkey").alias("file_id")).distinct().select(
+        t.raw("lineitem").select(file_id).distinct().select(
             "file_id", F.lit(20).alias("start_line"), F.lit(20).alias("end_line"), F.lit("").alias("replacement")
         )
     )
@@ -216,18 +225,19 @@ def _(t: Tables):
     with_views(FILES_SQL, LINES_SQL, SPANS_SQL)
     + """
     , required AS (SELECT file_id, line FROM lines WHERE trim(text) <> '' AND trim(text) NOT LIKE '#%'),
-    spans2 AS (SELECT part_id AS file_id, start_line, end_line - 6 AS end_line FROM spans WHERE severity <> 'info' AND end_line - 6 >= start_line),
+    spans2 AS (SELECT part_id % (SELECT count(*) FROM documents) AS file_id, start_line, least(start_line + supplier_id % 2, end_line) AS end_line FROM spans WHERE severity <> 'info'),
     marked AS (SELECT r.*, EXISTS (SELECT 1 FROM spans2 s WHERE s.file_id = r.file_id AND r.line BETWEEN s.start_line AND s.end_line) AS hit FROM required r)
     SELECT file_id, count(*) AS required, count(*) FILTER (hit) AS covered, count(*) FILTER (hit) * 100.0 / count(*) AS percent,
-      min(line) FILTER (NOT hit) AS first_missing_line FROM marked GROUP BY file_id""",
+      min(line) FILTER (NOT hit) AS first_missing_line, coalesce(string_agg(line, ',' ORDER BY line) FILTER (NOT hit), '') AS missing_lines FROM marked GROUP BY file_id""",
 )
 def _(t: Tables):
     significant = projections.significant_lines(t.files.withColumn("language", F.lit("python")))
-    leaves = t.spans.where("end_line - 6 >= start_line").select(
-        F.col("part_id").alias("file_id"), F.col("start_line").alias("target_start_line"), (F.col("end_line") - 6).alias("target_end_line"),
+    leaves = t.spans.select(
+        t.file_of_part.alias("file_id"), F.col("start_line").alias("target_start_line"),
+        F.least(F.col("start_line") + F.col("supplier_id") % 2, "end_line").alias("target_end_line"),
         F.when(F.col("severity") == "info", "superseded").otherwise("completed").alias("status"),
     )
-    return intervals.line_coverage(significant, leaves)
+    return intervals.line_coverage(significant, leaves).withColumn("missing_lines", F.array_join("missing_lines", ","))
 
 
 @query(
@@ -236,8 +246,8 @@ def _(t: Tables):
     + """
     SELECT f.file_id, CAST(sum(greatest(1, end_line - start_line - 10)) AS BIGINT) AS error_bytes, greatest(1, any_value(strlen(content))) AS size,
       sum(greatest(1, end_line - start_line - 10)) / greatest(1, any_value(strlen(content))) > 0.15 AS rejected
-    FROM files f JOIN spans s ON s.part_id = f.file_id GROUP BY f.file_id""",
+    FROM files f JOIN spans s ON s.part_id % (SELECT count(*) FROM documents) = f.file_id GROUP BY f.file_id""",
 )
 def _(t: Tables):
-    errors = t.spans.select(F.col("part_id").alias("file_id"), (F.col("end_line") - F.col("start_line") - 10).alias("error_bytes"))
+    errors = t.spans.select(t.file_of_part.alias("file_id"), (F.col("end_line") - F.col("start_line") - 10).alias("error_bytes"))
     return intervals.parse_error_gate(errors, t.files)

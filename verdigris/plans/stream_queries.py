@@ -209,7 +209,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     tries = event_stream(t).select(
-        F.concat(F.lit("user"), (F.col("review_id") % 40).cast("string")).alias("username"), (F.col("sequence") % 2).alias("source"), "sequence", "at",
+        F.concat(F.when(F.col("sequence") % 3 == 0, "USER").otherwise("user"), (F.col("review_id") % 40).cast("string")).alias("username"),
+        (F.col("sequence") % 2).alias("source"), "sequence", "at",
         (F.col("event") == "purchase").alias("succeeded"),
     )
     return runs.append_all(stateful.stream_rate_limit(tries, 3, 90000), "limits")

@@ -103,7 +103,7 @@ def _(t: Tables):
 
 FIT_SQL = """targets AS (SELECT file_id AS chunk_id, content AS target_code, path AS target_path, len(lines) AS target_end_line FROM files),
   refs AS (
-    SELECT part_id AS chunk_id, supplier_id % 4 AS rank, 'p' || supplier_id AS path, start_line, end_line, repeat(finding_id, 12) AS code, finding_id FROM spans),
+    SELECT part_id % (SELECT count(*) FROM documents) AS chunk_id, supplier_id % 4 AS rank, 'p' || supplier_id AS path, start_line, end_line, repeat(finding_id, 12) AS code, finding_id FROM spans),
   base AS (SELECT chunk_id, 2048 + greatest(1, ceil(strlen(target_code) / 2)) + 32 AS base_tokens FROM targets),
   costed AS (
     SELECT r.*, greatest(1, ceil(strlen(path || ':' || start_line || '-' || end_line || code) / 2)) + 32 AS cost,
@@ -123,7 +123,7 @@ def fitted(t: Tables):
         F.lit(1).alias("target_start_line"), F.size("lines").alias("target_end_line"),
     )
     refs = t.spans.select(
-        F.col("part_id").alias("chunk_id"), (F.col("supplier_id") % 4).alias("rank"), F.concat(F.lit("p"), F.col("supplier_id").cast("string")).alias("path"),
+        t.file_of_part.alias("chunk_id"), (F.col("supplier_id") % 4).alias("rank"), F.concat(F.lit("p"), F.col("supplier_id").cast("string")).alias("path"),
         "start_line", "end_line", F.repeat("finding_id", F.lit(12)).alias("code"),
     )
     return targets, refs

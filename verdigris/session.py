@@ -21,6 +21,8 @@ def build_session(app: str = "verdigris", master: str | None = None, **conf: obj
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Keeps the cut of the first n rows per key before the shuffle for every n that the operators offer.
+        "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from verdigris.operators.circuit import COOLDOWN_SECONDS, FAILURE_THRESHOLD, after_attempt
@@ -221,9 +222,9 @@ def expire_by_ttl(stream: DataFrame, seconds: int) -> DataFrame:
 
 
 def stream_rate_limit(stream: DataFrame, allowed: int = LOGIN_ATTEMPTS, window_seconds: int = LOGIN_WINDOW_SECONDS) -> DataFrame:
-    """Verdict per attempt. ``stream``: username, source, sequence, at, succeeded."""
+    """Verdict per attempt, the username's case ignored. ``stream``: username, source, sequence, at, succeeded."""
     return _process(
-        stream, ["username", "source"], RateLimiter(allowed, window_seconds),
+        stream.withColumn("username", F.lower("username")), ["username", "source"], RateLimiter(allowed, window_seconds),
         "username string, source bigint, sequence bigint, recent_failures int, allowed boolean",
     )
 
