@@ -48,8 +48,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Cut lineage through a parquet table in the shared folder, so lost executors cost no recompute."""
+def settle(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
+    """Cut lineage through a parquet table in the shared folder, so lost executors cost no recompute.
+
+    With ``partition_by``, a read that filters on that column opens its own folder only.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*(f"`{column}`" for column in df.columns))
