@@ -138,7 +138,7 @@ def group_of(docs: DataFrame, key: str = "doc_id", fingerprint: str = "fingerpri
 PASSAGE, LONGEST_PASSAGE = 16, 64
 #: Fingerprints of texts with similar shingles differ in fewer bits: for a Jaccard similarity of 0.8 about 10 of 64 with a
 #: deviation of 3. Candidates beyond this distance aren't read again.
-FAR = 24
+FAR = 20
 #: Random orders by which the texts that share a passage choose whom they all meet.
 CENTRES = 8
 #: Up to so many texts of one length that share a passage are all compared with each other by length and fingerprint.
@@ -154,8 +154,9 @@ def _majority(hashes: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np
     return np.packbits(2 * sums > whole[:, None], axis=1, bitorder="little").view("<i8").ravel()
 
 
-def passages(data: np.ndarray, begins: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts that lie end to end: distinct shingles per text, their fingerprint, and row and fingerprint of each passage.
+def passages(data: np.ndarray, begins: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts that lie end to end: distinct shingles per text, their fingerprint, row and fingerprint of each passage, and a
+    sketch per text: for each 64th of the hash space a byte of the least shingle hash in it, or zero.
 
     Passage ends depend on the words around them alone, so an edit changes one passage or two. Passages of fewer words than
     a shingle are left to the fingerprint of the text, which counts as a passage too.
@@ -166,7 +167,7 @@ def passages(data: np.ndarray, begins: np.ndarray, shingle: int) -> tuple[np.nda
     n, rows = len(words), len(begins) - 1
     length = np.diff(firsts)
     if not n:
-        return np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.arange(rows), np.zeros(rows, np.int64)
+        return np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.arange(rows), np.zeros(rows, np.int64), np.zeros((rows, 64), np.uint8)
     row = row_of(firsts, n)
     at = np.arange(n)
     last = np.minimum(at + shingle, firsts[1:][row])
@@ -176,6 +177,11 @@ def passages(data: np.ndarray, begins: np.ndarray, shingle: int) -> tuple[np.nda
     again = (row[order][1:] == row[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
     inner[order[1:][again]] = False
     shingles = np.bincount(row[inner], minlength=rows)
+    ordered = order[inner[order]]
+    bin_of = row[ordered] * 64 + (hashes[ordered] >> np.uint64(58)).astype(np.int64)
+    least = np.flatnonzero(np.r_[True, bin_of[1:] != bin_of[:-1]])
+    sketch = np.zeros((rows, 64), np.uint8)
+    sketch.ravel()[bin_of[least]] = (mixed(hashes[ordered[least]]) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
     filled_rows = np.flatnonzero(length > 0)
     whole = np.zeros(rows, np.int64)
     whole[filled_rows] = _majority(hashes, firsts[:-1][filled_rows], inner)
@@ -190,7 +196,8 @@ def passages(data: np.ndarray, begins: np.ndarray, shingle: int) -> tuple[np.nda
     prints = _majority(hashes, begin, inside)
     long_enough = end - begin >= shingle
     return (
-        shingles, whole, np.concatenate([np.arange(rows), row[begin[long_enough]]]), np.concatenate([whole, prints[long_enough]])
+        shingles, whole, np.concatenate([np.arange(rows), row[begin[long_enough]]]), np.concatenate([whole, prints[long_enough]]),
+        sketch,
     )
 
 
@@ -201,7 +208,7 @@ def _profiles(texts: DataFrame, shingle: int) -> DataFrame:
         for batch in slices(batches, "said"):
             said = filled(batch.column("said"))
             for first, last in blocks(said):
-                shingles, whole, row, prints = passages(*text_bytes(said, first, last), shingle)
+                shingles, whole, row, prints, sketch = passages(*text_bytes(said, first, last), shingle)
                 order = np.lexsort((prints, row))
                 row, prints = row[order], prints[order]
                 new = np.r_[True, (row[1:] != row[:-1]) | (prints[1:] != prints[:-1])]
@@ -210,11 +217,28 @@ def _profiles(texts: DataFrame, shingle: int) -> DataFrame:
                     [
                         batch.column("node")[first:last], pa.array(shingles), pa.array(whole),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(prints[new])),
+                        pa.array([one.tobytes() for one in sketch], pa.binary()),
                     ],
-                    names=["node", "shingles", "fingerprint", "passages"],
+                    names=["node", "shingles", "fingerprint", "passages", "sketch"],
                 )
 
-    return texts.mapInArrow(run, "node string, shingles long, fingerprint long, passages array<long>")
+    return texts.mapInArrow(run, "node string, shingles long, fingerprint long, passages array<long>, sketch binary")
+
+
+def _promising(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sketches agree in as many places as the similarity asks for, less four standard deviations and one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (
+                np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(-1, 64) for name in ("sketch_a", "sketch_b")
+            )
+            used = ((a > 0) | (b > 0)).sum(1)
+            same = ((a == b) & (a > 0)).sum(1)
+            good = same >= used * least - 4 * np.sqrt(used * least * (1 - least)) - 1
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a string, b string")
 
 
 def similarity(a: str, b: str, shingle: int) -> float:
@@ -229,13 +253,14 @@ def similarity(a: str, b: str, shingle: int) -> float:
 
 
 def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Links between distinct texts (``node``, ``said``): pairs ``a``, ``b`` whose shingles' Jaccard similarity is ``least`` or more.
+    """Links between distinct texts (``node``, ``said``): pairs ``a``, ``b`` whose shingles' Jaccard similarity is ``least`` or more,
+    enough of them to connect all texts that such pairs connect.
 
     Such pairs differ in more fingerprint bits than any search over 64 bits can bridge, so candidates come from two sides:
     texts whose fingerprints differ in at most 3 bits (``links``), and texts that share the fingerprint of a passage. At this
     similarity fewer than one word in forty is edited, so passages of some sixteen words are left whole. Texts that share
     a passage meet those of about their length: all of them up to ``SMALL``, else the first in each of ``CENTRES`` random
-    orders, so a passage of many texts costs each of them a fixed number of comparisons. Lengths and fingerprints sort out most candidates, the rest
+    orders, so a passage of many texts costs each of them a fixed number of comparisons. Lengths, fingerprints and sketches sort out most candidates, the rest
     are read again and compared shingle by shingle.
     """
     profiles = settle(_profiles(texts, shingle).withColumn("id", F.xxhash64("node")), "text-profiles")
@@ -255,27 +280,41 @@ def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     like = lambda n, f: (
         (F.least("n", n) >= least * F.greatest("n", n) - 1e-9) & (F.bit_count(F.col("f").bitwiseXOR(f)) <= FAR)
     )
-    met = F.filter(
+    chosen = F.filter(
         F.array(*(F.when(like(F.col(f"n{turn}"), F.col(f"f{turn}")), F.col(f"id{turn}")) for turn in range(CENTRES))),
         lambda one: one.isNotNull() & (one != F.col("id")),
     )
     placed = banded.join(centres, ["passage", "band"])
-    by_passage = placed.where(F.col("members") > SMALL).select("id", F.explode(F.array_distinct(met)).alias("other"))
+    by_passage = placed.where(F.col("members") > SMALL).select("id", F.explode(F.array_distinct(chosen)).alias("other"))
     small = placed.where(F.col("members") <= SMALL).select("passage", "band", "id", "n", "f")
     others = small.select("passage", "band", F.col("id").alias("other"), F.col("n").alias("n2"), F.col("f").alias("f2"))
     by_group = small.join(others, ["passage", "band"]).where((F.col("id") < F.col("other")) & like(F.col("n2"), F.col("f2"))).select("id", "other")
     prints = profiles.groupBy("fingerprint").agg(F.min("id").alias("id"))
     near = links(prints, 3).join(prints.select(F.col("fingerprint").alias("a"), "id"), "a")
     by_bits = near.join(prints.select(F.col("fingerprint").alias("b"), F.col("id").alias("other")), "b").select("id", "other")
-    name = lambda one, as_: profiles.select(F.col("id").alias(one), F.col("node").alias(as_))
-    candidates = settle(
+    name = lambda one, as_: profiles.select(F.col("id").alias(one), F.col("node").alias(as_), F.col("sketch").alias(f"sketch_{as_}"))
+    met = (
         by_passage.unionByName(by_group).unionByName(by_bits).select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
-        .join(name("id", "a"), "id").join(name("other", "b"), "other").select("a", "b"),
-        "near-candidates",
+        .join(name("id", "a"), "id").join(name("other", "b"), "other")
     )
-    wanted = settle(candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct(), "near-nodes")
+    candidates = settle(_promising(met, least), "near-candidates")
+    # First one pair per text; of the others only those whose texts are not connected by then.
+    star = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = settle(_alike(star, texts, least, shingle), "near-links")
+    roots = settle(components(first), "near-roots")
+    root = lambda one: roots.select(F.col("node").alias(one), F.col("root").alias(f"root_{one}"))
+    rest = candidates.join(root("a"), "a", "left").join(root("b"), "b", "left").where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    ).select("a", "b")
+    return first.unionByName(_alike(rest.join(star, ["a", "b"], "left_anti"), texts, least, shingle))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """The pairs whose texts are that similar, read again and compared shingle by shingle."""
+    pairs = settle(pairs, "near-pairs")
+    wanted = settle(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near-nodes")
     read = settle(sift(texts, wanted, ["node"]).join(wanted, "node"), "near-texts")
-    pairs = candidates.join(read.select(F.col("node").alias("a"), F.col("said").alias("said_a")), "a").join(
+    both = pairs.join(read.select(F.col("node").alias("a"), F.col("said").alias("said_a")), "a").join(
         read.select(F.col("node").alias("b"), F.col("said").alias("said_b")), "b"
     )
 
@@ -287,7 +326,7 @@ def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> D
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("a", "b", "said_a", "said_b").mapInArrow(verify, "a string, b string")
+    return both.select("a", "b", "said_a", "said_b").mapInArrow(verify, "a string, b string")
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
