@@ -21,8 +21,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null texts are scored as empty ones; equal rows share their fate; an empty table stays empty.
     """
     labels = settle(quality.labels_of(table(spark, sf_dir, "labels")), "quality-labels")
-    known = sift(docs.select("doc_id", "text"), labels, ["doc_id"]).join(labels, "doc_id")
-    forest = quality.fit(settle(quality.with_features(known).select("doc_id", "quality", "features"), "quality-features"), "quality", F.col("doc_id"))
+    # Features first: the labels then meet a few numbers per document instead of its text.
+    known = quality.with_features(sift(docs.select("doc_id", "text"), labels, ["doc_id"])).select("doc_id", "features")
+    forest = quality.fit(settle(known, "quality-features").join(labels, "doc_id"), "quality", F.col("doc_id"))
     score = fresh(docs, "quality_score")
     return quality.with_score(docs, forest, score=score).where(F.col(score) >= 0.3).drop(score)
 
