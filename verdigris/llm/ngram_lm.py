@@ -42,7 +42,7 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def token_blocks(docs: DataFrame, key: str, held_out: Column, text: str = "text", tokens_per_block: int = 2_000_000) -> DataFrame:
+def token_blocks(docs: DataFrame, key: str, held_out: Column, text: str = "text", tokens_per_block: int = 1_000_000) -> DataFrame:
     """Blocks of whole texts: ``block``, keys, held-out flags and lengths of the texts, word hashes by falling frequency, their
     training counts, and every token as a place among them. A text longer than a block is a block of its own."""
 
@@ -230,7 +230,7 @@ def _shard_trie(frame: pd.DataFrame, prior: float, share: float) -> tuple[Trie,
 
 def score(
     docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", prior: float = 50.0, share: float = 2.0,
-    least_count: int = 2, tokens_per_block: int = 2_000_000, entries_per_shard: int = 2_000_000,
+    least_count: int = 2, tokens_per_block: int = 1_000_000, entries_per_shard: int = 2_000_000,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
