@@ -1,3 +1,4 @@
+import time
 import random
 
 import pytest
@@ -155,3 +156,15 @@ def test_split_lines_like_plain_text(spark):
     samples = ["a\nb", "a\n", "", "\n", "a\r\nb\rc\x0bd\u2028e", "a\n\n"]
     df = spark.createDataFrame([(sample,) for sample in samples], "content string")
     assert [row.lines for row in df.select(text.split_lines("content").alias("lines")).collect()] == [sample.splitlines() for sample in samples]
+
+
+def test_merging_one_hot_identity_takes_linear_time(spark):
+    """A hundred thousand disjoint static spans of one identity, every fourth hit again by an overlapping one."""
+    n = 100_000
+    base = spark.range(n).selectExpr("1 as file_id", "'r' as rule_id", "'s' as symbol", "'e' as evidence", "'static' as source", "id")
+    spans = base.selectExpr("*", "cast(10 * id as int) as start_line", "cast(10 * id + 5 as int) as end_line", "0 as start_column", "concat('a', id) as finding_id")
+    again = base.where("id % 4 = 0").selectExpr("*", "cast(10 * id + 3 as int) as start_line", "cast(10 * id + 4 as int) as end_line", "0 as start_column", "concat('b', id) as finding_id")
+    began = time.time()
+    got = merging.merge_findings(spans.unionByName(again)).groupBy("deduplicated").count().collect()
+    assert {row["deduplicated"]: row["count"] for row in got} == {True: n // 4, False: n - n // 4}
+    assert time.time() - began < 90

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import normalize_evidence
@@ -28,7 +31,7 @@ def merge_findings(findings: DataFrame) -> DataFrame:
     only; the full findings are joined back once at the end (``finding_id`` is unique):
 
     * Static: of equal starts only the first can survive, so a map-side aggregate leaves at most one row per
-      start line. Survivors never overlap, hence the fold over those rows only looks at the last survivor.
+      start line. Survivors never overlap, hence one streaming pass over those rows in order only holds the last survivor.
     * Model findings next to static survivors: those are disjoint, so the first survivor a finding can hit is
       the one with the smallest end at or after its start. One window finds it.
     * Model findings among themselves: starts only grow, so only the latest survivor can still be hit. Every
@@ -68,34 +71,36 @@ def _static_survivors(keyed: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("_copies"),
         )
     )
-    items = F.sort_array(
-        F.collect_list(
-            F.struct(
-                "start_line", F.col("_first.end_line").alias("end_line"), (F.col("_copies") > 1).alias("flag"),
-                F.col("_first.finding_id").alias("id"),
-            )
-        )
-    )
-
-    def step(kept: Column, item: Column) -> Column:
-        last = F.element_at(kept, -1)
-        hit = (F.size(kept) > 0) & F.coalesce(last["end_line"] >= item["start_line"], F.lit(False))
-        marked = F.struct(
-            last["start_line"].alias("start_line"), last["end_line"].alias("end_line"), F.lit(True).alias("flag"), last["id"].alias("id")
-        )
-        return F.when(hit, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(marked))).otherwise(
-            F.concat(kept, F.array(item))
-        )
-
-    gathered = first.groupBy(*IDENTITY).agg(items.alias("_items"))
-    survivors = F.aggregate("_items", F.slice("_items", 1, 0), step)
-    return gathered.select(*IDENTITY, F.explode(survivors).alias("_kept")).select(
-        *IDENTITY,
-        F.col("_kept.start_line").alias("start_line"),
-        F.col("_kept.end_line").alias("end_line"),
-        F.col("_kept.flag").alias("_flag"),
-        F.col("_kept.id").alias("_static_id"),
+    ordered = first.select(
+        *IDENTITY, "start_line", F.col("_first.end_line").alias("end_line"), (F.col("_copies") > 1).alias("_flag"),
+        F.col("_first.finding_id").alias("_static_id"),
     )
+    names = ordered.columns
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keeps the last survivor; it is passed on, with its final flag, once the next one is known."""
+        last: list | None = None
+        kind = None
+        for batch in batches:
+            kind = batch.schema
+            done: list[list] = []
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if last is not None and tuple(last[:width]) == row[:width] and last[end] is not None and last[end] >= row[start]:
+                    last[flag] = True
+                    continue
+                if last is not None:
+                    done.append(last)
+                last = list(row)
+            yield rows(done, kind)
+        if last is not None:
+            yield rows([last], kind)
+
+    def rows(done: list[list], kind: pa.Schema) -> pa.RecordBatch:
+        columns = zip(*done, strict=True) if done else [[] for _ in kind]
+        return pa.RecordBatch.from_arrays([pa.array(list(column), field.type) for column, field in zip(columns, kind, strict=True)], schema=kind)
+
+    width, start, end, flag = len(IDENTITY), names.index("start_line"), names.index("end_line"), names.index("_flag")
+    return ordered.repartition(*IDENTITY).sortWithinPartitions(*IDENTITY, "start_line").mapInArrow(walk, ordered.schema)
 
 
 def _survivors(met: DataFrame) -> DataFrame:

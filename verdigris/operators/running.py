@@ -59,17 +59,10 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: s
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Newest row per key as a map-side combined aggregate."""
-    rest = [name for name in df.columns if name not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    )
-    return picked.select(*keys, "_row.*").select(*df.columns)
+    """Newest row per key; Spark keeps one row per key and task before the shuffle."""
+    return first_n(df, keys, [F.desc(name) for name in order], 1, "_newest").drop("_newest")
 
 
 def earliest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rest = [name for name in df.columns if name not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    )
-    return picked.select(*keys, "_row.*").select(*df.columns)
+    """Oldest row per key, likewise."""
+    return first_n(df, keys, [F.asc(name) for name in order], 1, "_oldest").drop("_oldest")
