@@ -76,10 +76,13 @@ class Codec:
         return self._plain.decode_bytes(ids)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", packed: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", packed: bool = False, decoded: str | None = None
+) -> DataFrame:
     """``docs`` with the token ids of every whole text, without special tokens.
 
-    ``ids`` is an array of integers, or with ``packed`` a binary of little-endian unsigned 32-bit integers. A null or empty
+    ``ids`` is an array of integers, or with ``packed`` a binary of little-endian unsigned 32-bit integers. With
+    a name for ``decoded``, the bytes that the ids decode to come in the same pass. A null or empty
     text has no ids. Long texts are cut at safe boundaries only, so ids do not depend on the cuts. Other columns stay as
     they are, one called like ``ids`` is replaced; equal rows give equal results; an empty table gives an empty one. The
     rank file must lie at ``path`` on every executor.
@@ -96,10 +99,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 column = pa.ListArray.from_arrays(
                     pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat.astype(np.int32), pa.int32())
                 )
-            yield with_column(batch, kept, ids, column)
-
-    base, kept, fields = columns_but(docs, ids)
-    return base.mapInArrow(run, f"{fields}`{ids}` {'binary' if packed else 'array<int>'}")
+            out = with_column(batch, kept, ids, column)
+            if decoded:
+                out = with_column(out, [*kept, ids], decoded, pa.array([codec.decode(one.tolist()) for one in found], pa.binary()))
+            yield out
+
+    base, kept, fields = columns_but(docs.drop(decoded) if decoded and decoded != text else docs, ids)
+    more = f", `{decoded}` binary" if decoded else ""
+    return base.mapInArrow(run, f"{fields}`{ids}` {'binary' if packed else 'array<int>'}{more}")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

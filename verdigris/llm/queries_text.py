@@ -21,8 +21,7 @@ def rank_file() -> tuple[str, str]:
 @query("op5_bpe")
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, *rank_file(), ids="packed_ids", packed=True).select("doc_id", "packed_ids")
-    decoded = bpe.decode(encoded, *rank_file(), ids="packed_ids")
+    decoded = bpe.encode(docs, *rank_file(), ids="packed_ids", packed=True, decoded="decoded")
     return decoded.select(
         "doc_id",
         (F.octet_length("packed_ids") / 4).cast("long").alias("n_tokens"),
