@@ -63,8 +63,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` and whether the decoded bytes are the text's (null texts count as empty)."""
     path, pattern = rank_file()
-    encoded = bpe.encode(docs.select("doc_id", "text"), path, pattern)
-    decoded = bpe.decode(encoded, path, pattern)
+    decoded = bpe.encode(docs.select("doc_id", "text"), path, pattern, decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
