@@ -60,7 +60,7 @@ def sift(df: DataFrame, keys: DataFrame, columns: list[str], keep: bool = True)
     return held.where(there if keep else ~there).drop(word, bit)
 
 
-def blocks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes, so that scratch arrays stay small; a longer text is a range of its own."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) or pa.types.is_binary(texts.type) else np.int64)
     offsets = offsets[texts.offset : texts.offset + len(texts) + 1]
@@ -78,7 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         column = batch.column(text)
         if not column.type.equals(pa.string()) and not pa.types.is_binary(column.type):
             column = column.cast(pa.string())
-        for first, last in blocks(column):
+        for first, last in blocks(column, 1 << 20):
             yield batch.slice(first, last - first)
 
 
