@@ -255,6 +255,52 @@ def test_near_duplicates_against_all_pairs(docs, corpus):
     assert simhash.without_near_duplicates(docs.limit(0)).count() == 0
 
 
+def near_groups(texts):
+    """Least place of each group of texts that pairs of similarity 0.8 connect, by comparing all pairs."""
+    sets = []
+    for text in texts:
+        words = fold(text)
+        k = min(5, len(words))
+        sets.append(frozenset(tuple(words[at : at + k]) for at in range(len(words) - k + 1)) if k else frozenset())
+    pairs = [p for p in itertools.combinations(range(len(sets)), 2) if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]]) - 1e-9]
+    root = union_find(range(len(sets)), pairs)
+    least = {}
+    for at in range(len(sets)):
+        least.setdefault(root[at], at)
+    return sorted(least.values())
+
+
+def kept_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return sorted(row["doc_id"] for row in simhash.without_near_duplicates(df).collect())
+
+
+def test_near_duplicates_in_a_large_group(spark):
+    """Two texts in a family of over 64 that share only the family's passages still meet."""
+    template = [f"t{n}" for n in range(60)]
+    texts = []
+    for n in range(120):
+        own = [f"o{n}x{k}" for k in range(12)]
+        texts.append(" ".join(template + own))
+        if n % 2:
+            own[6] = "edited"
+            texts.append(" ".join(template + own))
+    want = near_groups(texts)
+    assert len(want) == 120 and kept_of(spark, texts) == want
+
+
+def test_near_duplicates_of_short_texts(spark):
+    dice = random.Random(11)
+    texts = ["", "one", "One ", "one two"]
+    for length in range(10, 81):
+        words = [f"s{dice.randrange(5000)}" for _ in range(length)]
+        texts.append(" ".join(words))
+        more = [f"m{dice.randrange(5000)}" for _ in range(max(1, length // 10))]
+        texts += [" ".join(words + more), " ".join(more + words), " ".join([*words[: length // 2], "new", *words[length // 2 + 1 :]])]
+    want = near_groups(texts)
+    assert len(want) < 200 and kept_of(spark, texts) == want
+
+
 def test_containment(spark, docs, corpus):
     words = next(text for doc, text in corpus if doc == 104).split()
     items = [(1, " ".join(words[10:40])), (2, " ".join(words[100:120] + ["new"] * 2)), (3, " ".join(words[5:20] + ["new"] * 9)), (4, "one two"), (5, ""), (6, None)]

@@ -143,6 +143,8 @@ FAR = 20
 CENTRES = 8
 #: Up to so many texts of one length that share a passage are all compared with each other by length and fingerprint.
 SMALL = 64
+#: Shingles that so many sampled texts hold come last in the order of prefixes, up to so many of them; they decide costs only.
+SAMPLED, COMMON, MOST_COMMON = 20_000, 3, 1 << 16
 
 
 def _majority(hashes: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np.ndarray:
@@ -154,6 +156,39 @@ def _majority(hashes: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np
     return np.packbits(2 * sums > whole[:, None], axis=1, bitorder="little").view("<i8").ravel()
 
 
+def shingle_hashes(data: np.ndarray, begins: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the distinct shingles of texts that lie end to end, by row and hash."""
+    starts, ends, firsts = word_spans(lowered(data), begins)
+    words = span_hashes(lowered(data), starts, ends)
+    row, at = row_of(firsts, len(words)), np.arange(len(words))
+    inner = (at + shingle <= firsts[1:][row]) | (at == firsts[:-1][row])
+    hashes, row = run_hashes(words, at, np.minimum(at + shingle, firsts[1:][row]))[inner], row[inner]
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])] if len(row) else np.zeros(0, bool)
+    return row[new], hashes[new]
+
+
+def prefixes(row: np.ndarray, hashes: np.ndarray, rows: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text's n distinct shingles the first n - ceil(least n) + 1 in one order for all texts, ``common`` ones (sorted
+    hashes and their counts) last: row and hash, and per text the number of shingles, modulo 256, in each 64th of the hash space.
+
+    Two texts whose similarity is ``least`` or more share one of these, whatever the order.
+    """
+    bins = np.bincount(row * 64 + (hashes >> np.uint64(58)).astype(np.int64), minlength=rows * 64).astype(np.uint8).reshape(rows, 64)
+    if not len(row):
+        return row, hashes, bins
+    weight = np.zeros(len(row), np.int64)
+    if len(common[0]):
+        place = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        weight = np.where(common[0][place] == hashes, common[1][place], 0)
+    order = np.lexsort((hashes, weight, row))
+    n = np.bincount(row, minlength=rows)
+    at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    kept = at <= (n - np.ceil(n * least - 1e-9))[row]
+    return row[kept], hashes[order][kept], bins
+
+
 def passages(data: np.ndarray, begins: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For texts that lie end to end: distinct shingles per text, their fingerprint, row and fingerprint of each passage, and a
     sketch per text: for each 64th of the hash space a byte of the least shingle hash in it, or zero.
@@ -201,8 +236,28 @@ def passages(data: np.ndarray, begins: np.ndarray, shingle: int) -> tuple[np.nda
     )
 
 
-def _profiles(texts: DataFrame, shingle: int) -> DataFrame:
-    """Per text: node, shingles, fingerprint and the distinct fingerprints of its passages."""
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the shingles that are most common in a sample of the texts, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "said"):
+            said = filled(batch.column("said"))
+            for first, last in blocks(said):
+                _, hashes = shingle_hashes(*text_bytes(said, first, last), shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
+
+    parts = max(1, texts.count() // SAMPLED)
+    sampled = texts.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == 0).select("said").mapInArrow(run, "hash long")
+    counted = sampled.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    rows = counted.orderBy(F.desc("n"), "hash").limit(MOST_COMMON).collect()
+    hashes = np.array([row["hash"] for row in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([row["n"] for row in rows], np.int64)[order]
+
+
+def _profiles(texts: DataFrame, shingle: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Per text: node, shingles, fingerprint, the distinct fingerprints of its passages, sketch, prefix (a single zero for a
+    text without words) and bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "said"):
@@ -213,16 +268,88 @@ def _profiles(texts: DataFrame, shingle: int) -> DataFrame:
                 row, prints = row[order], prints[order]
                 new = np.r_[True, (row[1:] != row[:-1]) | (prints[1:] != prints[:-1])]
                 offsets = np.searchsorted(row[new], np.arange(last - first + 1)).astype(np.int32)
+                of, prefix, bins = prefixes(*shingle_hashes(*text_bytes(said, first, last), shingle), last - first, least, common)
+                wordless = np.flatnonzero(shingles == 0)
+                of, prefix = np.r_[of, wordless], np.r_[prefix.view(np.int64), np.zeros(len(wordless), np.int64)]
+                by_row = np.argsort(of, kind="stable")
+                cuts = np.searchsorted(of[by_row], np.arange(last - first + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("node")[first:last], pa.array(shingles), pa.array(whole),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(prints[new])),
                         pa.array([one.tobytes() for one in sketch], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(prefix[by_row])),
+                        pa.array([one.tobytes() for one in bins], pa.binary()),
                     ],
-                    names=["node", "shingles", "fingerprint", "passages", "sketch"],
+                    names=["node", "shingles", "fingerprint", "passages", "sketch", "prefix", "bins"],
                 )
 
-    return texts.mapInArrow(run, "node string, shingles long, fingerprint long, passages array<long>, sketch binary")
+    return texts.mapInArrow(
+        run, "node string, shingles long, fingerprint long, passages array<long>, sketch binary, prefix array<long>, bins binary"
+    )
+
+
+def _within(profiles: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs ``id``, ``other`` as nodes ``a``, ``b``, without those whose bins alone hold more differences than ``least`` allows.
+
+    The shingles of one text only are at least as many as the bins' counts differ, modulo 256 too, so no link is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(-1, 64) for name in ("bins_a", "bins_b"))
+            apart = np.minimum(a - b, b - a).sum(1, dtype=np.int64)
+            both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= both * (1 - least) / (1 + least) + 1e-9, pa.bool_()))
+
+    name = lambda one, as_: profiles.select(
+        F.col("id").alias(one), F.col("node").alias(as_), F.col("bins").alias(f"bins_{as_}"), F.col("shingles").alias(f"n_{as_}")
+    )
+    named = pairs.join(name("id", "a"), "id").join(name("other", "b"), "other")
+    return named.select("a", "b", "bins_a", "bins_b", "n_a", "n_b").mapInArrow(run, "a string, b string")
+
+
+def _sharers(profiles: DataFrame, least: float) -> DataFrame:
+    """``hash``, ``id``, ``n``, ``at``: the texts that share a shingle of their prefixes, and its place in each.
+
+    Where the first shingle that two texts share stands at places i and j, i + j shingles are of one text only, at most
+    (n + m)(1 - least) / (1 + least). So one of the texts has it in the first part of its prefix, or nobody need meet there.
+    """
+    each = profiles.select("id", F.col("shingles").alias("n"), F.posexplode("prefix").alias("at", "hash"))
+    early = F.col("at") <= F.col("n") * ((1 - least) / (1 + least)) + 1e-9
+    shared = settle(
+        each.groupBy("hash").agg(F.count(F.lit(1)).alias("members"), F.max(early).alias("early")).where("members > 1 and early").select("hash"),
+        "shared-shingles",
+    )
+    return settle(sift(each, shared, ["hash"]).join(shared, "hash").select("hash", "id", "n", "at"), "shingle-sharers")
+
+
+def _apart(sharers: DataFrame, roots: DataFrame, least: float, centres: bool) -> DataFrame:
+    """Pairs ``id`` < ``other`` of unconnected texts that share a shingle of their prefixes and can be similar by length and place.
+
+    With ``centres`` each text meets one of the texts that share the shingle, else all of them. Of a shingle's texts the
+    largest connected group is never compared within, so one group of near copies costs a row for each text.
+    """
+    root = roots.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"))
+    rooted = settle(sharers.join(root, "id", "left").select("hash", "id", "n", "at", F.coalesce("root", "id").alias("root")), "rooted-sharers")
+    one, order = F.struct("id", "n", "at", "root"), F.xxhash64("id", "hash")
+    groups = rooted.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("k"), F.min_by(one, order).alias("c"), F.min(order).alias("o"))
+    mixed_ones = settle(
+        groups.groupBy("hash").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.min_by("c", "o").alias("c"))
+        .where("roots > 1").select("hash", "main", "c"),
+        "unconnected-shingles",
+    )
+    placed = sift(rooted, mixed_ones, ["hash"]).join(mixed_ones, "hash")
+    if centres:
+        met = placed.select("id", "n", "at", "root", *(F.col(f"c.{name}").alias(f"{name}2") for name in ("id", "n", "at", "root"))).where("root <> root2")
+    else:
+        placed = settle(placed.drop("c"), "placed-sharers")
+        other = placed.select("hash", *(F.col(name).alias(f"{name}2") for name in ("id", "n", "at", "root")))
+        met = placed.where("root <> main").join(other, "hash").where("root <> root2 and (root2 = main or id < id2)")
+    can = (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9) & (
+        F.col("at") + F.col("at2") <= (F.col("n") + F.col("n2")) * ((1 - least) / (1 + least)) + 1e-9
+    )
+    return met.where(can).select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("other")).distinct()
 
 
 def _promising(pairs: DataFrame, least: float) -> DataFrame:
@@ -256,14 +383,16 @@ def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     """Links between distinct texts (``node``, ``said``): pairs ``a``, ``b`` whose shingles' Jaccard similarity is ``least`` or more,
     enough of them to connect all texts that such pairs connect.
 
-    Such pairs differ in more fingerprint bits than any search over 64 bits can bridge, so candidates come from two sides:
-    texts whose fingerprints differ in at most 3 bits (``links``), and texts that share the fingerprint of a passage. At this
-    similarity fewer than one word in forty is edited, so passages of some sixteen words are left whole. Texts that share
-    a passage meet those of about their length: all of them up to ``SMALL``, else the first in each of ``CENTRES`` random
-    orders, so a passage of many texts costs each of them a fixed number of comparisons. Lengths, fingerprints and sketches sort out most candidates, the rest
-    are read again and compared shingle by shingle.
+    First the cheap candidates: texts whose fingerprints differ in at most 3 bits (``links``), and texts that share the
+    fingerprint of a passage of some sixteen words: all of about one length up to ``SMALL``, else the first in each of
+    ``CENTRES`` random orders. Lengths, fingerprints and sketches sort out most of these. They connect most near copies, but
+    not all, for passages of short texts seldom stay whole and random members may be the wrong ones.
+
+    Then the exact ones: two texts of that similarity share a shingle of their prefixes (``prefixes``), and the place where they
+    share it bounds how much they differ. Texts that aren't connected yet meet one of each shingle's texts, then all others;
+    only bounds that lose no link sort these out. What is left is read again and compared shingle by shingle.
     """
-    profiles = settle(_profiles(texts, shingle).withColumn("id", F.xxhash64("node")), "text-profiles")
+    profiles = settle(_profiles(texts, shingle, least, _common(texts, shingle)).withColumn("id", F.xxhash64("node")), "text-profiles")
     each = profiles.select("id", F.col("shingles").alias("n"), F.col("fingerprint").alias("f"), F.explode("passages").alias("passage"))
     shared = settle(
         each.groupBy("passage").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("passage"),
@@ -305,8 +434,14 @@ def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     root = lambda one: roots.select(F.col("node").alias(one), F.col("root").alias(f"root_{one}"))
     rest = candidates.join(root("a"), "a", "left").join(root("b"), "b", "left").where(
         F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    ).select("a", "b")
-    return first.unionByName(_alike(rest.join(star, ["a", "b"], "left_anti"), texts, least, shingle))
+    ).select("a", "b").join(star, ["a", "b"], "left_anti")
+    sharers = _sharers(profiles, least)
+    some = _within(profiles, _apart(sharers, roots, least, centres=True), least)
+    second = settle(_alike(rest.unionByName(some).distinct(), texts, least, shingle), "near-links")
+    found = first.unionByName(second)
+    roots = settle(components(found), "near-roots")
+    others = _within(profiles, _apart(sharers, roots, least, centres=False), least)
+    return found.unionByName(_alike(others, texts, least, shingle))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
