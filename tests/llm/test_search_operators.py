@@ -137,6 +137,29 @@ def test_language_model(docs, corpus, block, shard):
     assert ngram_lm.score(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_language_model_query_stores_every_pair(spark, tmp_path):
+    """A training pair of two words that are seen once counts, too, in the query's score."""
+    from verdigris.llm.queries_search import op2_ngram_lm
+
+    ids = [n for n in range(40) if zlib.crc32(str(n).encode()) % 5 != 1][:3]
+    texts = ["rare pair", "common common word", "common word again"]
+    rows = list(zip(ids, texts, strict=True))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {row["doc_id"]: row["score"] for row in op2_ngram_lm(spark, str(tmp_path)).collect()}
+    c, pairs = collections.Counter(), collections.Counter()
+    for text in texts:
+        words = [*text.split(), None]
+        c.update(words)
+        pairs.update(zip(["begin", *words[:-1]], words, strict=True))
+    total = sum(c.values())
+    p = lambda before, word, n: (pairs[before, word] + (50 + 2 * n) * (c[word] + 0.5) / (total + 0.5 * (len(c) + 1))) / (3 * n + 50)
+    assert all(abs(sum(p(before, word, c[before]) for word in c) + (50 + 2 * c[before]) * 0.5 / (total + 0.5 * (len(c) + 1)) / (3 * c[before] + 50) - 1) < 1e-9 for before in ("rare", "common"))
+    for doc, text in rows:
+        words = [*text.split(), None]
+        want = sum(math.log10(p(before, word, 3 if before == "begin" else c[before])) for before, word in zip(["begin", *words[:-1]], words, strict=True))
+        assert got[doc] == pytest.approx(want, rel=1e-3)
+
+
 def brute_top(rows, k, query):
     good = {}
     for key, vector in rows:

@@ -237,7 +237,8 @@ def score(
     Tokens are the words of the whole text (runs without ASCII white space, A-Z lower-cased), then one end. The model learns
     from the rows where ``held_out`` is false (null is false). Base: each token's count plus 0.5 over N + 0.5 (V + 1). Score:
     log10 of P(w | c) = (n(c, w) + m base(w)) / (n(c) + m) with m = prior + share * n(c), c the token before or the beginning.
-    The first term is what the tries store, one byte per pair; words seen less than ``least_count`` times have base terms only.
+    The first term is what the tries store, one byte per pair; words seen less than ``least_count`` times have base terms only,
+    and what their pairs would have is lost: only with 1 are all training pairs stored and do probabilities sum to one.
     Null and empty texts are one end token; without training rows every token has probability one. Equal rows count each and
     have equal scores; a null key stays null.
 

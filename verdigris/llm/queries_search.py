@@ -85,4 +85,5 @@ def op1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_lm")
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngram_lm.score(docs, fraction_of("doc_id") == 1).withColumnRenamed("id", "doc_id")
+    # Every training pair is stored, so that the probabilities after each context sum to one.
+    return ngram_lm.score(docs, fraction_of("doc_id") == 1, least_count=1).withColumnRenamed("id", "doc_id")
