@@ -191,6 +191,16 @@ def test_mined_rules_equal_brute_force(spark):
     assert url_rules.mine(labelled.limit(0)).count() == 0
 
 
+def test_rules_reach_every_part_of_a_url(spark):
+    """A label carried by a third segment, a fifth host label, a query key, a value or a fragment is learnt."""
+    bad = ["http://a.org/en/b/casino/{n}", "http://casino.x.y.a.org/en/b/{n}", "http://a.org/en/{n}?casino={n}", "http://a.org/en/{n}?r=casino", "http://a.org/en/{n}#casino"]
+    good = ["http://a.org/en/b/news/{n}", "http://news.x.y.a.org/en/b/{n}", "http://a.org/en/{n}?news={n}", "http://a.org/en/{n}?r=news", "http://a.org/en/{n}#news"]
+    urls = [(one.format(n=n), label) for n in range(20) for ones, label in ((bad, "block"), (good, "allow")) for one in ones]
+    rules = url_rules.mine(spark.createDataFrame(urls, "url string, label string"), min_support=0.05, min_confidence=0.6)
+    pages = spark.createDataFrame([(one.format(n=99), label) for ones, label in ((bad, "block"), (good, "allow")) for one in ones], "url string, want string")
+    assert all(row["mined"] == row["want"] for row in url_rules.predict(pages, rules).collect())
+
+
 def test_statistics_dont_depend_on_the_batch(odd):
     rows = quality.with_features(odd).orderBy("list_key").collect()
     assert len(rows) == len(ODD) + 1 and all(len(row["features"]) == len(quality.NAMES) for row in rows)

@@ -48,24 +48,33 @@ def stated_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
 
 
 def tokens(url: Column) -> Column:
-    """The at most eleven tokens of a url, whatever its length: scheme, the last four host labels, the first two path
-    segments (numbers as ``#``), the file extension, and whether it has a port or user, a query, a fragment."""
+    """All tokens of a url: scheme, host labels counted from the last, path segments by depth (numbers as ``#``), the file
+    extension, whether it has a port or user, a query, a fragment; each query key, each key with its value, the fragment."""
     text = F.coalesce(url, F.lit(""))
     host, path = host_and_path(url)
     labels = F.split(host, r"\.")
     parts = F.split(path, "/")
-    segment = lambda n: F.regexp_replace(F.element_at(parts, n + 1), "[0-9]+", "#")
+    segments = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda one: F.regexp_replace(one, "[0-9]+", "#"))
+    plain = F.substring_index(text, "#", 1)
+    asked = F.when(F.instr(plain, "?") > 0, F.substring(plain, F.instr(plain, "?") + 1, F.length(plain))).otherwise("")
+    pairs = F.filter(F.split(asked, "[&;]"), lambda one: one != "")
+    fragment = F.when(F.instr(text, "#") > 0, F.substring(text, F.instr(text, "#") + 1, F.length(text))).otherwise("")
+    numbered = lambda name, values: F.filter(
+        F.transform(values, lambda one, at: F.when(one != "", F.concat(F.lit(name), (at + 1).cast("string"), F.lit("="), one))), lambda one: one.isNotNull()
+    )
     last = F.element_at(parts, -1)
     made = [F.when(F.instr(text, "://") > 0, F.concat(F.lit("scheme="), F.translate(F.substring_index(text, "://", 1), UPPER, LOWER)))]
-    made += [F.when((F.size(labels) >= n) & (host != ""), F.concat(F.lit(f"host{n}="), F.element_at(labels, -n))) for n in range(1, 5)]
-    made += [F.when((F.size(parts) > n) & (segment(n) != ""), F.concat(F.lit(f"path{n}="), segment(n))) for n in (1, 2)]
     made += [
         F.when(F.instr(last, ".") > 0, F.concat(F.lit("extension="), F.substring_index(last, ".", -1))),
         F.when(host.rlike("[@:]"), F.lit("authority")),
         F.when(F.instr(text, "?") > 0, F.lit("query")),
         F.when(F.instr(text, "#") > 0, F.lit("fragment")),
+        F.when(fragment != "", F.concat(F.lit("fragment="), fragment)),
     ]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*made))))
+    keys = F.transform(pairs, lambda one: F.concat(F.lit("key="), F.substring_index(one, "=", 1)))
+    values = F.transform(pairs, lambda one: F.concat(F.lit("value="), one))
+    every = F.concat(F.array_compact(F.array(*made)), numbered("host", F.reverse(labels)), numbered("path", segments), keys, values)
+    return F.array_sort(F.array_distinct(every))
 
 
 def mine(
@@ -76,7 +85,8 @@ def mine(
 
     ``labelled`` has one row per labelled url; rows with a null label are left out, repeated rows count each time. Of rules
     with the same verdict, one that another with a part of its items matches in confidence is pruned. No labelled rows, no
-    rules. FP-growth splits its trees by item group, and a url has at most eleven tokens, so no transaction can blow up.
+    rules. FP-growth first counts the items and drops those below the support, which no frequent set holds, then splits its
+    trees by item group.
     """
     known = labelled.where(F.col(label).isNotNull())
     baskets = known.select(
@@ -126,11 +136,13 @@ def mine(
 def predict(pages: DataFrame, rules: DataFrame, url: str = "url", verdict: str = "mined", default: str = "allow") -> DataFrame:
     """``pages`` with the verdict of the best mined rule that fits (confidence, then support, then items), else ``default``.
 
-    Distinct token sets, far fewer than urls, meet the rules through the inverted index: each rule is listed under its rarest
-    item only and verified whole. Every row gets a verdict; other columns stay, one called like ``verdict`` is replaced.
+    Of a url's tokens only those that stand in a rule count. Distinct sets of these, far fewer than urls, meet the rules through
+    the inverted index: each rule is listed under its rarest item only and verified whole. Every row gets a verdict; other columns stay, one called like ``verdict`` is replaced.
     """
-    key = fresh(pages, "token_set")
-    tokened = pages.drop(verdict).withColumn(key, tokens(F.col(url)))
+    key, used = fresh(pages, "token_set"), fresh(pages, "rule_items")
+    rules = settle(rules, "url-rules")
+    items = rules.select(F.explode("items").alias("item")).agg(F.collect_set("item").alias(used))
+    tokened = pages.drop(verdict).crossJoin(F.broadcast(items)).withColumn(key, F.array_intersect(tokens(F.col(url)), used)).drop(used)
     best = (
         tokened.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         .select(F.col(key).alias("present"), F.explode(key).alias("key"))
