@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import merkle
+from verdigris.llm import conv_trie, merkle
 from verdigris.llm.common import fraction_of, table
 from verdigris.llm.registry import query
 
@@ -114,3 +114,39 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_SQL12 = f"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN o ON o.conv_id = c.base AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN o USING (conv_id) WHERE pos >= h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+    md5(string_agg(md5(strlen(role) || ':' || role || text), '') OVER w) AS node
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+m AS (SELECT * FROM p UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM m GROUP BY depth, node),
+e AS (SELECT DISTINCT a.depth, a.node, b.depth AS up, b.node AS parent FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth = a.depth - 1),
+k AS (SELECT up AS depth, parent AS node, count(*) AS n_children FROM e GROUP BY up, parent),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, node)),
+s AS (SELECT DISTINCT a.depth, a.node, b.depth AS below, b.node AS inner_node FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+t AS (
+  SELECT s.depth, s.node, count(*) FILTER (w.n_children = 0) AS n_leaves, CAST(sum((w.n_convs - 1) * w.bytes) AS BIGINT) AS saved_tokens
+  FROM s JOIN w ON w.depth = s.below AND w.node = s.inner_node GROUP BY s.depth, s.node),
+z AS (SELECT conv_id, max(depth) AS depth, arg_max(node, depth) AS node FROM m GROUP BY conv_id),
+x AS (SELECT depth, node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends FROM z GROUP BY depth, node)
+SELECT w.conv_id, w.depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, t.n_leaves, t.saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM w JOIN t USING (depth, node) LEFT JOIN x USING (depth, node)
+  LEFT JOIN e ON e.depth = w.depth AND e.node = w.node LEFT JOIN n up ON up.depth = e.up AND up.node = e.parent
+"""
+
+
+@query("op12_conv_trie", _SQL12)
+def op12_conv_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conv_trie.trie(*conv_trie.with_openings(conv_trie.turns_of(said)))
