@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import conv_trie, merkle
+from verdigris.llm import conv_trie, merkle, warc
 from verdigris.llm.common import fraction_of, table
 from verdigris.llm.registry import query
+from verdigris.session import scratch_path, settle
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -150,3 +151,25 @@ FROM w JOIN t USING (depth, node) LEFT JOIN x USING (depth, node)
 def op12_conv_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conv_trie.trie(*conv_trie.with_openings(conv_trie.turns_of(said)))
+
+
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = " || ".join(
+    f"substr('{_DIGITS}', 1 + ((CAST('0x' || substr(sha, {at}, 5) AS BIGINT) // {1 << shift}) % 32), 1)" for at in range(1, 41, 5) for shift in (15, 10, 5, 0)
+)
+_SQL13 = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, sha1(html) AS sha, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS FIRST, url NULLS FIRST) AS place FROM p),
+o AS (SELECT html, page_id FROM d WHERE place = 1)
+SELECT d.page_id, CAST(strlen(d.html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN o.page_id END AS refers_to
+FROM d JOIN o USING (html)
+"""
+
+
+@query("op13_warc", _SQL13)
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write(warc.records(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    found = settle(warc.read(spark, path), "warc-records")
+    return warc.resolved(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
