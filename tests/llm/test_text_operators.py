@@ -191,6 +191,49 @@ def test_mined_rules_equal_brute_force(spark):
     assert url_rules.mine(labelled.limit(0)).count() == 0
 
 
+def every_rule(baskets, least, confidence):
+    """All rules by brute force: frequent token sets level by level, then those that no part of them matches."""
+    labels = sorted({label for _, label in baskets})
+    singles = sorted({token for basket, _ in baskets for token in basket})
+    level, frequent = [frozenset([token]) for token in singles], []
+    while level:
+        level = [items for items in level if sum(items <= basket for basket, _ in baskets) >= least]
+        frequent += level
+        level = list({items | {token} for items in level for token in singles if token not in items})
+    known = {}
+    for items in frequent:
+        held = [label for basket, label in baskets if items <= basket]
+        for label in labels:
+            if held.count(label) >= least and held.count(label) / len(held) >= confidence:
+                known[items, label] = (held.count(label), held.count(label) / len(held))
+    return {
+        (items, label): told for (items, label), told in known.items()
+        if not any(part < items and same == label and other[1] >= told[1] for (part, same), other in known.items())
+    }
+
+
+@pytest.mark.parametrize("seed, share, rows, confidence", [(1, 0.02, 5, 0.5), (2, 0.1, 1, 0.7), (3, 0.0, 12, 0.0)])
+def test_no_rule_is_missing(spark, seed, share, rows, confidence):
+    dice = random.Random(seed)
+    pick = lambda *of: dice.choice(of)
+    urls = [f"http://{pick('a', 'b.c', 'w')}.{pick('com', 'org')}/{pick('x', 'y/z')}{pick('', '?q=1', '?q=2', '#top')}" for _ in range(150)] + ["http://hot.net/"] * 75
+    labels = [pick("bad", "bad", "good") if "b.c" in url or "q=1" in url else pick("good", "good", "bad", "odd") for url in urls]
+    labelled = spark.createDataFrame([*zip(urls, labels, strict=True), ("http://none.org/", None)], "url string, label string")
+    read = labelled.select(url_rules.tokens(F.col("url")).alias("t"), "label").where("label is not null").collect()
+    baskets = [(frozenset(row["t"]), row["label"]) for row in read]
+    least = max(rows, -(-int(share * 1000) * len(baskets) // 1000), 1)
+    found = {
+        (frozenset(row["items"]), row["verdict"]): (row["support"], pytest.approx(row["confidence"]))
+        for row in url_rules.mine(labelled, min_support=share, min_confidence=confidence, min_rows=rows).collect()
+    }
+    assert found == every_rule(baskets, least, confidence)
+
+
+def test_a_few_rows_are_no_evidence(spark):
+    labelled = spark.createDataFrame([(f"http://a{n}.org/", "bad") for n in range(19)], "url string, label string")
+    assert url_rules.mine(labelled).count() == 0
+
+
 def test_rules_reach_every_part_of_a_url(spark):
     """A label carried by a third segment, a fifth host label, a query key, a value or a fragment is learnt."""
     bad = ["http://a.org/en/b/casino/{n}", "http://casino.x.y.a.org/en/b/{n}", "http://a.org/en/{n}?casino={n}", "http://a.org/en/{n}?r=casino", "http://a.org/en/{n}#casino"]
