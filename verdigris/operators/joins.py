@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.arrow import similarity
-from verdigris.functions.text import glob_to_regex, normalize_evidence, split_lines
-from verdigris.operators.intervals import merge_ranges
+from verdigris.functions.text import glob_to_regex, normalize_evidence
 from verdigris.operators.running import earliest
 
 # Thresholds of the name repair, ranks of context references, include syntax.
@@ -245,34 +244,6 @@ def apply_policy(findings: DataFrame, policy: DataFrame) -> DataFrame:
     )
 
 
-def revision_line_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Changed line ranges on the new side of each file, as (file_id, start_line, end_line).
-
-    Lines are matched by (file, text, nth occurrence). A removed line is anchored after its last surviving
-    predecessor. Moved lines count as changed or not by their occurrence, unlike a sequence matcher.
-    """
-
-    def numbered(df: DataFrame) -> DataFrame:
-        rows = df.select("file_id", F.posexplode(split_lines("content")).alias("_at", "text"))
-        nth = Window.partitionBy("file_id", "text").orderBy("_at")
-        return rows.select("file_id", "text", (F.col("_at") + 1).alias("line"), F.row_number().over(nth).alias("nth"))
-
-    before = numbered(old).withColumnRenamed("line", "old_line")
-    after = numbered(new).withColumnRenamed("line", "new_line")
-    matched = before.join(after, ["file_id", "text", "nth"], "full_outer")
-    added = matched.where(F.col("old_line").isNull()).select("file_id", F.col("new_line").alias("start_line"))
-    so_far = Window.partitionBy("file_id").orderBy("old_line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    length = new.select("file_id", F.size(split_lines("content")).alias("_lines"))
-    removed = (
-        matched.where(F.col("old_line").isNotNull())
-        .withColumn("_last", F.last("new_line", ignorenulls=True).over(so_far))
-        .where(F.col("new_line").isNull())
-        .join(length, "file_id")
-        .select("file_id", F.least(F.coalesce("_last", F.lit(0)) + 1, F.greatest(F.lit(1), F.col("_lines"))).alias("start_line"))
-    )
-    return merge_ranges(added.unionByName(removed).withColumn("end_line", F.col("start_line")), ["file_id"])
-
-
 def diff_bundle(revisions: DataFrame, files: DataFrame) -> DataFrame:
     """Per file: the text before its first active revision against the current text; equal ones are left out."""
     first = (
