@@ -74,6 +74,88 @@ def test_one_batch_or_many_give_the_same(spark, name):
     assert at_once.count() > 0
 
 
+def shuffled(seed, rows, reach):
+    """Rows out of order, none of them behind one that is more than ``reach`` seconds younger."""
+    dice = random.Random(seed)
+    return sorted(rows, key=lambda row: row[2] + dice.randrange(reach * 1_000_000))
+
+
+LATE_JOBS = {
+    "machine": lambda s, late: stateful.review_state_machine(s.select(F.col("key").alias("review_id"), "sequence", "at", "ts", F.col("what").alias("to_status")), late),
+    "lifecycle": lambda s, late: stateful.finding_lifecycle(
+        s.select(F.col("key").alias("review_id"), F.col("number").alias("finding_id"), "sequence", "at", "ts", F.col("what").alias("action")), late
+    ),
+    "stale": lambda s, late: stateful.drop_stale_attempts(
+        s.select(F.col("key").alias("review_id"), "sequence", "at", "ts", F.col("what").alias("kind"), F.col("number").alias("attempt")), late
+    ),
+    "limit": lambda s, late: stateful.stream_rate_limit(
+        s.select(F.col("key").cast("string").alias("username"), F.lit(1).cast("long").alias("source"), "sequence", "at", "ts", (F.col("what") == "good").alias("succeeded")),
+        3, 60, late,
+    ),
+    "circuit": lambda s, late: stateful.stream_circuit(s.select(F.col("key").alias("endpoint"), "sequence", "at", "ts", F.col("what").alias("outcome")), lateness=late),
+}
+
+
+@pytest.mark.parametrize("name", list(LATE_JOBS))
+def test_any_order_over_batches_gives_the_same(spark, name):
+    whats, job = JOBS[name][0], LATE_JOBS[name]
+    rows = sample(name, whats)
+    # A last row far ahead moves the watermark behind all others.
+    end = (9, 999, rows[-1][2] + 86_400_000_000, whats[0], 1)
+    ordered, dealt = scratch_path(spark, "in"), scratch_path(spark, "in")
+    write_files(spark, ordered, [*rows, end], 1)
+    write_files(spark, dealt, [*shuffled(name, rows, 300), end], 6)
+    want = [tuple(row) for row in runs.append_all(JOBS[name][1](source(spark, ordered)), name).collect() if row["sequence"] != 999]
+    got = runs.append_all(job(source(spark, dealt, 1), "10 minutes"), name).collect()
+    assert sorted((*row, False) for row in want) == sorted(tuple(row) for row in got if row["sequence"] != 999)
+
+
+def test_late_rows_are_told_apart(spark):
+    second, base = 1_000_000, 1_700_000_000 * 1_000_000
+    rows = [(1, at, base + at * 60 * second, "failed", 1) for at in range(30)]
+    late = [(1, 100, base + 30 * second, "ok", 1), (2, 101, base + 30 * second, "ok", 1)]
+    end = [(9, 999, base + 86_400 * second, "ok", 1)]
+    folder = scratch_path(spark, "in")
+    write_files(spark, folder, rows[:20], 1)
+    write_files(spark, folder, rows[20:], 1)
+    write_files(spark, folder, late, 1)
+    write_files(spark, folder, end, 1)
+    got = runs.append_all(LATE_JOBS["circuit"](source(spark, folder, 1), "5 minutes"), "late").collect()
+    known = {row["sequence"]: row for row in got}
+    # Key 1 was applied beyond the late row, which changes nothing; key 2 has nothing applied yet and takes it.
+    assert [row["sequence"] for row in got if row["late"]] == [100] and known[100]["endpoint"] == 1 and known[100]["streak"] is None
+    assert not known[101]["late"]
+    streak, opened = 0, None
+    for row in rows:
+        streak, opened = stateful.after_attempt(streak, opened, row[2], row[3], stateful.FAILURE_THRESHOLD, stateful.COOLDOWN_SECONDS * 1_000_000)
+        assert known[row[1]]["streak"] == streak
+
+
+def test_deadlines_in_any_order(spark):
+    second, base = 1_000_000, 1_700_000_000 * 1_000_000
+    dice = random.Random(3)
+    rows = []
+    for key in range(1, 8):
+        at = base
+        for turn in range(12):
+            at += dice.randrange(1, 90) * second
+            rows.append((key, 100 * key + turn, at, dice.choice(["start", "start", "finish"]), 0))
+    end = [(99, 9999, base + 86_400 * second, "finish", 0)]
+    got = {}
+    for name, dealt, parts in (("one", sorted(rows, key=lambda row: row[2]), 1), ("many", shuffled(1, rows, 200), 5)):
+        folder = scratch_path(spark, "in")
+        write_files(spark, folder, [*dealt, *end], parts)
+        stream = source(spark, folder, 1).select(F.col("key").alias("review_id"), "sequence", "at", "ts", F.col("what").alias("kind"))
+        got[name] = sorted(map(tuple, runs.append_all(stateful.deadline_monitor(stream, 60, "10 minutes"), name).collect()))
+    want = []
+    for key in range(1, 8):
+        own = sorted((row for row in rows if row[0] == key), key=lambda row: row[2])
+        for row, after in zip(own, [*own[1:], None]):
+            if row[3] == "start" and (after is None or after[2] > row[2] + 60 * second):
+                want.append((key, row[1], row[2] + 60 * second, False))
+    assert got["one"] == got["many"] == sorted(want)
+
+
 def test_restart_repeats_nothing(spark):
     folder, target, checkpoint = (scratch_path(spark, name) for name in ("in", "out", "checkpoint"))
     rows = sample(5, ["failed", "ok"])

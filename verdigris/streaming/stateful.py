@@ -1,12 +1,17 @@
 """Streams with custom state: state machines, stale results, deadlines, limits, circuits.
 
-All processors work one key at a time in event order: the rows of a key in a batch are sorted by time and
-sequence before they are applied, and the same rows give the same output in one batch or in many, as long
-as the batches arrive in order. The state of a key is a few numbers or strings.
+All processors work one key at a time in event order. Given a ``lateness``, rows wait in the key's state until the
+watermark has passed them, so that they are applied in event order however they were dealt over batches; rows that come
+when later ones have been applied already are given back marked ``late`` and change nothing. What waits is bounded by the
+lateness. The last stretch of a stream, as long as the lateness, waits for rows to come.
+
+Without a ``lateness`` rows are applied at once: in event order within a batch, so the batches must arrive in order. The
+state of a key is a few numbers or strings.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,37 +50,116 @@ DEADLINE_SECONDS = 60
 
 
 class InOrder(StatefulProcessor):
-    """Feeds the rows of a key to ``apply`` in event order and keeps what it returns as the key's state."""
+    """Feeds the rows of a key to ``apply`` in event order and keeps what it returns as the key's state.
+
+    Rows that can't be applied at once lie in a map of the state by slots of event time, so that no more than the rows of a
+    slot and of one chunk of input are in memory. One timer per key wakes it for the first slot or for what ``due`` asks for.
+    """
 
     state_schema = "value string"
     output_names: list[str] = []
+    #: Whether rows wait for the watermark, and whether there are timers at all.
+    waits = False
+    timed = False
+    slot_millis = 60_000
 
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
+        self.slots = handle.getMapState("slots", "slot bigint", "rows string")
+        self.released = handle.getValueState("released", "slot bigint")
 
     def apply(self, state: tuple | None, row: dict) -> tuple[tuple | None, list[tuple]]:
         raise NotImplementedError
 
+    def due(self, state: tuple | None) -> int | None:
+        """The watermark (milliseconds) at which ``expire`` is to be called, if no row comes before."""
+        return None
+
+    def expire(self, state: tuple) -> tuple[tuple | None, list[tuple]]:
+        return state, []
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "sequence"], kind="stable")
+        first, second = next(rows), None if self.waits else next(rows, None)
+        if not self.waits and second is None:
+            yield from self._apply(key, first)
+        else:
+            released = self.released.get()[0] if self.waits and self.released.exists() else None
+            for chunk in (first, *([] if second is None else [second])):
+                yield from self._put(key, chunk, released)
+            for chunk in rows:
+                yield from self._put(key, chunk, released)
+            if not self.waits:
+                yield from self._release(key, None)
+        self._wake()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.waits:
+            yield from self._release(key, watermark // self.slot_millis)
+        state = self.state.get() if self.state.exists() else None
+        due = self.due(state)
+        if due is not None and due <= watermark:
+            state, out = self.expire(state)
+            self._keep(state)
+            yield self.frame(key, out)
+        self._wake()
+
+    def _apply(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         state = self.state.get() if self.state.exists() else None
         out: list[tuple] = []
-        for row in batch.to_dict("records"):
+        for row in rows.sort_values(["at", "sequence"], kind="stable").to_dict("records"):
             state, emitted = self.apply(state, row)
             out.extend(emitted)
+        self._keep(state)
+        yield self.frame(key, out)
+
+    def _put(self, key, rows: pd.DataFrame, released: int | None) -> Iterator[pd.DataFrame]:
+        """Rows go to their slots; those of slots that have been applied already are given back."""
+        slot = rows["at"] // (1000 * self.slot_millis)
+        late = slot < released if released is not None else slot != slot
+        if late.any():
+            yield self.frame(key, [(row,) for row in rows.loc[late, "sequence"]], late=True)
+        for place, held in rows[~late].groupby(slot[~late]):
+            text = held.to_json(orient="records", lines=True).rstrip("\n")
+            place = (int(place),)
+            self.slots.updateValue(place, (f"{self.slots.getValue(place)[0]}\n{text}" if self.slots.containsKey(place) else text,))
+
+    def _release(self, key, end: int | None) -> Iterator[pd.DataFrame]:
+        """Applies the slots before ``end`` (all of them, if there is none) and forgets them."""
+        for place in sorted(one[0] for one in self.slots.keys()):
+            if end is not None and place >= end:
+                break
+            lines = self.slots.getValue((place,))[0].split("\n")
+            yield from self._apply(key, pd.DataFrame([json.loads(line) for line in lines]))
+            self.slots.removeKey((place,))
+        if end is not None:
+            self.released.update((end,))
+
+    def _keep(self, state: tuple | None) -> None:
         if state is None:
             self.state.clear()
         else:
             self.state.update(state)
-        self.settled(state)
-        yield self.frame(key, out)
 
-    def settled(self, state: tuple | None) -> None:
-        """Hook after a batch of a key."""
-
-    def frame(self, key, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *item) for item in out], columns=self.output_names)
+    def _wake(self) -> None:
+        if not self.timed:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        slots = [(one[0] + 1) * self.slot_millis for one in self.slots.keys()] if self.waits else []
+        due = self.due(self.state.get() if self.state.exists() else None)
+        if wanted := [*slots, *([] if due is None else [due])]:
+            self.handle.registerTimer(min(wanted))
+
+    def frame(self, key, out: list[tuple], late: bool = False) -> pd.DataFrame:
+        names = self.output_names
+        if late:  # the key and the sequence are all that is said of a late row
+            rows = pd.DataFrame([(*key, *item) for item in out], columns=[*names[: len(key)], "sequence"]).reindex(columns=names).astype(object)
+            rows = rows.where(rows.notna(), None)
+        else:
+            rows = pd.DataFrame([(*key, *item) for item in out], columns=names)
+        return rows.assign(late=late) if self.waits else rows
 
     def close(self) -> None:
         pass
@@ -141,16 +225,11 @@ class Deadlines(InOrder):
         starts = self.restart or row["kind"] == "start"
         return ((int(row["sequence"]), int(row["at"]) + self.micros) if starts else None), late
 
-    def settled(self, state):
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if state is not None:
-            self.handle.registerTimer(-(-state[1] // 1000))
+    def due(self, state):
+        return None if state is None else -(-state[1] // 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.state.get() if self.state.exists() else None
-        self.state.clear()
-        yield self.frame(key, [(state[0], state[1])] if state else [])
+    def expire(self, state):
+        return None, [(state[0], state[1])]
 
 
 class RateLimiter(InOrder):
@@ -185,52 +264,64 @@ class Circuit(InOrder):
         return (streak, opened), [(row["sequence"], streak, opened is not None)]
 
 
-def _process(stream: DataFrame, keys: list[str], processor: StatefulProcessor, output: str, timed: bool = False) -> DataFrame:
+def _process(stream: DataFrame, keys: list[str], processor: InOrder, output: str, lateness: str | None, timed: bool = False) -> DataFrame:
+    if lateness is not None:
+        # Spark would drop late rows by itself if the column of the watermark came along; the processor tells them instead.
+        stream = stream.withWatermark("ts", lateness).drop("ts")
+        processor.waits, output = True, f"{output}, late boolean"
+    processor.timed = timed or processor.waits
     return stream.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=output,
         outputMode="Append",
-        timeMode="eventTime" if timed else "none",
+        timeMode="eventTime" if processor.timed else "none",
     )
 
 
-def review_state_machine(stream: DataFrame) -> DataFrame:
-    """Accepted and refused moves. ``stream``: review_id, sequence, at (microseconds), to_status."""
-    return _process(
-        stream, ["review_id"], ReviewMachine(), "review_id bigint, sequence bigint, from_status string, to_status string, accepted boolean"
-    )
+def review_state_machine(stream: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Accepted and refused moves. ``stream``: review_id, sequence, at (microseconds), to_status; with a lateness also ``ts``."""
+    output = "review_id bigint, sequence bigint, from_status string, to_status string, accepted boolean"
+    return _process(stream, ["review_id"], ReviewMachine(), output, lateness)
 
 
-def finding_lifecycle(stream: DataFrame) -> DataFrame:
-    """Every state change of every finding. ``stream``: review_id, finding_id, sequence, at, action."""
-    return _process(stream, ["review_id", "finding_id"], FindingLifecycle(), "review_id bigint, finding_id bigint, sequence bigint, state string")
+def finding_lifecycle(stream: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Every state change of every finding. ``stream``: review_id, finding_id, sequence, at, action; with a lateness also ``ts``."""
+    output = "review_id bigint, finding_id bigint, sequence bigint, state string"
+    return _process(stream, ["review_id", "finding_id"], FindingLifecycle(), output, lateness)
 
 
-def drop_stale_attempts(stream: DataFrame) -> DataFrame:
-    """Results with whether they were applied. ``stream``: review_id, sequence, at, kind (start, result, stop), attempt."""
-    return _process(stream, ["review_id"], CurrentAttempt(), "review_id bigint, sequence bigint, attempt bigint, applied boolean")
+def drop_stale_attempts(stream: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Results with whether they were applied. ``stream``: review_id, sequence, at, kind (start, result, stop), attempt; with a
+    lateness also ``ts``."""
+    output = "review_id bigint, sequence bigint, attempt bigint, applied boolean"
+    return _process(stream, ["review_id"], CurrentAttempt(), output, lateness)
 
 
-def deadline_monitor(stream: DataFrame, seconds: int = DEADLINE_SECONDS) -> DataFrame:
-    """Starts that ran out of time. ``stream`` has a watermark on ``ts``: review_id, sequence, at, kind."""
-    return _process(stream, ["review_id"], Deadlines(seconds), "review_id bigint, sequence bigint, expired_at bigint", timed=True)
+def deadline_monitor(stream: DataFrame, seconds: int = DEADLINE_SECONDS, lateness: str | None = None) -> DataFrame:
+    """Starts that ran out of time. ``stream``: review_id, sequence, at, kind, ts; ``ts`` has a watermark unless a lateness is given."""
+    output = "review_id bigint, sequence bigint, expired_at bigint"
+    return _process(stream, ["review_id"], Deadlines(seconds), output, lateness, timed=True)
 
 
-def expire_by_ttl(stream: DataFrame, seconds: int) -> DataFrame:
-    """Keys without activity for ``seconds``. ``stream`` has a watermark on ``ts``: review_id, sequence, at, kind."""
-    return _process(stream, ["review_id"], Deadlines(seconds, restart=True), "review_id bigint, sequence bigint, expired_at bigint", timed=True)
+def expire_by_ttl(stream: DataFrame, seconds: int, lateness: str | None = None) -> DataFrame:
+    """Keys without activity for ``seconds``. ``stream`` as in ``deadline_monitor``."""
+    output = "review_id bigint, sequence bigint, expired_at bigint"
+    return _process(stream, ["review_id"], Deadlines(seconds, restart=True), output, lateness, timed=True)
 
 
-def stream_rate_limit(stream: DataFrame, allowed: int = LOGIN_ATTEMPTS, window_seconds: int = LOGIN_WINDOW_SECONDS) -> DataFrame:
-    """Verdict per attempt, the username's case ignored. ``stream``: username, source, sequence, at, succeeded."""
-    return _process(
-        stream.withColumn("username", F.lower("username")), ["username", "source"], RateLimiter(allowed, window_seconds),
-        "username string, source bigint, sequence bigint, recent_failures int, allowed boolean",
-    )
+def stream_rate_limit(
+    stream: DataFrame, allowed: int = LOGIN_ATTEMPTS, window_seconds: int = LOGIN_WINDOW_SECONDS, lateness: str | None = None
+) -> DataFrame:
+    """Verdict per attempt, the username's case ignored. ``stream``: username, source, sequence, at, succeeded; with a lateness
+    also ``ts``."""
+    output = "username string, source bigint, sequence bigint, recent_failures int, allowed boolean"
+    cased = stream.withColumn("username", F.lower("username"))
+    return _process(cased, ["username", "source"], RateLimiter(allowed, window_seconds), output, lateness)
 
 
-def stream_circuit(stream: DataFrame, threshold: int = FAILURE_THRESHOLD, cooldown_seconds: int = COOLDOWN_SECONDS) -> DataFrame:
-    """Streak and circuit per attempt. ``stream``: endpoint, sequence, at, outcome."""
-    return _process(
-        stream, ["endpoint"], Circuit(threshold, cooldown_seconds), "endpoint bigint, sequence bigint, streak int, circuit_open boolean"
-    )
+def stream_circuit(
+    stream: DataFrame, threshold: int = FAILURE_THRESHOLD, cooldown_seconds: int = COOLDOWN_SECONDS, lateness: str | None = None
+) -> DataFrame:
+    """Streak and circuit per attempt. ``stream``: endpoint, sequence, at, outcome; with a lateness also ``ts``."""
+    output = "endpoint bigint, sequence bigint, streak int, circuit_open boolean"
+    return _process(stream, ["endpoint"], Circuit(threshold, cooldown_seconds), output, lateness)
