@@ -1,4 +1,5 @@
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +132,37 @@ def test_similar_names_equal_brute_force(spark):
         assert sorted(got.get(name, [])) == sorted(item for item in scored if -item[0] >= 0.6)[:8], name
 
 
+def test_best_eight_of_many(spark):
+    """Names that have eight close ones in an early round, and others that need the last."""
+    visible = [f"value_{at}" for at in range(30)] + ["valve", "vale", "evalu", "xyz"]
+    names = ["value_1x", "value_2", "valu", "zyxw", "xy", "", "value_"]
+    frame = lambda rows, name: spark.createDataFrame([(scope, one) for scope in "st" for one in rows], f"scope string, {name} string")
+    got = {}
+    for row in joins.similar_names(frame(names * 2, "name"), frame(visible, "candidate"), ["scope"]).collect():
+        got.setdefault((row.scope, row.name), []).append((-row.ratio, row.candidate, row.position))
+    for scope in "st":
+        for name in names:
+            scored = sorted((-difflib.SequenceMatcher(None, name, other).ratio(), other) for other in visible if other != name)
+            want = [(*item, at + 1) for at, item in enumerate(item for item in scored if -item[0] >= 0.6) if at < 8] if name else []
+            assert sorted(got.get((scope, name), [])) == want, name
+
+
+def test_nearest_refs_equal_all_pairs(spark):
+    """One name that half of the symbols have, recursion, calls both ways, places shared by several symbols."""
+    dice = random.Random(6)
+    symbols = [(at % 2, at, "hot" if dice.random() < 0.5 else f"f{dice.randrange(6)}", f"p{dice.randrange(5)}", dice.randrange(6)) for at in range(80)]
+    edges = [(review, one, dice.choice(["hot", "f1", "f2", "f3", name])) for review, one, name, _, _ in symbols for _ in range(dice.randrange(4))]
+    frame = spark.createDataFrame(symbols, "review_id int, symbol_id int, name string, path string, start_line int").withColumn("file_id", F.col("path"))
+    calls = spark.createDataFrame(edges, "review_id int, symbol_id int, callee string")
+    imports = spark.createDataFrame([(at, f"p{at % 3}", f"p{at % 3}", 0) for at in range(0, 80, 7)], "target_id int, file_id string, path string, start_line int")
+    places = frame.select("symbol_id", "file_id", "path", "start_line")
+    for limit in (1, 3, 12):
+        want = joins.top_refs(joins.context_symbols(frame, frame, calls).join(places, "symbol_id"), imports, limit).collect()
+        got = joins.nearest_refs(frame, frame, calls, imports, limit).collect()
+        columns = ("target_id", "file_id", "path", "start_line", "rank", "position")
+        assert sorted(tuple(row[name] for name in columns) for row in got) == sorted(tuple(row[name] for name in columns) for row in want)
+
+
 def test_module_chunks(spark):
     source = "import a\nimport b\n\n@deco\ndef f():\n    pass\nx = 1\ny = 2\nclass C:\n    pass\n"
     files, facts = facts_of(spark, ("a.py", source))

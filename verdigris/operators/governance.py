@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.session import settle
+from verdigris.sinks.keyed import KeyedTable
+
 CHILD_TABLES = ("files", "findings", "chunks", "attempts", "model_runs", "events", "revisions", "followups")
 RESET_TABLES = ("findings", "chunks", "attempts", "model_runs")
 
@@ -41,6 +44,35 @@ def purge_users(tables: dict[str, DataFrame], wanted: DataFrame) -> tuple[dict[s
     return left, outcome
 
 
+def delete_reviews(tables: dict[str, KeyedTable], doomed: DataFrame) -> dict[str, list[int]]:
+    """Deletes the doomed reviews and their children from tables bucketed by review; returns the buckets rewritten in each.
+
+    Each table goes to its next version by itself; run again after a failure, the job finds what is left. For a restart
+    (``reset_review``) give it the tables of ``RESET_TABLES`` only.
+    """
+    ids = doomed.select("review_id").distinct()
+    return {name: table.delete(ids) for name, table in tables.items() if table.bucket_by == ["review_id"]}
+
+
+def purge_users_from(tables: dict[str, KeyedTable], wanted: DataFrame) -> tuple[dict[str, list[int]], DataFrame]:
+    """``purge_users`` on keyed tables: rewrites only buckets that hold a purged user or one of their reviews.
+
+    Reviews and their children are bucketed by review_id, users and sessions by user_id. Users go last, so that a job run again
+    after a failure still knows whom it was to purge. Returns the buckets rewritten and what happened to each user.
+    """
+    _, outcome = purge_users({"users": tables["users"].read(), "reviews": tables["reviews"].read()}, wanted)
+    outcome = settle(outcome, "purge-outcome")
+    gone = outcome.where("result = 'purged'").select("user_id")
+    owned = tables["reviews"].read().join(gone.withColumnRenamed("user_id", "owner_id"), "owner_id", "left_semi").select("review_id")
+    doomed = settle(owned, "purge-reviews")
+    children = {name: table for name, table in tables.items() if name != "reviews"}
+    touched = delete_reviews(children, doomed) | delete_reviews({"reviews": tables["reviews"]}, doomed)
+    for name in ("auth_sessions", "users"):
+        if name in tables:
+            touched[name] = tables[name].delete(gone)
+    return touched, outcome
+
+
 def batch_set_active(users: DataFrame, wanted: DataFrame, active: bool) -> DataFrame:
     """Result per distinct wanted user: ok, unknown, or protected for admins."""
     joined = wanted.select("user_id").distinct().join(users.select("user_id", "role"), "user_id", "left")

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.arrow import similarity
 from verdigris.functions.text import glob_to_regex, normalize_evidence
-from verdigris.operators.running import earliest
+from verdigris.operators.running import earliest, first_n
+from verdigris.session import settle
 
 # Thresholds of the name repair, ranks of context references, include syntax.
 MIN_SIMILARITY = 0.6
 RENAME_SIMILARITY = 0.84
 MAX_SIMILAR = 8
+# Ratios that are asked for first; a name with eight of them needs no others.
+SIMILARITY_ROUNDS = (0.9, 0.75)
 CONTEXT_RANKS = {"callee": 10, "caller": 20, "override": 5}
 RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
 INCLUDE = r'(?m)^\s*#\s*include\s*"([^"]+)"'
@@ -65,6 +68,50 @@ def top_refs(refs: DataFrame, imports: DataFrame, limit: int = 12) -> DataFrame:
     return once.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 
 
+def nearest_refs(targets: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, limit: int = 12) -> DataFrame:
+    """``top_refs`` of ``context_symbols``, from lists that are cut before they meet.
+
+    ``symbols``: (review_id, symbol_id, name, file_id, path, start_line); a symbol id stands for one symbol of all reviews.
+    Each name keeps only the first places of its symbols and of its callers, so a target meets a few rows per name however
+    many symbols share it. A list is long enough when one more place than asked for is in it (the target's own may fall
+    out), and that of the callers when as many more are as may be callees at the same time.
+    """
+    edges = calls.select("review_id", "symbol_id", "callee").distinct()
+    place = ["file_id", "path", "start_line"]
+    wanted = targets.select("review_id", F.col("symbol_id").alias("target_id"), "name")
+    # Two ids per place: if one is the target itself, the other still holds the place.
+    held = F.slice(F.array_sort(F.collect_set("symbol_id")), 1, 2).alias("ids")
+
+    def first_places(rows: DataFrame, by: str, most: int) -> DataFrame:
+        # Of a place's symbols only the two least count, so one place of very many symbols is cut before it is collected.
+        few = first_n(rows.select("review_id", by, "symbol_id", *place).distinct(), ["review_id", by, *place], [F.col("symbol_id")], 2)
+        places = few.groupBy("review_id", by, *place).agg(held)
+        return settle(first_n(places, ["review_id", by], [F.col("path"), F.col("start_line"), F.col("file_id")], most).drop("rank"), "name-places")
+
+    by_symbol = symbols.select("review_id", "symbol_id", "name", *place)
+    own_calls = edges.withColumnRenamed("callee", "name")
+    recursive = by_symbol.select("review_id", "symbol_id", "name").join(own_calls, ["review_id", "symbol_id", "name"], "left_semi")
+    namesakes = first_places(by_symbol, "name", limit + 1)
+    # A namesake that calls its own name is a caller, and of a target that does so all namesakes are callees.
+    plain = first_places(by_symbol.join(recursive, ["review_id", "symbol_id", "name"], "left_anti"), "name", limit + 1)
+    callers = first_places(edges.join(by_symbol.drop("name"), ["review_id", "symbol_id"]), "callee", 2 * limit + 1)
+
+    callees = (
+        own_calls.withColumnRenamed("symbol_id", "target_id").join(wanted.select("review_id", "target_id").distinct(), ["review_id", "target_id"], "left_semi")
+        .join(namesakes, ["review_id", "name"]).withColumn("rank", F.lit(CONTEXT_RANKS["callee"]))
+    )
+    calling = wanted.join(callers.withColumnRenamed("callee", "name"), ["review_id", "name"]).withColumn("rank", F.lit(CONTEXT_RANKS["caller"]))
+    selfish = recursive.withColumnRenamed("symbol_id", "target_id").select("review_id", "target_id", "name")
+    overrides = (
+        wanted.join(selfish, ["review_id", "target_id", "name"], "left_anti").join(plain, ["review_id", "name"])
+        .withColumn("rank", F.lit(CONTEXT_RANKS["override"]))
+    )
+    columns = ["target_id", *place, "rank"]
+    found = reduce(DataFrame.unionByName, [df.select(*columns, "ids") for df in (callees, calling, overrides)])
+    alone = (F.size("ids") == 1) & (F.element_at("ids", 1) == F.col("target_id"))
+    return top_refs(found.where(~alone).select(columns), imports, limit)
+
+
 def normal_path(path: Column) -> Column:
     """Path with ``.`` and ``..`` resolved; a leading climb stays."""
 
@@ -134,48 +181,63 @@ def module_name(path: str | Column) -> Column:
     return F.replace(F.trim(trimmed, F.lit("/")), F.lit("/"), F.lit("."))
 
 
-def similar_names(wanted: DataFrame, visible: DataFrame, scope: list[str], minimum: float = MIN_SIMILARITY) -> DataFrame:
-    """Visible names similar to an unresolved one, best eight per name.
+def _marked(df: DataFrame, scope: list[str], name: str) -> DataFrame:
+    """Distinct names with their characters as tokens (character and occurrence), rare letters first."""
+    ranked = F.translate(F.col(name), RARE_FIRST, "".join(sorted(RARE_FIRST)))
+    chars = F.filter(F.split(ranked, ""), lambda char: char != "")
+    earlier = lambda char, at: F.size(F.filter(F.slice(chars, F.lit(1), at + 1), lambda other: other == char))
+    tokens = F.sort_array(F.transform(chars, lambda char, at: F.concat(char, earlier(char, at).cast("string"))))
+    return df.select(*scope, name).distinct().withColumn("_tokens", tokens).where(F.size("_tokens") > 0)
+
+
+def character_pairs(wanted: DataFrame, visible: DataFrame, scope: list[str], minimum: float) -> DataFrame:
+    """Pairs of different names whose shared characters, counted with multiplicity, allow a ratio of ``minimum``: ``shared``.
 
-    The ratio is 2M/T. Candidates come from a lossless prefix filter: M cannot exceed the shared characters
-    (counted with multiplicity), so names reaching the ratio share one of their first few characters in a
-    fixed character order, rare letters first. Only candidates passing the character bound reach the exact ratio.
+    The ratio 2M/T cannot exceed 2 * shared / total. Names that reach it share one of their first few tokens in one order.
+    A pair is made at the least token of both only, so no pair is made twice and none has to be made distinct; the
+    lengths, and the tokens that are left from there on, sort out pairs before their tokens are compared.
     """
     share = minimum / (2 - minimum)
 
-    def characters(df: DataFrame, name: str) -> DataFrame:
-        ranked = F.translate(F.col(name), RARE_FIRST, "".join(sorted(RARE_FIRST)))
-        chars = F.filter(F.split(ranked, ""), lambda char: char != "")
-        marked = F.sort_array(
-            F.transform(
-                chars,
-                lambda char, at: F.concat(
-                    char, F.size(F.filter(F.slice(chars, F.lit(1), at + 1), lambda other: other == char)).cast("string")
-                ),
-            )
-        )
-        prefix = F.size("_chars") - F.ceil(F.size("_chars") * share).cast("int") + 1
-        return (
-            df.select(*scope, name)
-            .distinct()
-            .withColumn("_chars", marked)
-            .withColumn("_token", F.explode(F.slice("_chars", F.lit(1), prefix)))
-        )
+    def listed(df: DataFrame, side: str) -> DataFrame:
+        n = F.size("_tokens")
+        prefix = F.slice("_tokens", F.lit(1), n - F.ceil(n * share - 1e-9).cast("int") + 1)
+        rows = df.withColumns({f"_n{side}": n, f"_head{side}": prefix}).withColumnRenamed("_tokens", f"_tokens{side}")
+        return rows.select("*", F.posexplode(f"_head{side}").alias(f"_at{side}", "_token"))
 
-    left = characters(wanted, "name").withColumnRenamed("_chars", "_left")
-    right = characters(visible, "candidate").withColumnRenamed("_chars", "_right")
-    total = F.size("_left") + F.size("_right")
-    pairs = (
+    left, right = listed(_marked(wanted, scope, "name"), "1"), listed(_marked(visible, scope, "candidate"), "2")
+    total = F.col("_n1") + F.col("_n2")
+    enough = lambda most: 2 * most >= minimum * total - 1e-9
+    return (
         left.join(right, [*scope, "_token"])
-        .where(F.col("name") != F.col("candidate"))
-        .where(2 * F.least(F.size("_left"), F.size("_right")) >= minimum * total - 1e-9)
-        .where(2 * F.size(F.array_intersect("_left", "_right")) >= minimum * total - 1e-9)
-        .select(*scope, "name", "candidate")
-        .distinct()
+        .where((F.col("name") != F.col("candidate")) & enough(F.least("_n1", "_n2")) & enough(F.least(F.col("_n1") - F.col("_at1"), F.col("_n2") - F.col("_at2"))))
+        .where(F.array_min(F.array_intersect("_head1", "_head2")) == F.col("_token"))
+        .withColumn("shared", F.size(F.array_intersect("_tokens1", "_tokens2")))
+        .where(enough(F.col("shared")))
+        .select(*scope, "name", "candidate", "shared")
     )
-    scored = pairs.withColumn("ratio", similarity("name", "candidate")).where(F.col("ratio") >= minimum)
-    order = Window.partitionBy(*scope, "name").orderBy(F.desc("ratio"), "candidate")
-    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= MAX_SIMILAR)
+
+
+def similar_names(wanted: DataFrame, visible: DataFrame, scope: list[str], minimum: float = MIN_SIMILARITY) -> DataFrame:
+    """Visible names similar to an unresolved one, best eight per name.
+
+    A top-k join with a falling threshold: all pairs of a high ratio are found first, and a name that has eight of them is
+    done, since none of the others can be among its best. The next round asks for less, but only for the names still open.
+    """
+    names = [*scope, "name"]
+    open_names = settle(wanted.select(names).distinct(), "open-names")
+    order = Window.partitionBy(*names).orderBy(F.desc("ratio"), "candidate")
+    found = None
+    for least in (*(one for one in SIMILARITY_ROUNDS if one > minimum), minimum):
+        pairs = character_pairs(open_names, visible, scope, least).drop("shared")
+        scored = pairs.withColumn("ratio", similarity("name", "candidate")).where(F.col("ratio") >= least)
+        best = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= MAX_SIMILAR)
+        if least > minimum:
+            best = settle(best, "similar-names")
+            full = best.where(F.col("position") == MAX_SIMILAR).select(names)
+            best, open_names = best.join(full, names, "left_semi"), settle(open_names.join(full, names, "left_anti"), "open-names")
+        found = best if found is None else found.unionByName(best.select(found.columns))
+    return found
 
 
 def repair_plan(wanted: DataFrame, similar: DataFrame, exports: DataFrame, scope: list[str]) -> DataFrame:

@@ -70,6 +70,23 @@ def _(t: Tables):
     return joins.top_refs(refs, imports)
 
 
+@query(
+    "nearest_refs",
+    with_views(SYMBOLS_SQL)
+    + """
+    , refs AS (
+      SELECT target_id, path AS file_id, path, start_line, [10, 20, 5][branch] AS rank FROM (
+        SELECT c.target_id, s.path, s.start_line - s.start_line % 3 AS start_line, branch FROM context c JOIN symbols s ON s.symbol_id = c.symbol_id)
+      UNION ALL SELECT symbol_id, path, path, 1, 0 FROM symbols)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY rank, path, start_line) AS position FROM (
+      SELECT target_id, file_id, path, start_line, min(rank) AS rank FROM refs GROUP BY ALL)) WHERE position <= 4""",
+)
+def _(t: Tables):
+    placed = symbols(t).withColumns({"file_id": F.col("path"), "start_line": F.col("start_line") - F.col("start_line") % 3})
+    imports = symbols(t).select(F.col("symbol_id").alias("target_id"), F.col("path").alias("file_id"), "path", F.lit(1).alias("start_line"))
+    return joins.nearest_refs(symbols(t), placed, calls(t), imports, limit=4)
+
+
 HEADERS_SQL = r"""pages2 AS (SELECT page_id, review_id AS lang, CAST(regexp_extract(path, '/[a-z]{2}/(\d+)', 1) AS INTEGER) AS num FROM paths WHERE regexp_extract(path, '/[a-z]{2}/(\d+)', 1) <> ''),
   headers AS (SELECT 'site' AS review_id, lang || '/' || num || '.h' AS source, num, num * 7 % 1000 AS other FROM pages2),
   known AS (SELECT DISTINCT source AS target FROM headers),
@@ -132,6 +149,20 @@ def unresolved_parts(t: Tables):
     return part_scopes(t).select("scope", typed.alias("name"))
 
 
+@query(
+    "similar_candidates",
+    """WITH visible AS (SELECT DISTINCT p_brand AS scope, replace(p_name, ' ', '_') AS candidate FROM part),
+    wanted AS (SELECT DISTINCT scope, regexp_replace(candidate, '(.)(.)$', '\\2\\1') AS name FROM visible),
+    pairs AS (
+      SELECT scope, name, candidate, CAST(list_sum(list_transform(list_distinct(string_split(name, '')),
+        lambda c: least(len(name) - len(replace(name, c, '')), len(candidate) - len(replace(candidate, c, ''))))) AS INTEGER) AS shared
+      FROM wanted JOIN visible USING (scope) WHERE name <> candidate)
+    SELECT scope, name, candidate, shared FROM pairs WHERE 2 * shared >= 0.75 * (len(name) + len(candidate)) - 1e-9""",
+)
+def _(t: Tables):
+    return joins.character_pairs(unresolved_parts(t), part_scopes(t), ["scope"], 0.75)
+
+
 @query("similar_names")
 def _(t: Tables):
     return joins.similar_names(unresolved_parts(t), part_scopes(t), ["scope"])

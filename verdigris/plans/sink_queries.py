@@ -10,6 +10,7 @@ from verdigris.plans.join_queries import REVISIONS_SQL, current_files, revisions
 from verdigris.plans.registry import query
 from verdigris.session import scratch_path
 from verdigris.sinks import exports, tables
+from verdigris.sinks.keyed import KeyedTable
 
 
 @query("write_table", with_views(SPANS_SQL) + "SELECT finding_id, severity, source FROM spans")
@@ -28,6 +29,17 @@ def _(t: Tables):
     return tables.upsert_latest(t.events.where(early), t.events.where(~early), ["review_id", "event"], ["ts", "event_id"]).select("review_id", "event", "event_id")
 
 
+@query("keyed_upsert", with_views(EVENTS_SQL, UPSERT_SQL.format("log")) + "SELECT review_id, event, event_id FROM picked WHERE n = 1")
+def _(t: Tables):
+    """Seven batches out of order, one of them twice, into buckets that are compacted on the way."""
+    rows = t.events.select("review_id", "event", "event_id", "ts")
+    table = KeyedTable(t.spark, scratch_path(t.spark, "keyed"), rows.schema, ["review_id", "event"], ["ts", "event_id"], buckets=8, max_deltas=3)
+    for number, part in enumerate((3, 0, 6, 1, 5, 2, 4)):
+        table.upsert(rows.where(F.col("event_id") % 7 == part), number)
+    table.upsert(rows.where(F.col("event_id") % 7 == 5), 4)
+    return table.read().select("review_id", "event", "event_id")
+
+
 @query(
     "upsert_owned",
     with_views(
@@ -222,6 +234,21 @@ def _(t: Tables):
     return table_sizes(tables.read_version(t.spark, root, list(left)))
 
 
+@query(
+    "purge_buckets",
+    with_views(*VIEWS, WANTED_SQL)
+    + SIZES_SQL.format(r=OUT, f=OUT, e=OUT, u="user_id NOT IN (SELECT user_id FROM gone)", s="owner_id NOT IN (SELECT user_id FROM gone)"),
+)
+def _(t: Tables):
+    keys = {"reviews": ["review_id"], "findings": ["review_id", "finding_id"], "events": ["review_id", "event_id"], "users": ["user_id"], "auth_sessions": ["user_id", "session_id"]}
+    held = {}
+    for name, df in review_tables(t).items():
+        held[name] = KeyedTable(t.spark, scratch_path(t.spark, f"keyed-{name}"), df.schema, keys[name], keys[name], buckets=8, bucket_by=keys[name][:1])
+        held[name].upsert(df)
+    governance.purge_users_from(held, t.spans.select((F.col("supplier_id") * 3).alias("user_id")))
+    return table_sizes({name: table.read() for name, table in held.items()})
+
+
 @query(
     "purge_outcome",
     with_views(*VIEWS, WANTED_SQL)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from verdigris.plans.bindings import ATTEMPTS_SQL, EVENTS_SQL, Tables, with_views
 from verdigris.plans.registry import query
+from verdigris.session import scratch_path
 from verdigris.streaming import runs, stateful, windowed
 
 
@@ -103,8 +104,7 @@ MOVE_SQL = "CASE event WHEN 'signup' THEN 'planning' WHEN 'view' THEN 'reviewing
 ALLOWED_SQL = """ 'queued>planning queued>failed queued>cancelled planning>reviewing planning>completed planning>failed planning>cancelled reviewing>aggregating reviewing>failed reviewing>cancelled aggregating>completed aggregating>failed aggregating>cancelled completed>queued failed>queued' """
 
 
-@query(
-    "review_state_machine",
+MACHINE_SQL = (
     with_views(
         EVENTS_SQL,
         f"moves AS (SELECT event_id AS sequence, review_id, {MOVE_SQL} AS want, row_number() OVER (PARTITION BY review_id ORDER BY ts, event_id) AS n FROM log)",
@@ -114,8 +114,11 @@ ALLOWED_SQL = """ 'queued>planning queued>failed queued>cancelled planning>revie
           SELECT m.review_id, m.n, m.sequence, w.status, m.want, contains({ALLOWED_SQL}, w.status || '>' || m.want), CASE WHEN contains({ALLOWED_SQL}, w.status || '>' || m.want) THEN m.want ELSE w.status END
           FROM walked w JOIN moves m ON m.review_id = w.review_id AND m.n = w.n + 1)""",
     )
-    + "SELECT review_id, sequence, from_status, want AS to_status, accepted FROM walked WHERE n > 0",
+    + "SELECT review_id, sequence, from_status, want AS to_status, accepted FROM walked WHERE n > 0"
 )
+
+
+@query("review_state_machine", MACHINE_SQL)
 def _(t: Tables):
     moves = event_stream(t).select("review_id", "sequence", "at", F.expr(MOVE_SQL).alias("to_status"))
     return runs.append_all(stateful.review_state_machine(moves), "machine")
@@ -216,8 +219,7 @@ def _(t: Tables):
     return runs.append_all(stateful.stream_rate_limit(tries, 3, 90000), "limits")
 
 
-@query(
-    "stream_circuit",
+CIRCUIT_SQL = (
     with_views(
         ATTEMPTS_SQL,
         """outcomes AS (
@@ -232,8 +234,45 @@ def _(t: Tables):
           LATERAL (SELECT CASE WHEN p.opened IS NOT NULL AND o.moment - p.opened > INTERVAL 2400 SECOND THEN 0 ELSE p.streak END AS before,
                           CASE WHEN p.opened IS NOT NULL AND o.moment - p.opened > INTERVAL 2400 SECOND THEN NULL ELSE p.opened END AS was) c)""",
     )
-    + "SELECT endpoint, attempt_id AS sequence, streak, opened IS NOT NULL AS circuit_open FROM circuit",
+    + "SELECT endpoint, attempt_id AS sequence, streak, opened IS NOT NULL AS circuit_open FROM circuit"
 )
+
+
+@query("stream_circuit", CIRCUIT_SQL)
 def _(t: Tables):
     outcome = F.when(F.col("event") == "view", "neutral").when(F.col("event") == "purchase", "ok").otherwise("failed")
     return runs.append_all(stateful.stream_circuit(attempt_stream(t).select("endpoint", "sequence", "at", outcome.alias("outcome")), cooldown_seconds=2400), "circuit")
+
+
+def dealt_stream(t: Tables, parts: int = 4) -> DataFrame:
+    """The events a file per batch, in files that are out of order by up to two days and shuffled within."""
+    shifted = F.col("at") + F.pmod(F.xxhash64("sequence"), F.lit(2 * 86_400 * 1_000_000))
+    raw = t.raw("events")
+    rows = raw.select(
+        F.col("event_id").alias("sequence"), F.col("user_id").alias("review_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("event"), "value",
+    )
+    cuts = rows.select(shifted.alias("s")).agg(F.expr(f"percentile_approx(s, array({', '.join(str(at / parts) for at in range(1, parts))}))")).first()[0]
+    part = F.aggregate(F.lit(list(cuts or [])).cast("array<long>"), F.lit(0), lambda n, cut: n + F.when(shifted > cut, 1).otherwise(0))
+    folder = scratch_path(t.spark, "dealt")
+    for at in range(parts):
+        rows.where(part == at).coalesce(1).write.mode("append").parquet(folder)
+    return runs.read_stream(t.spark, folder, rows.schema, 1)
+
+
+#: Slots of a minute that end by the time that the watermark has reached are out; the last three days still wait.
+RELEASED_SQL = """SELECT *, false AS late FROM ({}) WHERE sequence IN (
+      SELECT event_id FROM events WHERE epoch_us(ts) // 60000000 < (SELECT (epoch_us(max(ts)) // 1000 - 3 * 86400000) // 60000 FROM events))"""
+
+
+@query("ordered_state_machine", RELEASED_SQL.format(MACHINE_SQL))
+def _(t: Tables):
+    moves = dealt_stream(t).select("review_id", "sequence", "at", "ts", F.expr(MOVE_SQL).alias("to_status"))
+    return runs.append_all(stateful.review_state_machine(moves, lateness="3 days"), "machine")
+
+
+@query("ordered_circuit", RELEASED_SQL.format(CIRCUIT_SQL))
+def _(t: Tables):
+    outcome = F.when(F.col("event") == "view", "neutral").when(F.col("event") == "purchase", "ok").otherwise("failed")
+    attempts = dealt_stream(t).select((F.col("review_id") % 8).alias("endpoint"), "sequence", "at", "ts", outcome.alias("outcome"))
+    return runs.append_all(stateful.stream_circuit(attempts, cooldown_seconds=2400, lateness="3 days"), "circuit")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from verdigris.operators.running import latest
 from verdigris.session import scratch_path
+from verdigris.sinks.keyed import KeyedTable
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -59,18 +59,21 @@ def upsert_batches(target: str) -> Callable[[DataFrame, int], None]:
 def upsert_all(
     stream: DataFrame, name: str, keys: list[str], order: list[str], output_mode: str = "append", checkpoint: str | None = None, target: str | None = None
 ) -> DataFrame:
-    """Process what is there and stop; return the newest row per key over all batches written so far."""
+    """Process what is there and stop; return the newest row per key, merged into a ``KeyedTable`` batch by batch.
+
+    Of an update stream the newest batch counts first, else ``order`` alone. A batch that is run again changes nothing. With
+    the same checkpoint and target a later call continues where this one ended.
+    """
     spark = stream.sparkSession
     use_state_store(spark)
     target = target or scratch_path(spark, name)
+    table = KeyedTable(spark, target, stream.schema, keys, order, buckets=16, by_arrival=output_mode == "update")
     query = (
-        stream.writeStream.foreachBatch(upsert_batches(target))
+        stream.writeStream.foreachBatch(lambda batch, number: table.upsert(batch, number, name) and None)
         .option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-checkpoint"))
         .outputMode(output_mode)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
-    written = spark.read.schema(schema).option("basePath", target).parquet(target)
-    return latest(written, keys, ["batch_id", *order]).drop("batch_id")
+    return table.read()
