@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.operators.running import time_slice
+from verdigris.session import settle
 
 # Failures in a row that open a circuit, and how long it stays open.
 FAILURE_THRESHOLD = 3
@@ -29,6 +30,53 @@ def after_attempt(
     return streak, opened
 
 
+#: Slices, or groups of slices, that one node of the tree puts together.
+FAN = 64
+
+
+def _after(ends: Column, carries: Column, streak: Column, threshold: int) -> Column:
+    """Streak at the end of a slice that begins with ``streak``."""
+    longer = F.when(carries & (streak > threshold), streak - threshold).otherwise(0)
+    return F.element_at(ends, F.least(streak, F.lit(threshold)) + 1) + longer
+
+
+def _starts(transitions: DataFrame, threshold: int) -> DataFrame:
+    """``endpoint``, ``slice``, ``start``: the streak with which each slice begins.
+
+    What slices do to a streak composes, and the result has the same few numbers. So groups of ``FAN`` consecutive slices
+    become one, and groups of groups, up to one per endpoint; from there the starts come down again. The tree is as deep
+    as the logarithm of the time span, and each of its nodes is a row.
+    """
+    first, last = transitions.agg(F.min("slice"), F.max("slice")).first()
+    step = F.struct(F.col("part"), F.col("ends"), F.col("carries"))
+    levels = [transitions.select("endpoint", (F.col("slice") - F.lit(first or 0)).alias("part"), "ends", "carries")]
+    span = (last or 0) - (first or 0) + 1
+    unchanged = F.sequence(F.lit(0), F.lit(threshold))
+
+    def then(before: Column, one: Column) -> Column:
+        ends = F.transform(before["ends"], lambda streak: _after(one["ends"], one["carries"], streak, threshold))
+        return F.struct(ends.alias("ends"), (before["carries"] & one["carries"]).alias("carries"))
+
+    while span > 1:
+        groups = levels[-1].groupBy("endpoint", F.floor(F.col("part") / FAN).alias("part")).agg(F.sort_array(F.collect_list(step)).alias("steps"))
+        whole = F.aggregate("steps", F.struct(unchanged.alias("ends"), F.lit(True).alias("carries")), then)
+        levels.append(settle(groups.withColumn("whole", whole).select("endpoint", "part", "steps", "whole.ends", "whole.carries"), "slice-groups"))
+        span = -(-span // FAN)
+    starts = levels[-1].select("endpoint", "part", F.lit(0).alias("start"))
+    for level in levels[:0:-1]:
+        # A node has FAN steps at most, so the list that grows here is short.
+        run = F.aggregate(
+            "steps", F.struct(F.col("start").alias("streak"), F.array().cast("array<struct<part:bigint,start:int>>").alias("done")),
+            lambda held, one: F.struct(
+                _after(one["ends"], one["carries"], held["streak"], threshold).alias("streak"),
+                F.array_append(held["done"], F.struct(one["part"].alias("part"), held["streak"].alias("start"))).alias("done"),
+            ),
+        )
+        below = level.join(starts, ["endpoint", "part"]).select("endpoint", F.explode(run["done"]).alias("one"))
+        starts = below.select("endpoint", "one.part", "one.start")
+    return starts.select("endpoint", (F.col("part") + F.lit(first or 0)).alias("slice"), "start")
+
+
 def failure_streaks(
     attempts: DataFrame,
     threshold: int = FAILURE_THRESHOLD,
@@ -41,9 +89,9 @@ def failure_streaks(
     circuit opens, and the first attempt later than the cooldown after the last failure finds it closed.
 
     An endpoint may hold most of the log, so it is worked in time slices: each slice reports where it ends
-    for every start up to the threshold (and whether a longer streak runs through), the slices are chained,
-    then each slice is replayed from its known start. A partition streams its slices in order and keeps only
-    the state of the current one. ``attempts``: endpoint, attempt_id, started_at, outcome (ok, failed, neutral).
+    for every start up to the threshold (and whether a longer streak runs through), a tree over the slices
+    composes these reports, then each slice is replayed from its known start. A partition streams its slices in
+    order and keeps only the state of the current one. ``attempts``: endpoint, attempt_id, started_at, outcome (ok, failed, neutral).
     """
     cooldown = cooldown_seconds * 1_000_000
     columns = ["endpoint", "slice", "at", "outcome"]
@@ -98,19 +146,7 @@ def failure_streaks(
     placed = rows.join(known, ["endpoint", "slice"])
     endpoint_type = dict(attempts.dtypes)["endpoint"]
     transitions = in_order(placed).mapInPandas(ends, f"endpoint {endpoint_type}, slice bigint, ends array<int>, carries boolean")
-    chained = transitions.groupBy("endpoint").agg(F.sort_array(F.collect_list(F.struct("slice", "ends", "carries"))).alias("_steps"))
-
-    def chain(done: Column, step: Column) -> Column:
-        streak = F.element_at(done, -1)
-        end = F.element_at(step["ends"], F.least(streak, F.lit(threshold)) + 1)
-        longer = F.when(step["carries"] & (streak > threshold), streak - threshold).otherwise(0)
-        return F.array_append(done, end + longer)
-
-    starts = F.aggregate("_steps", F.array(F.lit(0)), chain)
-    begin = chained.select(
-        "endpoint", F.explode(F.zip_with("_steps", starts, lambda step, start: F.struct(step["slice"].alias("slice"), start.alias("start")))).alias("item")
-    )
-    begin = begin.select("endpoint", "item.slice", "item.start").where(F.col("slice").isNotNull())
+    begin = _starts(settle(transitions, "slice-transitions"), threshold)
     return in_order(placed.join(begin, ["endpoint", "slice"])).mapInPandas(
         label, f"endpoint {endpoint_type}, attempt_id bigint, streak int, circuit_open boolean"
     )

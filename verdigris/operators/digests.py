@@ -5,32 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.text import UNIT_SEPARATOR
+#: Lanes of a digest and hex digits of an item's hash in each: four sums of 60-bit numbers.
+LANES, LANE_DIGITS = 4, 15
 
-FANOUT_DIGITS = 3
 
+def lane_sums(df: DataFrame, keys: list[str], item: Column) -> DataFrame:
+    """The state of a digest: per key the number of items (``items``) and the sums of their hashes (``lane0`` to ``lane3``).
 
-def set_digest(df: DataFrame, keys: list[str], item: Column, name: str = "digest") -> DataFrame:
-    """One hash per key over its items, independent of row order.
-
-    Built as a two-level tree: equal items are counted on the map side, items are spread over 4096
-    buckets by their own hash, each bucket is hashed in item order, then the bucket hashes are hashed.
-    A key with a third of all rows therefore still spreads over all tasks.
+    It adds: the states of two disjoint sets of items are summed column by column, and one that falls away is subtracted, so a
+    stored state is kept up to date from the changes alone. Spark sums on the map side, so a key costs one row per task
+    however many items it has.
     """
-    counted = df.select(*keys, item.alias("_item")).groupBy(*keys, "_item").count()
-    bucket = F.substring(F.sha2("_item", 256), 1, FANOUT_DIGITS)
-    entry = F.concat_ws(UNIT_SEPARATOR, "_item", F.col("count").cast("string"))
-    leaves = (
-        counted.withColumn("_bucket", bucket)
-        .groupBy(*keys, "_bucket")
-        .agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), UNIT_SEPARATOR), 256).alias("_leaf"))
-    )
-    return leaves.groupBy(*keys).agg(
-        F.sha2(
-            F.array_join(F.sort_array(F.collect_list(F.concat(F.col("_bucket"), F.lit(":"), F.col("_leaf")))), UNIT_SEPARATOR),
-            256,
-        ).alias(name)
-    )
+    hashed = df.select(*keys, F.sha2(item, 256).alias("_hash")).where(F.col("_hash").isNotNull())
+    lanes = [
+        F.sum(F.conv(F.substring("_hash", 1 + at * LANE_DIGITS, LANE_DIGITS), 16, 10).cast("decimal(28,0)")).alias(f"lane{at}") for at in range(LANES)
+    ]
+    return hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("items"), *lanes)
+
+
+def merged_sums(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """One state per key from several (negated columns take items away again); a key without items is gone."""
+    sums = [F.sum(name).alias(name) for name in ("items", *(f"lane{at}" for at in range(LANES)))]
+    return parts.groupBy(*keys).agg(*sums).where("items <> 0")
+
+
+def finished(sums: DataFrame, keys: list[str], name: str = "digest") -> DataFrame:
+    """The digests of states: hash of the number of items and of each lane modulo 2**60."""
+    parts = [F.col("items").cast("string"), *(F.pmod(F.col(f"lane{at}"), F.lit(1 << 4 * LANE_DIGITS).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string") for at in range(LANES))]
+    return sums.select(*keys, F.sha2(F.concat_ws(":", *parts), 256).alias(name))
+
+
+def set_digest(df: DataFrame, keys: list[str], item: Column, name: str = "digest") -> DataFrame:
+    """One hash per key over its items, independent of row order; an item that stands twice counts twice, null ones don't."""
+    return finished(lane_sums(df, keys, item), keys, name)
 
 
 def repo_revision(files: DataFrame, key: str = "review_id") -> DataFrame:
