@@ -56,4 +56,13 @@ def settle(df: DataFrame, name: str = "stage", partition_by: str | None = None)
     path = scratch_path(df.sparkSession, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*(f"`{column}`" for column in df.columns))
+    settled = df.sparkSession.read.schema(df.schema).parquet(path).select(*(f"`{column}`" for column in df.columns))
+    settled.settled_at = path
+    return settled
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes settled tables that nothing reads any more: what was made of them has been settled itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
