@@ -18,7 +18,7 @@ from verdigris.llm.common import (
     word_spans,
 )
 from verdigris.llm.graphs import components
-from verdigris.session import settle
+from verdigris.session import forget, settle
 
 _FOLD = bytes(_LOWER)
 _SEGMENTS = 32
@@ -289,24 +289,57 @@ def _profiles(texts: DataFrame, shingle: int, least: float, common: tuple[np.nda
     )
 
 
-def _within(profiles: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs ``id``, ``other`` as nodes ``a``, ``b``, without those whose bins alone hold more differences than ``least`` allows.
+def _fewer(pairs: DataFrame, a: str, b: str, width: int, least: float, modulus: int) -> DataFrame:
+    """The pairs (``{a}``, ``{b}`` with ``bins_a``, ``n_a`` and so on) without those whose bins alone hold more differences than ``least`` allows.
 
-    The shingles of one text only are at least as many as the bins' counts differ, modulo 256 too, so no link is lost.
+    The shingles of one text only are at least as many as the bins' counts differ, modulo any number too, so no link is lost.
     """
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in pairs.select(a, b).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(-1, 64) for name in ("bins_a", "bins_b"))
-            apart = np.minimum(a - b, b - a).sum(1, dtype=np.int64)
-            both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= both * (1 - least) / (1 + least) + 1e-9, pa.bool_()))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                one, other = (np.frombuffer(b"".join(part.column(name).to_pylist()), np.uint8).reshape(-1, width) for name in ("bins_a", "bins_b"))
+                if modulus == 16:  # two counts a byte
+                    one, other = (np.concatenate([bins & 15, bins >> 4], axis=1) for bins in (one, other))
+                apart = (one - other) % np.uint8(modulus) if modulus < 256 else one - other
+                apart = np.minimum(apart, (modulus - apart.astype(np.int16)) % modulus).sum(1, dtype=np.int64)
+                both = part.column("n_a").to_numpy() + part.column("n_b").to_numpy()
+                yield part.select([a, b]).filter(pa.array(apart <= both * (1 - least) / (1 + least) + 1e-9, pa.bool_()))
+
+    return pairs.select(a, b, "bins_a", "bins_b", "n_a", "n_b").mapInArrow(run, kinds)
+
+
+def _within(profiles: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs ``id``, ``other`` as nodes ``a``, ``b``, without those that the bins of their profiles tell apart."""
+    bins = lambda one, as_: profiles.select(F.col("id").alias(one), F.col("bins").alias(f"bins_{as_}"), F.col("shingles").alias(f"n_{as_}"))
+    left = settle(_fewer(pairs.join(bins("id", "a"), "id").join(bins("other", "b"), "other"), "id", "other", 64, least, 256), "near-ids")
+    name = lambda one, as_: profiles.select(F.col("id").alias(one), F.col("node").alias(as_))
+    return left.join(name("id", "a"), "id").join(name("other", "b"), "other").select("a", "b")
 
-    name = lambda one, as_: profiles.select(
-        F.col("id").alias(one), F.col("node").alias(as_), F.col("bins").alias(f"bins_{as_}"), F.col("shingles").alias(f"n_{as_}")
-    )
-    named = pairs.join(name("id", "a"), "id").join(name("other", "b"), "other")
-    return named.select("a", "b", "bins_a", "bins_b", "n_a", "n_b").mapInArrow(run, "a string, b string")
+
+#: Bins of the second look at pairs, two counts a byte: fine enough to tell nearly all pairs apart that aren't alike.
+FINE = 1024
+
+
+def _fine_bins(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node``, ``n`` distinct shingles and how many of them, modulo 16, lie in each of ``FINE`` parts of the hash space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "said"):
+            said = filled(batch.column("said"))
+            for first, last in blocks(said):
+                row, hashes = shingle_hashes(*text_bytes(said, first, last), shingle)
+                rows = last - first
+                counts = np.bincount(row * FINE + (hashes >> np.uint64(64 - FINE.bit_length() + 1)).astype(np.int64), minlength=rows * FINE).reshape(rows, FINE) % 16
+                packed = (counts[:, : FINE // 2] | counts[:, FINE // 2 :] << 4).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node")[first:last], pa.array(np.bincount(row, minlength=rows)), pa.array([one.tobytes() for one in packed], pa.binary())],
+                    names=["node", "n", "bins"],
+                )
+
+    return texts.select("node", "said").mapInArrow(run, "node string, n long, bins binary")
 
 
 def _sharers(profiles: DataFrame, least: float) -> DataFrame:
@@ -331,19 +364,22 @@ def _apart(sharers: DataFrame, roots: DataFrame, least: float, centres: bool) ->
     largest connected group is never compared within, so one group of near copies costs a row for each text.
     """
     root = roots.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"))
-    rooted = settle(sharers.join(root, "id", "left").select("hash", "id", "n", "at", F.coalesce("root", "id").alias("root")), "rooted-sharers")
+    named = sift(sharers, root, ["id"]).join(root, "id", "left").select("hash", "id", "n", "at", F.coalesce("root", "id").alias("root"))
+    single = sift(sharers, root, ["id"], keep=False).select("hash", "id", "n", "at", F.col("id").alias("root"))
+    rooted = settle(named.unionByName(single), "rooted-sharers")
     one, order = F.struct("id", "n", "at", "root"), F.xxhash64("id", "hash")
-    groups = rooted.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("k"), F.min_by(one, order).alias("c"), F.min(order).alias("o"))
-    mixed_ones = settle(
-        groups.groupBy("hash").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.min_by("c", "o").alias("c"))
-        .where("roots > 1").select("hash", "main", "c"),
-        "unconnected-shingles",
-    )
+    if centres:
+        groups = rooted.groupBy("hash").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min_by(one, order).alias("c"))
+        mixed_ones = groups.where("least < most").select("hash", "c")
+    else:
+        groups = rooted.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("hash")
+        mixed_ones = groups.agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    mixed_ones = settle(mixed_ones, "unconnected-shingles")
     placed = sift(rooted, mixed_ones, ["hash"]).join(mixed_ones, "hash")
     if centres:
         met = placed.select("id", "n", "at", "root", *(F.col(f"c.{name}").alias(f"{name}2") for name in ("id", "n", "at", "root"))).where("root <> root2")
     else:
-        placed = settle(placed.drop("c"), "placed-sharers")
+        placed = settle(placed, "placed-sharers")
         other = placed.select("hash", *(F.col(name).alias(f"{name}2") for name in ("id", "n", "at", "root")))
         met = placed.where("root <> main").join(other, "hash").where("root <> root2 and (root2 = main or id < id2)")
     can = (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9) & (
@@ -429,7 +465,7 @@ def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     candidates = settle(_promising(met, least), "near-candidates")
     # First one pair per text; of the others only those whose texts are not connected by then.
     star = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = settle(_alike(star, texts, least, shingle), "near-links")
+    first = _alike(star, texts, least, shingle)
     roots = settle(components(first), "near-roots")
     root = lambda one: roots.select(F.col("node").alias(one), F.col("root").alias(f"root_{one}"))
     rest = candidates.join(root("a"), "a", "left").join(root("b"), "b", "left").where(
@@ -437,7 +473,7 @@ def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     ).select("a", "b").join(star, ["a", "b"], "left_anti")
     sharers = _sharers(profiles, least)
     some = _within(profiles, _apart(sharers, roots, least, centres=True), least)
-    second = settle(_alike(rest.unionByName(some).distinct(), texts, least, shingle), "near-links")
+    second = _alike(rest.unionByName(some).distinct(), texts, least, shingle)
     found = first.unionByName(second)
     roots = settle(components(found), "near-roots")
     others = _within(profiles, _apart(sharers, roots, least, centres=False), least)
@@ -445,11 +481,22 @@ def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> D
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """The pairs whose texts are that similar, read again and compared shingle by shingle."""
+    """The pairs whose texts are that similar.
+
+    Their texts are first read into fine bins, which tell most of the others apart; only what is left is read as text and
+    compared shingle by shingle. Texts are chosen by a map of the wanted ones, so the whole table is never shuffled.
+    """
+    def of(held: DataFrame) -> DataFrame:
+        nodes = held.select(F.col("a").alias("node")).unionByName(held.select(F.col("b").alias("node"))).distinct()
+        return sift(texts, nodes, ["node"])
+
     pairs = settle(pairs, "near-pairs")
-    wanted = settle(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near-nodes")
-    read = settle(sift(texts, wanted, ["node"]).join(wanted, "node"), "near-texts")
-    both = pairs.join(read.select(F.col("node").alias("a"), F.col("said").alias("said_a")), "a").join(
+    bins = settle(_fine_bins(of(pairs), shingle), "near-bins")
+    side = lambda as_: bins.select(F.col("node").alias(as_), F.col("bins").alias(f"bins_{as_}"), F.col("n").alias(f"n_{as_}"))
+    likely = settle(_fewer(pairs.join(side("a"), "a").join(side("b"), "b"), "a", "b", FINE // 2, least, 16), "near-likely")
+    forget(bins)
+    read = settle(of(likely), "near-texts")
+    both = likely.join(read.select(F.col("node").alias("a"), F.col("said").alias("said_a")), "a").join(
         read.select(F.col("node").alias("b"), F.col("said").alias("said_b")), "b"
     )
 
@@ -461,7 +508,9 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> Da
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "said_a", "said_b").mapInArrow(verify, "a string, b string")
+    found = settle(both.select("a", "b", "said_a", "said_b").mapInArrow(verify, "a string, b string"), "near-links")
+    forget(read, pairs, likely)
+    return found
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -489,8 +538,14 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
         "near-copies",
     )
     names = [f"`{name}`" for name in docs.columns]
-    decided = sift(keyed, touched, [node]).join(touched, node, "left")
-    unique = decided.where(F.col(lost).isNull()).select(names)
-    # Of equal texts the rows with the least key stay, and of those one.
-    copies = decided.where(~F.col(lost) & F.col(key).eqNullSafe(F.col(low))).dropDuplicates([node]).select(names)
-    return sift(keyed, touched, [node], keep=False).select(names).unionByName(unique).unionByName(copies)
+    # Who stays is told by keys alone; of the texts only those of the rows that stay are joined.
+    asked = sift(keyed.select(node, F.col(key).alias(low + "_own")), touched, [node]).join(touched, node, "left")
+    stays = asked.where(F.col(lost).isNull() | ~F.col(lost) & F.col(low + "_own").eqNullSafe(F.col(low)))
+    stays = settle(stays.groupBy(node, low + "_own").agg(F.count(F.lit(1)).alias(n)).select(node, F.col(low + "_own").alias(low), n), "near-kept")
+    own = fresh(docs, "row_key")
+    rows = sift(keyed.withColumn(low, F.col(key)), stays, [node, low]).withColumnRenamed(low, own).alias("l").join(
+        stays.alias("r"), (F.col(f"l.{node}") == F.col(f"r.{node}")) & F.col(f"l.{own}").eqNullSafe(F.col(f"r.{low}"))
+    ).select(*(f"l.{name}" for name in names), f"l.{node}", f"r.{n}")
+    # Equal rows are one; most rows that stay are the only ones of their key.
+    single, several = rows.where(F.col(n) == 1), rows.where(F.col(n) > 1).dropDuplicates([node])
+    return sift(keyed, touched, [node], keep=False).select(names).unionByName(single.select(names)).unionByName(several.select(names))
