@@ -97,3 +97,12 @@ def test_merge_request_json(spark, tmp_path):
     got = {row.new_path: row for row in reports.read_merge_request_diffs(spark, str(path)).collect()}
     assert got["a.py"].change_type == "added" and got["a.py"].selectable
     assert got["b.py"].unavailable_reason == "incomplete_diff" and len(got["b.py"].diff) == 40_000
+
+
+def test_each_way_in_has_its_own_extensions(spark):
+    rows = spark.createDataFrame([("a.h", "#include <x>\nint main() {}\n"), ("b.PYW", "import os\n"), ("c.c", "#include <x>\n")], "path string, content string")
+    errors = lambda **more: {row["path"]: row["language_error"] for row in admission.detect_language(rows, **more).collect()}
+    assert errors() == {"a.h": "unsupported_extension", "b.PYW": None, "c.c": "unsupported_extension"}
+    assert errors(extensions=admission.LOCAL_EXTENSIONS) == {"a.h": None, "b.PYW": None, "c.c": None}
+    merge = rows.select("path", admission.extension_language("path", admission.MERGE_EXTENSIONS).alias("language")).collect()
+    assert {row["path"]: row["language"] for row in merge} == {"a.h": "cpp", "b.PYW": None, "c.c": "cpp"}

@@ -19,19 +19,19 @@ MAX_IMPORT_BYTES = 10 * 1024 * 1024
 MAX_IMPORT_FILES = 200
 MAX_CONTROL_RATIO = 0.01
 
-# Languages by file extension.
+# Languages by file extension, of uploads; of local versions, which may also be C; and of merge requests.
 EXTENSIONS = {
     ".py": "python",
     ".pyw": "python",
-    ".c": "cpp",
     ".cc": "cpp",
     ".cpp": "cpp",
     ".cxx": "cpp",
-    ".h": "cpp",
     ".hh": "cpp",
     ".hpp": "cpp",
     ".hxx": "cpp",
 }
+LOCAL_EXTENSIONS = EXTENSIONS | {".c": "cpp", ".h": "cpp"}
+MERGE_EXTENSIONS = {suffix: language for suffix, language in LOCAL_EXTENSIONS.items() if suffix != ".pyw"}
 
 # Patterns that score a text as one of the two languages, as (points, [patterns that must all match]).
 UNSUPPORTED_PATTERNS = (
@@ -167,16 +167,18 @@ def reject_oversize_import(df: DataFrame, batch: str = "review_id", cap: int = M
     return df.join(fitting.select(batch), batch, "left_semi")
 
 
-def extension_language(path: str | Column) -> Column:
-    """Language by file extension; null for an unknown one."""
+def extension_language(path: str | Column, extensions: dict[str, str] = EXTENSIONS) -> Column:
+    """Language by file extension; null for one that the caller's table doesn't have."""
     value = F.lower(F.col(path) if isinstance(path, str) else path)
     suffix = F.regexp_extract(value, r"[^/](\.[^./]+)$", 1)
-    table = F.create_map(*[F.lit(item) for pair in EXTENSIONS.items() for item in pair])
+    table = F.create_map(*[F.lit(item) for pair in extensions.items() for item in pair])
     return F.when(suffix != "", F.try_element_at(table, suffix))
 
 
-def detect_language(df: DataFrame, content: str = "content", path: str = "path", declared: str | None = None) -> DataFrame:
-    """Add ``python_score``, ``cpp_score``, ``detected`` and ``language_error``."""
+def detect_language(
+    df: DataFrame, content: str = "content", path: str = "path", declared: str | None = None, extensions: dict[str, str] = EXTENSIONS
+) -> DataFrame:
+    """Add ``python_score``, ``cpp_score``, ``detected`` and ``language_error``; ``extensions`` are those that are taken."""
     text = F.col(content)
 
     def points(table) -> Column:
@@ -188,7 +190,7 @@ def detect_language(df: DataFrame, content: str = "content", path: str = "path",
             ],
         )
 
-    by_name = extension_language(path)
+    by_name = extension_language(path, extensions)
     has_suffix = F.regexp_extract(F.col(path), r"[^/](\.[^./]+)$", 1) != ""
     cpp_type = (F.coalesce(by_name == "cpp", F.lit(False)) | text.rlike(CPP_ACCESS_PATTERN)) & text.rlike(CPP_TYPE_PATTERN)
     scored = df.withColumns(

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from verdigris.functions.text import split_lines
 from verdigris.operators.running import earliest
-from verdigris.sources.admission import extension_language
+from verdigris.sources.admission import MERGE_EXTENSIONS, extension_language
 
 # Limits and patterns of the report formats.
 MAX_DIFF_CHARS = 40_000
@@ -51,7 +51,7 @@ def merge_request_changes(raw: DataFrame) -> DataFrame:
     target = F.when(F.coalesce(F.col("new_path"), F.lit("")) == "", F.col("old_path")).otherwise(F.col("new_path"))
     diff = F.coalesce(F.col("diff"), F.lit(""))
     cut = flag("collapsed") | flag("too_large") | (F.length(diff) > MAX_DIFF_CHARS)
-    language = extension_language(target)
+    language = extension_language(target, MERGE_EXTENSIONS)
     reason = (
         F.when(language.isNull(), "unsupported_language")
         .when(flag("generated_file"), "generated_file")
