@@ -88,6 +88,22 @@ def test_report_text(spark, tmp_path):
     assert text.index("## 已修复") < text.index("## 待处理") < text.index("## 处理历史") < text.index("## 修订 Diff")
 
 
+def test_reports_in_buckets(spark, tmp_path):
+    lines = spark.createDataFrame([(at % 50, at % 3, f"{at:03d}", f"text {at}") for at in range(600)], "review_id int, section int, item string, text string")
+    path = str(tmp_path / "reports")
+    exports.write_report_buckets(lines, path, buckets=4)
+    want = "\n".join(f"text {at}" for at in sorted((at for at in range(600) if at % 50 == 7), key=lambda at: (at % 3, at)))
+    assert exports.read_report(spark, path, 7, buckets=4) == want and exports.read_report(spark, path, 99, buckets=4) == ""
+    assert len(list((tmp_path / "reports").glob("bucket=*"))) <= 4
+
+
+def test_origin_text(spark):
+    rows = [(1, "merge_request", "g/a", 5, "https://x/5", "b", "h", None, None, ["a", "b"]), (2, "local", None, None, None, None, None, "old", "new", None), (3, "paste", *[None] * 8)]
+    origins = spark.createDataFrame(rows, "review_id int, kind string, project_path string, request_number int, request_url string, base_sha string, head_sha string, old_label string, new_label string, selected_paths array<string>")
+    got = {row["review_id"]: row["origin_text"] for row in exports.origin_text(origins).collect()}
+    assert "[g/a !5](https://x/5)" in got[1] and got[1].endswith("2\n") and "old" in got[2] and got[2].endswith("0\n") and got[3] is None
+
+
 def test_analyzer_admission(spark):
     files = spark.createDataFrame([(1, "a.py", "x"), (2, "../a.py", "x"), (3, "/a.py", "x"), (4, "b.py", "y" * 1_000_001)], "file_id int, path string, content string")
     found = extensions.apply_analyzer(files, lambda path, content: [("rule", "info", 1, 1, 1, 2, path)])

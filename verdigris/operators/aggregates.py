@@ -225,10 +225,11 @@ def symbol_degree(calls: DataFrame) -> DataFrame:
     return calls.select("review_id", "symbol_id", "callee").distinct().groupBy("review_id", "symbol_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def history_items(reviews: DataFrame, files: DataFrame, summary: DataFrame) -> DataFrame:
+def history_items(reviews: DataFrame, files: DataFrame, summary: DataFrame, details: bool = False) -> DataFrame:
     """One row per review for the history list.
 
-    ``reviews``: review_id, title, mode, status, created_at. A review holds at most a few hundred files
+    ``reviews``: review_id, title, mode, status, created_at. With ``details`` also expires_at, error, origin and all columns of
+    ``summary``, whose counts are zero where a review has none. A review holds at most a few hundred files
     (admission), so the list of names is bounded.
     """
     listed = files.groupBy("review_id").agg(
@@ -245,12 +246,15 @@ def history_items(reviews: DataFrame, files: DataFrame, summary: DataFrame) -> D
         )
         .otherwise(F.concat(F.lit("代码审查 · "), local_time))
     )
-    joined = reviews.join(listed, "review_id", "left").join(summary.select("review_id", "total"), "review_id", "left")
+    counts = [name for name in summary.columns if name not in ("review_id", "total")] if details else []
+    joined = reviews.join(listed, "review_id", "left").join(summary.select("review_id", "total", *counts), "review_id", "left")
+    more = ["expires_at", "error", "origin", *(F.coalesce(name, F.lit(0)).alias(name) for name in counts)] if details else []
     return joined.select(
         "review_id", title.alias("title"), "mode", "status", "created_at",
         F.coalesce("file_count", F.lit(0)).alias("file_count"),
         F.array_join(F.transform(F.coalesce("_files", F.array().cast("array<struct<file_id:bigint,path:string>>")), lambda item: item["path"]), "\n").alias("file_names"),
         F.coalesce("total", F.lit(0)).alias("findings"),
+        *more,
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from verdigris.sources.python_facts import BUILTIN_NAMES, kind
 DANGEROUS_CALLS = ("eval", "exec")
 IMPLICIT_PARAMETERS = ("self", "cls")
 SNAKE_CASE = "^[a-z_][a-z0-9_]*$"
+NAMING_MARKERS = ("参数命名", "parameter naming", "parameter_name")
 
 
 def undefined_names(facts: DataFrame) -> DataFrame:
@@ -146,6 +150,35 @@ def rename_consensus(drafts: DataFrame, facts: DataFrame, files: DataFrame) -> D
     )
 
 
+def semantic_inputs(drafts: DataFrame, facts: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds what ``gate_drafts_semantic`` judges by: ``file``, ``naming_code``, ``has_bool_fallback``, ``has_root_cause``, ``affected_path``.
+
+    ``drafts``: draft_id, review_id, file_id, start_line, title, category, rule_id and ``root_cause``, a struct with
+    ``affected_path``, or null. Drafts about parameter naming get the verdict of ``rename_consensus``; the fallback is a
+    ``return bool(...)`` in the innermost function around the draft's line. A file that doesn't parse has no functions.
+    """
+    places = drafts.join(files.select("review_id", "file_id", "sha256", F.col("path").alias("file")), ["review_id", "file_id"], "left")
+    functions = kind(facts, "symbol", symbol="ord", start_line="line", end_line="end_line", scopes="scopes").where(F.col("scopes")[0] == 0)
+    spans = functions.select(F.col("sha256").alias("file_id"), "symbol", F.col("symbol").alias("ord"), "start_line", "end_line")
+    points = places.where("sha256 IS NOT NULL").select(F.col("sha256").alias("file_id"), F.col("start_line").alias("line"))
+    inner = enclosing_symbol(points, spans).withColumnRenamed("file_id", "sha256")
+    fallbacks = kind(facts, "bool_return", symbol="ord").select("sha256", "symbol").distinct()
+    falling = inner.join(fallbacks, ["sha256", "symbol"], "left_semi").select("sha256", F.col("line").alias("start_line"), F.lit(True).alias("_falls"))
+    claim = F.lower(F.concat_ws(" ", "title", "category", "rule_id"))
+    naming = reduce(or_, [claim.contains(marker) for marker in NAMING_MARKERS])
+    asked = drafts.where(naming).select("draft_id", "review_id", "file_id", F.col("start_line").alias("line"))
+    judged = rename_consensus(asked, facts, files).select("draft_id", "naming_code")
+    return (
+        places.join(falling, ["sha256", "start_line"], "left").join(judged, "draft_id", "left")
+        .withColumns({
+            "has_bool_fallback": F.coalesce("_falls", F.lit(False)),
+            "has_root_cause": F.col("root_cause").isNotNull(),
+            "affected_path": F.col("root_cause")["affected_path"],
+        })
+        .select(*drafts.columns, "file", "naming_code", "has_bool_fallback", "has_root_cause", "affected_path")
+    )
+
+
 def _named_by(family: DataFrame, class_column: str) -> DataFrame:
     """Snake-case names per class, method and position, each once, with the first and last place that uses it.
 

@@ -269,8 +269,7 @@ def _(t: Tables):
     return aggregates.symbol_degree(calls(t))
 
 
-@query(
-    "history_items",
+HISTORY_SQL = (
     with_views(REVIEWS_SQL, SPANS_SQL)
     + """
     , files AS (SELECT DISTINCT review_id, supplier_id AS file_id, 'm' || supplier_id || '.py' AS path FROM spans),
@@ -280,9 +279,12 @@ def _(t: Tables):
         WHEN owner_id % 3 = 2 THEN '项目审查 · ' || coalesce(first, '未命名项目') || ' 等 ' || coalesce(n, 0) || ' 个文件'
         ELSE '代码审查 · ' || strftime(created_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') END AS title,
       status, coalesce(n, 0) AS file_count, coalesce(names, '') AS file_names, coalesce(total, 0) AS findings
-    FROM reviews r LEFT JOIN listed USING (review_id) LEFT JOIN counted USING (review_id)""",
+    FROM reviews r LEFT JOIN listed USING (review_id) LEFT JOIN counted USING (review_id)"""
 )
-def _(t: Tables):
+
+
+def history(t: Tables):
+    """Reviews with titles and modes, and their files."""
     owner = F.col("owner_id")
     reviews = t.reviews.withColumns(
         {
@@ -293,9 +295,37 @@ def _(t: Tables):
     files = t.spans.select(
         "review_id", F.col("supplier_id").alias("file_id"), F.concat(F.lit("m"), F.col("supplier_id").cast("string"), F.lit(".py")).alias("path")
     ).distinct()
+    return reviews, files
+
+
+@query("history_items", HISTORY_SQL)
+def _(t: Tables):
+    reviews, files = history(t)
     return aggregates.history_items(reviews, files, aggregates.severity_summary(t.spans)).drop("mode", "created_at")
 
 
+@query(
+    "history_details",
+    f"""SELECT h.*, r.created_at, strftime(r.created_at + INTERVAL 30 DAY, '%Y-%m-%d') AS expires_on, CASE WHEN r.status = 'failed' THEN 'it failed' END AS error,
+      CASE owner_id % 3 WHEN 1 THEN 'merge_request' WHEN 2 THEN 'local' END AS origin_kind, coalesce(critical, 0) AS critical, coalesce(info, 0) AS info
+    FROM ({HISTORY_SQL}) h JOIN (SELECT o_orderkey AS review_id, o_custkey AS owner_id, o_orderdate AS created_at, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'failed' END AS status FROM orders) r USING (review_id)
+    LEFT JOIN ({with_views(SPANS_SQL)} SELECT review_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'info') AS info FROM spans GROUP BY review_id) USING (review_id)""",
+)
+def _(t: Tables):
+    reviews, files = history(t)
+    kind = F.when(F.col("owner_id") % 3 == 1, "merge_request").when(F.col("owner_id") % 3 == 2, "local")
+    told = reviews.withColumns({
+        "expires_at": F.col("created_at") + F.expr("INTERVAL 30 DAYS"),
+        "error": F.when(F.col("status") == "failed", "it failed"),
+        "origin": F.when(kind.isNotNull(), F.struct(kind.alias("kind"))),
+    })
+    items = aggregates.history_items(told, files, aggregates.severity_summary(t.spans), details=True)
+    return items.select(
+        "review_id", "title", "status", "file_count", "file_names", "findings", "created_at", F.date_format("expires_at", "yyyy-MM-dd").alias("expires_on"), "error",
+        F.col("origin.kind").alias("origin_kind"), "critical", "info",
+    )
+
+
 @query(
     "recency_buckets",
     with_views(REVIEWS_SQL)

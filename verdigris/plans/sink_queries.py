@@ -137,6 +137,24 @@ def _(t: Tables):
     return lines.groupBy("review_id", "section").agg(F.count(F.lit(1)).alias("blocks"), F.sum(mark).alias("checksum"))
 
 
+@query(
+    "report_origins",
+    """SELECT o_orderkey AS review_id, CASE o_orderkey % 3
+      WHEN 0 THEN '## GitLab 来源' || chr(10) || chr(10) || '- 合并请求：[group/app !' || o_custkey || '](https://example.org/' || o_custkey || ')' || chr(10) || '- 基线版本：b' || o_orderkey || chr(10)
+        || '- 审查版本：h' || o_orderkey || chr(10) || '- 已选文件：' || o_orderkey % 4 || chr(10)
+      WHEN 1 THEN '## 本地版本对比来源' || chr(10) || chr(10) || '- 修改前：v1' || chr(10) || '- 修改后：v2' || chr(10) || '- 已选文件：' || o_orderkey % 4 || chr(10) END AS origin_text FROM orders""",
+)
+def _(t: Tables):
+    key, owner = F.col("review_id").cast("string"), F.col("owner_id").cast("string")
+    kind = F.when(F.col("review_id") % 3 == 0, "merge_request").when(F.col("review_id") % 3 == 1, "local").otherwise("paste")
+    origins = t.reviews.select(
+        "review_id", kind.alias("kind"), F.lit("group/app").alias("project_path"), F.col("owner_id").alias("request_number"),
+        F.concat(F.lit("https://example.org/"), owner).alias("request_url"), F.concat(F.lit("b"), key).alias("base_sha"), F.concat(F.lit("h"), key).alias("head_sha"),
+        F.lit("v1").alias("old_label"), F.lit("v2").alias("new_label"), F.array_repeat(F.lit("a.py"), (F.col("review_id") % 4).cast("int")).alias("selected_paths"),
+    )
+    return exports.origin_text(origins)
+
+
 @query(
     "fixed_files",
     with_views(SPANS_SQL, REVIEWS_SQL, REVISIONS_SQL)
