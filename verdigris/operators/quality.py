@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,82 @@ def finding_rules() -> dict[str, Column]:
     }
 
 
+# A hash as stored, the states of a chunk, the languages, the most items of a model's answer.
+HASH = "^[0-9a-f]{64}$"
+CHUNK_STATES = ("pending", "queued", "running", "validating", "completed", "failed", "cancelled", "superseded")
+LANGUAGES = ("python", "cpp")
+MAX_ANSWER_ITEMS = 50
+
+
+def _present(*names: str) -> dict[str, Column]:
+    return {f"{name}_present": F.length(F.col(name)) > 0 for name in names}
+
+
+def _not_negative(*names: str) -> dict[str, Column]:
+    """Optional numbers: one that is not given counts as zero."""
+    return {f"{name}_not_negative": F.coalesce(F.col(name), F.lit(0)) >= 0 for name in names}
+
+
+def draft_rules() -> dict[str, Column]:
+    """The constraints every finding of a model's answer has to meet."""
+    return {
+        **_present("rule_id", "category", "file", "title", "evidence", "impact", "suggestion"),
+        "confidence_in_unit_range": F.col("confidence").between(0.0, 1.0),
+        "severity_known": F.col("severity").isin("critical", "high", "medium", "low", "info"),
+        "positive_lines": (F.col("start_line") >= 1) & (F.col("end_line") >= 1),
+        "end_not_before_start": F.col("end_line") >= F.col("start_line"),
+    }
+
+
+def answer_rules() -> dict[str, Column]:
+    """The constraints of a model's answer as a whole: ``summary``, ``findings``, ``uncovered``."""
+    return {
+        **_present("summary"),
+        "findings_at_most_50": F.size("findings") <= MAX_ANSWER_ITEMS,
+        "uncovered_at_most_50": F.size("uncovered") <= MAX_ANSWER_ITEMS,
+    }
+
+
+def file_rules() -> dict[str, Column]:
+    """The constraints of a stored source file."""
+    return {**_present("file_id", "path"), "language_known": F.col("language").isin(*LANGUAGES), "hash_well_formed": F.col("sha256").rlike(HASH)}
+
+
+def chunk_rules() -> dict[str, Column]:
+    """The constraints of a chunk of a review."""
+    return {
+        **_present("chunk_id", "review_id", "target_file_id", "target_path"),
+        **_not_negative("prompt_tokens_estimate", "output_tokens_budget", "split_depth", "attempt_count"),
+        "language_known": F.col("language").isin(*LANGUAGES),
+        "status_known": F.col("status").isin(*CHUNK_STATES),
+        "hash_well_formed": F.col("content_fingerprint").rlike(HASH),
+        "positive_lines": (F.col("target_start_line") >= 1) & (F.col("target_end_line") >= 1),
+        "end_not_before_start": F.col("target_end_line") >= F.col("target_start_line"),
+    }
+
+
+def claim_rules(claim: str = "root_cause") -> dict[str, Column]:
+    """The constraints of a root-cause claim, a struct; a row without a claim breaks none of them."""
+    inside = F.col(claim)
+    given = ("claim", "concrete_failing_input", "expected_behavior", "actual_behavior", "affected_path", "repair_invariant")
+    rules = {f"{name}_present": F.length(inside[name]) > 0 for name in given}
+    shown = [F.coalesce(F.length(inside[name]) > 0, F.lit(False)) for name in ("contract_evidence", "reachable_path")]
+    rules["claim_verifiable"] = shown[0] | shown[1]
+    return {name: inside.isNull() | F.coalesce(ok, F.lit(False)) for name, ok in rules.items()}
+
+
+def schema_problems(df: DataFrame, expected: T.StructType, keys: list[str]) -> DataFrame:
+    """Everything about a table's form that is not as expected, as rows (problem, rows): schema differences, null and repeated keys."""
+    lines = df.sparkSession.createDataFrame([(line, 0) for line in schema_differences(df, expected)], "problem string, rows long")
+    known = [key for key in keys if key in df.columns]
+    if not known:
+        return lines
+    missing = reduce(or_, [F.col(key).isNull() for key in known])
+    nulls = df.where(missing).agg(F.lit("null key").alias("problem"), F.count(F.lit(1)).alias("rows"))
+    again = duplicate_keys(df.where(~missing), known).agg(F.lit("repeated key").alias("problem"), F.count(F.lit(1)).alias("rows"))
+    return lines.unionByName(nulls.unionByName(again).where("rows > 0"))
+
+
 def rule_counts(checked: DataFrame, name: str = "broken_rules") -> DataFrame:
     """How many rows break each rule."""
     return checked.select(F.explode(name).alias("rule")).groupBy("rule").count().withColumnRenamed("count", "rows")

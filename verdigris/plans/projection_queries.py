@@ -1,6 +1,7 @@
 """Queries over row-wise projections, scoring, gates and data quality."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdigris.functions import text
 from verdigris.operators import digests, projections, quality, scoring
@@ -356,6 +357,44 @@ def _(t: Tables):
     return quality.broken_rules(t.spans, rules).select("finding_id", F.array_join("broken_rules", ",").alias("broken"))
 
 
+@query(
+    "chunk_rule_counts",
+    with_views(SPANS_SQL)
+    + """
+    , broken AS (SELECT unnest(list_filter([
+        CASE WHEN start_line % 7 = 0 THEN 'end_not_before_start' END, CASE WHEN part_id % 5 = 0 THEN 'hash_well_formed' END, CASE WHEN part_id % 4 = 0 THEN 'language_known' END,
+        CASE WHEN part_id % 9 = 0 THEN 'split_depth_not_negative' END, CASE WHEN severity = 'info' THEN 'status_known' END, CASE WHEN part_id % 6 = 0 THEN 'target_path_present' END], lambda x: x IS NOT NULL)) AS rule FROM spans)
+    SELECT rule, count(*) AS rows FROM broken GROUP BY rule""",
+)
+def _(t: Tables):
+    """Findings as chunks, each field of which is wrong now and then."""
+    part = F.col("part_id")
+    chunks = t.spans.select(
+        F.col("finding_id").cast("string").alias("chunk_id"), F.col("review_id").cast("string").alias("review_id"), F.col("file_id").cast("string").alias("target_file_id"),
+        F.when(part % 6 == 0, "").otherwise("a.py").alias("target_path"), F.when(part % 4 == 0, "java").otherwise("cpp").alias("language"),
+        F.col("start_line").alias("target_start_line"), F.when(F.col("start_line") % 7 == 0, F.col("start_line") - 1).otherwise(F.col("end_line")).alias("target_end_line"),
+        F.when(part % 5 == 0, F.upper(F.sha2("finding_id", 256))).otherwise(F.sha2("finding_id", 256)).alias("content_fingerprint"),
+        F.lit(None).cast("int").alias("prompt_tokens_estimate"), F.lit(0).alias("output_tokens_budget"), F.when(part % 9 == 0, -1).otherwise(1).alias("split_depth"),
+        F.lit(0).alias("attempt_count"), F.when(F.col("severity") == "info", "lost").otherwise("queued").alias("status"),
+    )
+    return quality.rule_counts(quality.broken_rules(chunks, quality.chunk_rules()))
+
+
+@query(
+    "schema_problems",
+    """SELECT 'missing column sha256' AS problem, 0 AS rows UNION ALL SELECT 'unexpected column lang', 0 UNION ALL SELECT 'n_chars is bigint, expected int', 0
+    UNION ALL SELECT 'repeated key', count(*) FROM (SELECT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL HAVING count(*) > 1) HAVING count(*) > 0
+    UNION ALL SELECT 'null key', count(*) FROM documents WHERE source IS NULL OR lang IS NULL HAVING count(*) > 0""",
+)
+def _(t: Tables):
+    """The documents held against a schema that they don't quite have, and against keys that they don't have at all."""
+    expected = T.StructType([
+        T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()),
+        T.StructField("n_chars", T.IntegerType()), T.StructField("sha256", T.StringType()),
+    ])
+    return quality.schema_problems(t.raw("documents"), expected, ["source", "lang"])
+
+
 @query(
     "rule_counts",
     with_views(SPANS_SQL)
