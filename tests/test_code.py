@@ -163,6 +163,15 @@ def test_nearest_refs_equal_all_pairs(spark):
         assert sorted(tuple(row[name] for name in columns) for row in got) == sorted(tuple(row[name] for name in columns) for row in want)
 
 
+def test_suffixes_that_one_path_has(spark):
+    dice = random.Random(12)
+    paths = {(review, "".join(dice.choice(["a", "b", "/", "x.h"]) for _ in range(dice.randrange(1, 7)))) for review in (1, 2) for _ in range(60)}
+    asked = {(review, path[dice.randrange(len(path)) :]) for review, path in paths} | {(1, "nothing"), (2, "h"), (1, "aab/x.h")}
+    got = joins._only_path_ending(spark.createDataFrame(list(asked), "review_id int, suffix string"), spark.createDataFrame(list(paths), "review_id int, target string"))
+    ending = {(review, suffix): [path for other, path in paths if other == review and path.endswith(suffix)] for review, suffix in asked}
+    assert {(row["review_id"], row["suffix"]): row["target"] for row in got.collect()} == {key: found[0] for key, found in ending.items() if len(found) == 1}
+
+
 def test_module_chunks(spark):
     source = "import a\nimport b\n\n@deco\ndef f():\n    pass\nx = 1\ny = 2\nclass C:\n    pass\n"
     files, facts = facts_of(spark, ("a.py", source))

@@ -126,11 +126,29 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
+def _only_path_ending(asked: DataFrame, paths: DataFrame) -> DataFrame:
+    """``review_id``, ``suffix``, ``target``: suffixes that exactly one path of the review ends with.
+
+    Paths and suffixes are read backwards and sorted together: the paths that end with a suffix stand right behind it. So each
+    suffix only looks at the next two paths, and there is one row per path and per suffix. All that can match end in the
+    same character, by which each review is dealt.
+    """
+    key = ["review_id", "_last"]
+    backwards = lambda name: {"_back": F.reverse(name), "_last": F.right(F.col(name), F.lit(1))}
+    placed = paths.where(F.col("target") != "").withColumns(backwards("target"))
+    after = F.lead("target").over(Window.partitionBy(*key).orderBy("_back"))
+    there = placed.select(*key, "_back", F.lit(1).alias("_path"), F.lit(None).cast("string").alias("suffix"), F.struct("target", after.alias("after")).alias("_here"))
+    wanted = asked.withColumns(backwards("suffix")).select(*key, "_back", F.lit(0).alias("_path"), "suffix", F.lit(None).cast("struct<target:string,after:string>").alias("_here"))
+    behind = Window.partitionBy(*key).orderBy(F.desc("_back"), F.desc("_path")).rowsBetween(Window.unboundedPreceding, -1)
+    found = there.unionByName(wanted).withColumn("_next", F.last("_here", ignorenulls=True).over(behind)).where("_path = 0")
+    one = F.col("_next.target").endswith(F.col("suffix")) & ~F.coalesce(F.col("_next.after").endswith(F.col("suffix")), F.lit(False))
+    return found.where(one).select("review_id", "suffix", F.col("_next.target").alias("target"))
+
+
 def resolve_includes(files: DataFrame) -> DataFrame:
     """``#include "..."`` of each file → the project file it means: relative path first, else a unique suffix.
 
-    ``files``: (review_id, path, content). Suffixes are matched by an equi join on every suffix of every
-    path, which is linear in the length of the paths.
+    ``files``: (review_id, path, content).
     """
     includes = files.select(
         "review_id", F.col("path").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(1)))).alias("include")
@@ -146,16 +164,7 @@ def resolve_includes(files: DataFrame) -> DataFrame:
     exact = wanted.join(paths.withColumn("candidate", F.col("target")), ["review_id", "candidate"], "left")
     hits = exact.where(F.col("target").isNotNull()).select("review_id", "source", "include", "target", F.lit(0).alias("rank"))
     rest = exact.where(F.col("target").isNull() & (F.col("suffix") != "")).drop("target")
-    asked = rest.select("review_id", "suffix").distinct()
-    tails = paths.withColumn(
-        "suffix", F.explode(F.transform(F.sequence(F.lit(1), F.length("target")), lambda at: F.substring("target", at, F.length("target"))))
-    )
-    unique = (
-        tails.join(asked, ["review_id", "suffix"], "left_semi")
-        .groupBy("review_id", "suffix")
-        .agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("hits"))
-        .where("hits = 1")
-    )
+    unique = _only_path_ending(rest.select("review_id", "suffix").distinct(), paths)
     by_suffix = rest.join(unique, ["review_id", "suffix"]).select(
         "review_id", "source", "include", "target", F.lit(10).alias("rank")
     )
