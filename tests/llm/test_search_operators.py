@@ -189,6 +189,22 @@ def test_kd_search(spark, size, shards):
     assert kd_search.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_one_id_in_a_third_of_all_rows(spark):
+    """Its distinct vectors go to many shards; ids beyond 2**53 that round alike stay apart."""
+    dice = random.Random(7)
+    rows = [(n, [dice.uniform(-1, 1) for _ in range(4)]) for n in range(100)] + [(200, [dice.uniform(-1, 1) for _ in range(4)]) for _ in range(60)]
+    rows += [((1 << 60) + n, [0.9, 0.9, 0.9, 0.9]) for n in range(3)] + [(7, rows[7][1])] * 20
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = kd_search.top_k(df, F.col("vec_id") % 10 == 0, shard_rows=24, shards_per_task=2, queries_per_task=9)
+    got = collections.defaultdict(set)
+    for row in found.where("query_id <> 200").collect():
+        got[row["query_id"]].add((row["rank"], row["vec_id"], row["score"]))
+    want = collections.defaultdict(set)
+    for query, rank, vec, score in brute_top(rows, 5, lambda key: key % 10 == 0 and key != 200):
+        want[query].add((rank, vec, score))
+    assert got == want
+
+
 def plain_fingerprint(text, shingle):
     words = fold(text)
     runs = [b" ".join(words[at : at + shingle]) for at in range(max(1, len(words) - shingle + 1))] if words else []

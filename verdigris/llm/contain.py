@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from verdigris.llm.common import (
-    _LOWER, blocks, columns_but, filled, lowered, row_of, run_hashes, slices, span_hashes, text_bytes, with_column, word_spans,
+    _LOWER, blocks, columns_but, filled, fresh, lowered, row_of, run_hashes, sift, slices, span_hashes, text_bytes, with_column, word_spans,
 )
+from verdigris.llm.ordering import tied
+from verdigris.session import settle
 
 _FOLD = bytes(_LOWER)
 
@@ -99,6 +101,86 @@ class Index:
         return out
 
 
+def _sketches(items: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """``no``, ``k``, ``n`` and ``sketch``, the least hashes of the item's n shingles of k words, for every item that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "said"):
+            rows = []
+            for no, said in zip(batch.column("no").to_pylist(), batch.column("said").to_pylist(), strict=True):
+                k, found = shingles_of(said, shingle)
+                if found:
+                    least = np.sort(_hashes(sorted(found)))[: sketch_length(len(found), threshold)]
+                    rows.append({"no": no, "k": k, "n": len(found), "sketch": least.view(np.int64).tolist()})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("no", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))]))
+
+    return items.select("no", "said").mapInArrow(run, "no long, k long, n long, sketch array<long>")
+
+
+def _word_runs(texts: DataFrame, lengths: list[int], kept: np.ndarray) -> DataFrame:
+    """``node``, ``hash``: the distinct runs of words of each text, of those lengths, that the map ``kept`` lets through."""
+    bits = np.uint64(len(kept) * 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "said"):
+            said = filled(batch.column("said"))
+            for first, last in blocks(said):
+                data, begins = text_bytes(said, first, last)
+                starts, ends, firsts = word_spans(lowered(data), begins)
+                words, row = span_hashes(lowered(data), starts, ends), row_of(firsts, len(starts))
+                found = [np.zeros((0, 2), np.int64)]
+                for k in lengths:
+                    at = np.arange(max(0, len(words) - k + 1))
+                    at = at[row[at] == row[at + k - 1]] if len(at) else at
+                    runs = run_hashes(words, at, at + k)
+                    place = runs % bits
+                    through = (kept[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                    found.append(np.unique(np.column_stack([row[at][through], runs[through].view(np.int64)]), axis=0))
+                rows = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([batch.column("node")[first:last].take(pa.array(rows[:, 0])), pa.array(rows[:, 1])], names=["node", "hash"])
+
+    return texts.mapInArrow(run, "node string, hash long")
+
+
+def _joined_matches(texts: DataFrame, items: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """``node``, ``no``, ``shared``, ``n``: what each text (``node``, its digest, and ``said``) holds of any number of items (``no``, ``said``).
+
+    Sketches are a table. Of a text's runs of words only those go to the join that a map of fixed size lets through; who
+    shares a hash is read again and compared exactly.
+    """
+    sketches = settle(_sketches(items, shingle, threshold), "item-sketches")
+    hashes = sketches.select("no", F.explode("sketch").alias("hash"))
+    lengths = sorted(row["k"] for row in sketches.select("k").distinct().collect())  # at most ``shingle`` numbers
+    bits = 1 << 24
+    # As unsigned numbers, in two halves, because Spark's are signed.
+    place = F.pmod(F.col("hash").bitwiseAND(F.lit(bits - 1)), F.lit(bits))
+    word = F.shiftright(place, 6)
+    mask = F.expr(f"shiftleft(1L, cast((hash & {bits - 1}) & 63 as int))")
+    kept = np.zeros(bits // 64, np.uint64)
+    for row in hashes.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+        kept[row["word"]] = np.uint64(row["mask"] & (1 << 64) - 1)
+    runs = settle(_word_runs(texts, lengths, kept), "text-runs")
+    pairs = settle(runs.join(hashes, "hash").select("node", "no").distinct(), "containment-pairs")
+    wanted = pairs.select("node").distinct()
+    copies = sift(texts, wanted, ["node"]).groupBy("node").agg(F.any_value("said").alias("said"))
+    read = copies.join(pairs, "node").withColumnRenamed("said", "held").join(items.select("no", "said"), "no")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "held"):
+            rows = []
+            for node, no, held, said in zip(*(batch.column(name).to_pylist() for name in ("node", "no", "held", "said")), strict=True):
+                k, own = shingles_of(said, shingle)
+                words = held.encode().translate(_FOLD).split()
+                shared = len(own & {b" ".join(words[at : at + k]) for at in range(len(words) - k + 1)})
+                if shared >= threshold * len(own) - 1e-9:
+                    rows.append({"node": node, "no": no, "shared": shared, "n": len(own)})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("node", pa.string()), ("no", pa.int64()), ("shared", pa.int64()), ("n", pa.int64())]))
+
+    return read.select("node", "no", "held", "said").mapInArrow(verify, "node string, no long, shared long, n long")
+
+
 def with_matches(
     docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5, item_key: str = "item_id", item_text: str = "text",
     text: str = "text", matches: str = "matches", items_at_once: int = 20_000, characters_at_once: int = 32_000_000,
@@ -110,25 +192,24 @@ def with_matches(
     count once; items come by key. Other columns stay, one called like ``matches`` is replaced.
 
     The sketches are lossless: of an item's n shingles a text at the threshold misses at most n - ceil(threshold n), so it
-    has one of the n - ceil(threshold n) + 1 least hashes. Documents are read in place and never shuffled. Items go to the
-    tasks in parts of at most ``items_at_once`` items and about ``characters_at_once`` characters, whose number follows the
-    items: the bound of what is sent.
+    has one of the n - ceil(threshold n) + 1 least hashes. Up to ``items_at_once`` items and ``characters_at_once`` characters
+    go to every task as one index, and documents are read in place without any shuffle. More items than that stay a table,
+    and documents meet them by joins (``_joined_matches``).
     """
     distinct = items.select(F.col(item_key).alias("key"), F.coalesce(F.col(item_text), F.lit("")).alias("said")).where("said <> ''").distinct()
     totals = distinct.agg(F.count(F.lit(1)), F.sum(F.length("said"))).first()
-    parts = max(1, -(-(totals[0] or 0) // items_at_once), -(-(totals[1] or 0) // characters_at_once))
+    small = (totals[0] or 0) <= items_at_once and (totals[1] or 0) <= characters_at_once
     item_type = items.schema[item_key].dataType
     struct = f"struct<`{item_key}`:{item_type.simpleString()},shared:long,shingles:long,containment:double>"
     kind = pa.list_(
         pa.struct([(item_key, to_arrow_type(item_type)), ("shared", pa.int64()), ("shingles", pa.int64()), ("containment", pa.float64())])
     )
     base, kept, fields = columns_but(docs, matches)
-    found, earlier = base, False
-    for part in range(parts):
-        rows = distinct.where(F.pmod(F.xxhash64("key", "said"), F.lit(parts)) == part).orderBy("key", "said").collect()
+    if small:
+        rows = distinct.orderBy("key", "said").collect()
         index = Index([(row["key"], row["said"]) for row in rows], shingle, threshold)
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index, earlier: bool = earlier) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text):
                 texts = filled(batch.column(text))
                 lists: list[list[dict]] = []
@@ -138,9 +219,22 @@ def with_matches(
                             {item_key: index.items[at][0], "shared": shared, "shingles": len(index.items[at][1]), "containment": shared / len(index.items[at][1])}
                             for at, shared in row
                         ])
-                if earlier:
-                    lists = [old + new for old, new in zip(batch.column(matches).to_pylist(), lists, strict=True)]
                 yield with_column(batch, kept, matches, pa.array(lists, kind))
 
-        found, earlier = found.mapInArrow(run, f"{fields}`{matches}` array<{struct}>"), True
-    return found
+        return base.mapInArrow(run, f"{fields}`{matches}` array<{struct}>")
+
+    numbered = settle(tied(distinct, "no"), "items")
+    node = fresh(base, "text_node")
+    keyed = base.withColumn(node, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    texts = keyed.select(F.col(node).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("said"))
+    found = settle(_joined_matches(texts, numbered, threshold, shingle), "containment")
+    one = F.struct(F.col("key").alias(item_key), "shared", F.col("n").alias("shingles"), (F.col("shared") / F.col("n")).alias("containment"))
+    listed = found.join(numbered, "no").groupBy(F.col("node").alias(node)).agg(F.array_sort(F.collect_list(F.struct("key", "said", one.alias("one")))).alias(matches))
+    listed = settle(listed.select(node, F.transform(matches, lambda held: held["one"]).alias(matches)), "containment")
+    named = [F.col("`" + name.replace("`", "``") + "`") for name in kept]
+    with_some = sift(keyed, listed, [node]).join(listed, node, "left")
+    nothing = F.array().cast(f"array<{struct}>")
+    return (
+        with_some.select(*named, F.coalesce(matches, nothing).alias(matches))
+        .unionByName(sift(keyed, listed, [node], keep=False).select(*named, nothing.alias(matches)))
+    )

@@ -127,7 +127,7 @@ def top_k(
     non-finite component, take no part; vectors of different lengths never meet; equal rows count once; a query with fewer
     candidates has all of them; an empty table has no rows.
 
-    Rows are dealt by key into shards of about ``shard_rows``, however often one vector repeats. A shard is a KD-tree in one
+    Distinct rows are dealt by key and vector into shards of about ``shard_rows``, however often a key or a vector repeats. A shard is a KD-tree in one
     task. Queries meet the shards in blocks: each task takes a few shards and a block of queries and carries the kth score
     from tree to tree. Every block first searches one group of shards, and takes the kth score found there to all others.
     """
@@ -137,16 +137,14 @@ def top_k(
     rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(
         F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), quantised(F.col(vector), scale).alias("v")
     )
-    points = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("shard"), "id", "v")
+    # Equal rows are one before they are dealt, and rows of one id go wherever their vectors go.
+    points = rows.select("id", "v").distinct().withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(parts)))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         lengths = frame["v"].map(len)
         for length, part in frame.groupby(lengths):
-            matrix = _matrix(part["v"])
-            ids = part["id"].to_numpy(np.int64)
-            _, first = np.unique(np.column_stack([ids.astype(np.float64), matrix]) if len(set(ids)) < len(ids) else ids, axis=0, return_index=True)
-            tree = Tree(ids[first], matrix[first])
+            tree = Tree(part["id"].to_numpy(np.int64), _matrix(part["v"]))
             out.append({
                 "shard": int(part["shard"].iloc[0]), "length": int(length), "ids": tree.ids.tobytes(), "points": tree.points.tobytes(),
                 "nodes": np.array([(*span, *(child or (-1, -1))) for span, child in zip(tree.span, tree.child, strict=True)], np.int64).tobytes(),
