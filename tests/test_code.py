@@ -120,6 +120,21 @@ def test_import_plan(spark):
     assert (plan.mode, plan.module) == ("import", "shop.money")
 
 
+def test_counted_exports_equal_pairs(spark):
+    """Names that one other file has, that several have, that the asking file has too, twice in one file, and nobody."""
+    sources = [("a.py", "one()\nmany()\nown = 1\nnone()\n"), ("b.py", "one = 1\nmany = 1\nown = 2\ntwice = 1\ntwice = 2\n"), ("c.py", "many = 2\none()\ntwice()\n"), ("d.py", "many = 3\n")]
+    files, facts = facts_of(spark, *sources)
+    names = ["one", "many", "own", "twice", "none"]
+    wanted = spark.createDataFrame([(1, path, name) for path, _ in sources for name in names], "review_id int, file_id string, name string")
+    rows = code.cross_file_exports(wanted, facts, files).collect()
+    found = {}
+    for row in rows:
+        found.setdefault((row["file_id"], row["name"]), []).append(row["path"])
+    want = {key: (len(paths), paths[0] if len(paths) == 1 else None) for key, paths in found.items()}
+    got = {(row["file_id"], row["name"]): (row["exports"], row["path"]) for row in code.counted_exports(wanted, facts, files).collect()}
+    assert got == want and ("a.py", "one") in want and want["c.py", "twice"] == (2, None)
+
+
 def test_similar_names_equal_brute_force(spark):
     names = sorted({f"{a}_{b}" for a in ("red", "blue", "small", "large", "hot", "cold") for b in ("bolt", "ring", "plate", "gear", "rod")} | {"x", "ab", "ba", "axbxcx", "abcdef"})
     wanted = spark.createDataFrame([("s", name[:-2] + name[-2:][::-1]) for name in names], "scope string, name string")

@@ -1,6 +1,7 @@
-"""Substring dedup: a De Bruijn graph over word windows, compacted to paths between minimisers.
+"""Substring dedup over word windows, cut into paths between minimisers.
 
-Windows of ``length`` words are the edges of the graph. Every window is owned by its minimiser, the least-hashed run of
+These paths stand in for the compaction of a De Bruijn graph by joins: nonbranching runs are compacted inside each text, before
+it is known which of them repeat, so that a window costs no row; joins then find the repeated ones. Windows of ``length`` words are the edges of the graph. Every window is owned by its minimiser, the least-hashed run of
 ``anchor`` words in it (the leftmost of equals), which depends on the window's words alone: equal windows have equal owners
 at equal offsets. Consecutive windows with one owner are a path without inner branches as far as one text shows it.
 """

@@ -82,6 +82,24 @@ def cross_file_exports(wanted: DataFrame, facts: DataFrame, files: DataFrame) ->
     return asked.join(exports, ["review_id", "name"]).where("file_id <> _other").drop("_other")
 
 
+def counted_exports(wanted: DataFrame, facts: DataFrame, files: DataFrame) -> DataFrame:
+    """How often other files of the review define an unresolved name (``exports``), and where (``path``), if just one does so once.
+
+    What ``repair_plan`` needs of ``cross_file_exports``, without a row per pair: definitions are counted per name, a file's own
+    are subtracted, and when one is left, it is the first or the last of the name.
+    """
+    name = ["review_id", "name"]
+    rows = on_files(kind(facts, "export", name="name", line="line").distinct(), files).select(*name, "file_id", "path")
+    by_file = rows.groupBy(*name, "file_id").agg(F.count(F.lit(1)).alias("_own"), F.min("path").alias("path"))
+    place = F.struct("path", "file_id")
+    by_name = by_file.groupBy(*name).agg(F.sum("_own").alias("_all"), F.min(place).alias("_first"), F.max(place).alias("_last"))
+    asked = wanted.select("review_id", "file_id", "name").distinct()
+    counted = asked.join(by_name, name).join(by_file.drop("path"), [*name, "file_id"], "left")
+    left = F.col("_all") - F.coalesce("_own", F.lit(0))
+    other = F.when(F.col("_first.file_id") == F.col("file_id"), F.col("_last.path")).otherwise(F.col("_first.path"))
+    return counted.where(left > 0).select("review_id", "file_id", "name", left.alias("exports"), F.when(left == 1, other).alias("path"))
+
+
 def import_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     """(review_id, file_id, path, module) rows for ``resolve_imports``."""
     modules = kind(facts, "module", module="name").where("module IS NOT NULL").distinct()

@@ -252,14 +252,18 @@ def similar_names(wanted: DataFrame, visible: DataFrame, scope: list[str], minim
 def repair_plan(wanted: DataFrame, similar: DataFrame, exports: DataFrame, scope: list[str]) -> DataFrame:
     """What can be done about an unresolved name: rename, import, or ask.
 
-    ``exports``: scope columns, name, path of project files that define the name at module level.
+    ``exports``: scope columns, name, path of project files that define the name at module level, a row each; or counted, with
+    a column ``exports``, and the path where there is just one.
     """
     close = (
         similar.where(F.col("ratio") >= RENAME_SIMILARITY)
         .groupBy(*scope, "name")
         .agg(F.count(F.lit(1)).alias("_close"), F.min("candidate").alias("_replacement"))
     )
-    exported = exports.groupBy(*scope, "name").agg(F.count(F.lit(1)).alias("_exports"), F.min("path").alias("_path"))
+    if "exports" in exports.columns:
+        exported = exports.select(*scope, "name", F.col("exports").alias("_exports"), F.col("path").alias("_path"))
+    else:
+        exported = exports.groupBy(*scope, "name").agg(F.count(F.lit(1)).alias("_exports"), F.min("path").alias("_path"))
     joined = wanted.select(*scope, "name").distinct().join(close, [*scope, "name"], "left").join(exported, [*scope, "name"], "left")
     mode = (
         F.when(F.col("_close") == 1, "rename")
