@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import split_lines, squash_whitespace
+from verdigris.operators.line_blocks import with_lines
 
 # Lines of slack around a changed range; a rule that is always in scope.
 CHANGED_LINE_MARGIN = 2
@@ -169,14 +170,11 @@ def enclosing_symbol(points: DataFrame, symbols: DataFrame, line: str = "line")
 
 def line_annotations(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Character range (0-based, end exclusive) of every finding on every line it touches."""
-    lines = files.select("file_id", F.split("content", "\n", -1).alias("lines"))
-    touched = F.sequence(F.col("start_line"), F.least(F.col("end_line"), F.size("lines")))
-    rows = (
-        findings.join(lines, "file_id")
-        .where(F.col("start_line") <= F.size("lines"))
-        .select("finding_id", "start_line", "end_line", "start_column", "end_column", "lines", F.explode(touched).alias("line"))
-    )
-    length = F.length(F.get("lines", F.col("line") - 1))
+    reached = with_lines(findings, files, F.split("content", "\n", -1), F.col("start_line"), F.col("end_line"), F.col("start_line") <= F.col("_n"))
+    rows = reached.select(
+        "finding_id", "start_line", "end_line", "start_column", "end_column", F.posexplode("_lines").alias("_at", "_text")
+    ).withColumn("line", F.col("start_line") + F.col("_at"))
+    length = F.length("_text")
     start = F.when(F.col("line") == F.col("start_line"), F.greatest(F.lit(0), F.col("start_column") - 1)).otherwise(0)
     end = F.when(F.col("line") == F.col("end_line"), F.greatest(start + 1, F.col("end_column") - 1)).otherwise(length)
     return rows.select(
@@ -193,21 +191,15 @@ def locate_evidence(drafts: DataFrame, files: DataFrame) -> DataFrame:
     The whole quote on one line wins. Otherwise the first line with the quote's first piece whose end line, as many lines
     below as the quote has newlines but within the range, holds the last piece.
     """
-    lines = files.select("file_id", split_lines("content").alias("_lines"))
     quote = F.trim(F.regexp_replace("evidence", r"(?U)^\s+|\s+$", ""))
     pieces = split_lines(F.col("_quote"))
     tidy = lambda value: F.trim(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
     first_line_with = lambda text: F.array_position(F.transform("_range", lambda line: F.instr(line, text) > 0), True)
-    in_range = (F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line")) & (F.col("end_line") <= F.size("_lines"))
+    in_range = (F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line")) & (F.col("end_line") <= F.col("_n"))
     narrowed = (
-        drafts.join(lines, "file_id")
-        .where(in_range)
-        .withColumns(
-            {
-                "_quote": quote,
-                "_range": F.slice("_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1),
-            }
-        )
+        with_lines(drafts, files, split_lines("content"), F.col("start_line"), F.col("end_line"), in_range)
+        .withColumnRenamed("_lines", "_range")
+        .withColumn("_quote", quote)
         .where((F.col("_quote") != "") & F.contains(squash_whitespace(F.array_join("_range", " ")), squash_whitespace(F.col("_quote"))))
         .withColumns({"_first": tidy(F.element_at(pieces, 1)), "_last": tidy(F.element_at(pieces, -1))})
         .withColumns({"_whole_at": first_line_with(F.col("_quote")), "_breaks": F.size(F.split("_quote", "\n")) - 1})
@@ -228,7 +220,7 @@ def locate_evidence(drafts: DataFrame, files: DataFrame) -> DataFrame:
             "_to": F.col("start_line") + F.when(whole, F.col("_whole_at").cast("int") - 1).otherwise(F.col("_hit.last")),
         }
     )
-    from_text, final_line = F.get("_lines", F.col("_from") - 1), F.get("_lines", F.col("_to") - 1)
+    from_text, final_line = F.get("_range", F.col("_from") - F.col("start_line")), F.get("_range", F.col("_to") - F.col("start_line"))
     start_column = F.when(whole, F.instr(from_text, F.col("_quote"))).otherwise(F.instr(from_text, F.col("_first")))
     end_column = F.when(whole, F.instr(from_text, F.col("_quote")) + F.length("_quote")).otherwise(
         F.instr(final_line, F.col("_last")) + F.length("_last")

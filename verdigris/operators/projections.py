@@ -14,6 +14,7 @@ from verdigris.functions.text import (
     split_lines,
     squash_whitespace,
 )
+from verdigris.operators.line_blocks import with_lines
 
 # The rule whose findings carry a file-level anchor.
 SYNTAX_RULE = "python.syntax-error"
@@ -46,13 +47,10 @@ TARGET_PADDING = " ，,。.!！:：;；"
 def anchor_fingerprints(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Up to three identity hashes per finding: its evidence, the source it spans, and a file-level marker.
 
-    The span is cut out of the file's line array, so the join is one row per finding, not one per line.
+    The span is cut out of blocks of lines: one row per finding, and never its whole file.
     """
-    lines = files.select("file_id", "path", split_lines("content").alias("lines"))
-    first = F.greatest(F.lit(1), F.col("start_line"))
-    last = F.least(F.size("lines"), F.greatest(F.col("start_line"), F.col("end_line")))
-    spanned = F.slice("lines", first, F.greatest(F.lit(0), last - first + 1))
-    span_text = F.array_join(F.transform(spanned, normalize_evidence), " ")
+    first, last = F.greatest(F.lit(1), F.col("start_line")), F.greatest(F.col("start_line"), F.col("end_line"))
+    span_text = F.array_join(F.transform("_lines", normalize_evidence), " ")
     anchors = F.array(
         normalize_evidence("evidence"),
         F.coalesce(span_text, F.lit("")),
@@ -66,7 +64,8 @@ def anchor_fingerprints(findings: DataFrame, files: DataFrame) -> DataFrame:
         F.array_distinct(F.filter(anchors, lambda anchor: anchor != "")),
         lambda anchor: F.sha2(F.concat(F.col("_prefix"), anchor), 256),
     )
-    joined = findings.drop("path").join(lines, "file_id", "left").withColumn("_prefix", prefix)
+    spanned = with_lines(findings.drop("path"), files, split_lines("content"), first, last, how="left", also=("path",))
+    joined = spanned.withColumn("_prefix", prefix)
     return joined.select("finding_id", "review_id", F.explode(hashes).alias("fingerprint"))
 
 
@@ -152,13 +151,11 @@ def halve_chunks(chunks: DataFrame, token_budget: int, max_depth: int = MAX_SPLI
 
 def excerpt(findings: DataFrame, files: DataFrame, margin: int = EXCERPT_MARGIN, max_chars: int = EXCERPT_CHARS) -> DataFrame:
     """Numbered source lines around each finding."""
-    lines = files.select("file_id", split_lines("content").alias("lines"))
-    first = F.greatest(F.lit(1), F.col("start_line") - margin)
-    last = F.least(F.size("lines"), F.col("end_line") + margin)
-    window = F.slice("lines", first, F.greatest(F.lit(0), last - first + 1))
-    numbered = F.array_join(F.transform(window, lambda line, at: F.concat_ws(": ", (first + at).cast("string"), line)), "\n")
+    first, last = F.greatest(F.lit(1), F.col("start_line") - margin), F.col("end_line") + margin
+    numbered = F.array_join(F.transform("_lines", lambda line, at: F.concat_ws(": ", (first + at).cast("string"), line)), "\n")
     cut = F.when(F.length("_text") > max_chars, F.concat(F.substring("_text", 1, max_chars), F.lit("\n…"))).otherwise(F.col("_text"))
-    return findings.join(lines, "file_id").withColumn("_text", numbered).select("finding_id", cut.alias("excerpt"))
+    around = with_lines(findings, files, split_lines("content"), first, last)
+    return around.withColumn("_text", numbered).select("finding_id", cut.alias("excerpt"))
 
 
 def build_prompts(chunks: DataFrame, kept_refs: DataFrame, instructions: str, response_schema: str) -> DataFrame:
