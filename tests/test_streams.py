@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,3 +221,40 @@ def test_shared_folder_comes_from_the_session():
     with pytest.raises(RuntimeError):
         shared_folder(Session(None, "yarn"))
     assert shared_folder(Session(None, "local[2]")) == shared_folder(Session(None, "local[2]"))
+
+
+def test_waiting_rows_cost_calls_by_the_block(spark):
+    """Rows that wait lie in sorted blocks, come back in event order whatever overlaps, and are split where the watermark falls."""
+
+    class Map(dict):
+        calls = 0
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def getValue(self, key):
+            self.calls += 1
+            return self[key]
+
+        def containsKey(self, key):
+            return key in self
+
+        def removeKey(self, key):
+            del self[key]
+
+    machine = stateful.ReviewMachine()
+    machine.blocks = Map()
+    dice = random.Random(1)
+    rows = [{"at": dice.randrange(10**9), "sequence": at, "to_status": "x"} for at in range(5000)] + [{"at": 7, "sequence": 1, "to_status": "x"}] * 600
+    dice.shuffle(rows)
+    for start in range(0, len(rows), 1000):
+        assert list(machine._put((1,), pd.DataFrame(rows[start : start + 1000]), None)) == []
+    assert machine.blocks.calls < 40
+    moments = sorted((row["at"], row["sequence"]) for row in rows)
+    got = []
+    for end in (7, 8, 10**8, 10**8 + 1, 9 * 10**8, None):
+        part = [(row["at"], row["sequence"]) for row in machine._waiting(end)]
+        assert end is None or all(at < end for at, _ in part)
+        got += part
+    assert got == moments and not machine.blocks and machine.blocks.calls < 200

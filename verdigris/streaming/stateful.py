@@ -12,7 +12,10 @@ state of a key is a few numbers or strings.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,11 +52,22 @@ FINDING_ACTIONS = {
 DEADLINE_SECONDS = 60
 
 
+def _records(rows: pd.DataFrame) -> list[dict]:
+    names = list(rows.columns)
+    return [dict(zip(names, values)) for values in zip(*(rows[name].tolist() for name in names))]
+
+
+def _moment(row: dict) -> tuple[int, int]:
+    return row["at"], row["sequence"]
+
+
 class InOrder(StatefulProcessor):
     """Feeds the rows of a key to ``apply`` in event order and keeps what it returns as the key's state.
 
-    Rows that can't be applied at once lie in a map of the state by slots of event time, so that no more than the rows of a
-    slot and of one chunk of input are in memory. One timer per key wakes it for the first slot or for what ``due`` asks for.
+    Rows that can't be applied at once lie in a map of the state as sorted blocks, by the moment of a block's first row, so that
+    no more than one chunk of input or the blocks that overlap are in memory, and a block costs a few calls to the state,
+    however many rows it has. The watermark releases whole slots of event time. One timer per key wakes it for the first slot
+    or for what ``due`` asks for.
     """
 
     state_schema = "value string"
@@ -62,11 +76,13 @@ class InOrder(StatefulProcessor):
     waits = False
     timed = False
     slot_millis = 60_000
+    block_rows = 256
+    frame_rows = 10_000
 
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
-        self.slots = handle.getMapState("slots", "slot bigint", "rows string")
+        self.blocks = handle.getMapState("blocks", "at bigint, sequence bigint, copy bigint", "rows string")
         self.released = handle.getValueState("released", "slot bigint")
 
     def apply(self, state: tuple | None, row: dict) -> tuple[tuple | None, list[tuple]]:
@@ -82,59 +98,80 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first, second = next(rows), None if self.waits else next(rows, None)
         if not self.waits and second is None:
-            yield from self._apply(key, first)
+            yield from self._apply(key, sorted(_records(first), key=_moment))
         else:
-            released = self.released.get()[0] if self.waits and self.released.exists() else None
-            for chunk in (first, *([] if second is None else [second])):
-                yield from self._put(key, chunk, released)
-            for chunk in rows:
-                yield from self._put(key, chunk, released)
+            released = self.released.get() if self.waits else None
+            for chunk in chain((first,) if second is None else (first, second), rows):
+                yield from self._put(key, chunk, released[0] * 1000 * self.slot_millis if released else None)
             if not self.waits:
-                yield from self._release(key, None)
+                yield from self._apply(key, self._waiting(None))
         self._wake()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         if self.waits:
-            yield from self._release(key, watermark // self.slot_millis)
-        state = self.state.get() if self.state.exists() else None
-        due = self.due(state)
-        if due is not None and due <= watermark:
-            state, out = self.expire(state)
-            self._keep(state)
-            yield self.frame(key, out)
+            end = watermark // self.slot_millis
+            yield from self._apply(key, self._waiting(end * 1000 * self.slot_millis))
+            self.released.update((end,))
+        if self.timed:
+            state = self.state.get()
+            due = self.due(state)
+            if due is not None and due <= watermark:
+                state, out = self.expire(state)
+                self._keep(state)
+                yield self.frame(key, out)
         self._wake()
 
-    def _apply(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        state = self.state.get() if self.state.exists() else None
+    def _apply(self, key, rows: Iterable[dict]) -> Iterator[pd.DataFrame]:
+        state = self.state.get()
         out: list[tuple] = []
-        for row in rows.sort_values(["at", "sequence"], kind="stable").to_dict("records"):
+        for row in rows:
             state, emitted = self.apply(state, row)
             out.extend(emitted)
+            if len(out) >= self.frame_rows:
+                yield self.frame(key, out)
+                out = []
         self._keep(state)
-        yield self.frame(key, out)
+        if out:
+            yield self.frame(key, out)
 
     def _put(self, key, rows: pd.DataFrame, released: int | None) -> Iterator[pd.DataFrame]:
-        """Rows go to their slots; those of slots that have been applied already are given back."""
-        slot = rows["at"] // (1000 * self.slot_millis)
-        late = slot < released if released is not None else slot != slot
-        if late.any():
-            yield self.frame(key, [(row,) for row in rows.loc[late, "sequence"]], late=True)
-        for place, held in rows[~late].groupby(slot[~late]):
-            text = held.to_json(orient="records", lines=True).rstrip("\n")
-            place = (int(place),)
-            self.slots.updateValue(place, (f"{self.slots.getValue(place)[0]}\n{text}" if self.slots.containsKey(place) else text,))
-
-    def _release(self, key, end: int | None) -> Iterator[pd.DataFrame]:
-        """Applies the slots before ``end`` (all of them, if there is none) and forgets them."""
-        for place in sorted(one[0] for one in self.slots.keys()):
-            if end is not None and place >= end:
+        """Rows wait in blocks; those from before ``released`` (microseconds) are given back."""
+        held = sorted(_records(rows), key=_moment)
+        if released is not None and held[0]["at"] < released:
+            yield self.frame(key, [(row["sequence"],) for row in held if row["at"] < released], late=True)
+            held = [row for row in held if row["at"] >= released]
+        self._hold(held, self.block_rows)
+
+    def _hold(self, rows: list[dict], size: int) -> None:
+        """Keeps rows, which are in event order, as blocks of that size."""
+        for start in range(0, len(rows), size):
+            block = rows[start : start + size]
+            place = (*_moment(block[0]), 0)
+            while self.blocks.containsKey(place):  # several blocks may begin with equal rows
+                place = (*place[:2], place[2] + 1)
+            self.blocks.updateValue(place, (json.dumps(block, default=str),))
+
+    def _waiting(self, end: int | None) -> Iterator[dict]:
+        """The rows before ``end`` (microseconds; all of them, if there is none) in event order; they are forgotten.
+
+        Blocks are opened as their first rows come up, so that only blocks that overlap are in memory. What a block holds from
+        ``end`` on is kept in blocks a quarter as long, so that a row is read again a few times at most.
+        """
+        opened: list[tuple] = []
+        for number, place in enumerate(sorted(tuple(one) for one in self.blocks.keys())):
+            if end is not None and place[0] >= end:
                 break
-            lines = self.slots.getValue((place,))[0].split("\n")
-            yield from self._apply(key, pd.DataFrame([json.loads(line) for line in lines]))
-            self.slots.removeKey((place,))
-        if end is not None:
-            self.released.update((end,))
+            while opened and opened[0][0] < place[:2]:
+                yield heappop(opened)[-1]
+            block = json.loads(self.blocks.getValue(place)[0])
+            self.blocks.removeKey(place)
+            before = len(block) if end is None else bisect_left(block, end, key=lambda row: row["at"])
+            for at, row in enumerate(block[:before]):
+                heappush(opened, (_moment(row), number, at, row))
+            self._hold(block[before:], -(-len(block) // 4))
+        while opened:
+            yield heappop(opened)[-1]
 
     def _keep(self, state: tuple | None) -> None:
         if state is None:
@@ -145,12 +182,15 @@ class InOrder(StatefulProcessor):
     def _wake(self) -> None:
         if not self.timed:
             return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        slots = [(one[0] + 1) * self.slot_millis for one in self.slots.keys()] if self.waits else []
-        due = self.due(self.state.get() if self.state.exists() else None)
-        if wanted := [*slots, *([] if due is None else [due])]:
-            self.handle.registerTimer(min(wanted))
+        slots = [(one[0] // (1000 * self.slot_millis) + 1) * self.slot_millis for one in self.blocks.keys()] if self.waits else []
+        due = self.due(self.state.get())
+        wanted = min([*slots, *([] if due is None else [due])], default=None)
+        timers = [timer if isinstance(timer, int) else timer[0] for timer in self.handle.listTimers()]
+        for timer in timers:
+            if timer != wanted:
+                self.handle.deleteTimer(timer)
+        if wanted is not None and wanted not in timers:
+            self.handle.registerTimer(wanted)
 
     def frame(self, key, out: list[tuple], late: bool = False) -> pd.DataFrame:
         names = self.output_names
