@@ -76,16 +76,17 @@ def nearest_refs(targets: DataFrame, symbols: DataFrame, calls: DataFrame, impor
     many symbols share it. A list is long enough when one more place than asked for is in it (the target's own may fall
     out), and that of the callers when as many more are as may be callees at the same time.
     """
-    edges = calls.select("review_id", "symbol_id", "callee").distinct()
     place = ["file_id", "path", "start_line"]
     wanted = targets.select("review_id", F.col("symbol_id").alias("target_id"), "name")
+    # Calls of names that neither a symbol nor a target has lead nowhere; they go before calls are made distinct.
+    known = symbols.select("review_id", "name").unionByName(wanted.select("review_id", "name")).distinct().withColumnRenamed("name", "callee")
+    named = calls.select("review_id", "symbol_id", "callee").join(known, ["review_id", "callee"], "left_semi")
+    edges = settle(named.select("review_id", "symbol_id", "callee").distinct(), "named-calls")
     # Two ids per place: if one is the target itself, the other still holds the place.
-    held = F.slice(F.array_sort(F.collect_set("symbol_id")), 1, 2).alias("ids")
+    held = [F.min("symbol_id").alias("low"), F.max("symbol_id").alias("high")]
 
     def first_places(rows: DataFrame, by: str, most: int) -> DataFrame:
-        # Of a place's symbols only the two least count, so one place of very many symbols is cut before it is collected.
-        few = first_n(rows.select("review_id", by, "symbol_id", *place).distinct(), ["review_id", by, *place], [F.col("symbol_id")], 2)
-        places = few.groupBy("review_id", by, *place).agg(held)
+        places = rows.groupBy("review_id", by, *place).agg(*held)
         return settle(first_n(places, ["review_id", by], [F.col("path"), F.col("start_line"), F.col("file_id")], most).drop("rank"), "name-places")
 
     by_symbol = symbols.select("review_id", "symbol_id", "name", *place)
@@ -107,8 +108,8 @@ def nearest_refs(targets: DataFrame, symbols: DataFrame, calls: DataFrame, impor
         .withColumn("rank", F.lit(CONTEXT_RANKS["override"]))
     )
     columns = ["target_id", *place, "rank"]
-    found = reduce(DataFrame.unionByName, [df.select(*columns, "ids") for df in (callees, calling, overrides)])
-    alone = (F.size("ids") == 1) & (F.element_at("ids", 1) == F.col("target_id"))
+    found = reduce(DataFrame.unionByName, [df.select(*columns, "low", "high") for df in (callees, calling, overrides)])
+    alone = (F.col("low") == F.col("high")) & (F.col("low") == F.col("target_id"))
     return top_refs(found.where(~alone).select(columns), imports, limit)
 
 
