@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.operators.sifting import fresh, sift  # noqa: F401  operators take them from here
+
 #: ASCII white space; a word is a run of other characters.
 SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"
 _IS_SPACE = np.zeros(256, bool)
@@ -31,35 +33,6 @@ def fraction_of(column: Column | str, parts: int = 5) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken = {column.lower() for column in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-#: Bits of the map by which ``sift`` lets rows through: with 64 in a row, at most 2**18 rows are ever sent to the tasks.
-SIFT_BITS = 1 << 24
-
-
-def sift(df: DataFrame, keys: DataFrame, columns: list[str], keep: bool = True) -> DataFrame:
-    """The rows of ``df`` whose ``columns`` may equal a row of ``keys``; with ``keep`` false, the others.
-
-    A map of fixed size, one bit per hash value: no equal row is ever missed, a few others come through (all, where the keys
-    are so many that every bit is set), so a join must follow. It only saves shuffling rows that can't match.
-    """
-    place = F.pmod(F.xxhash64(*columns), F.lit(SIFT_BITS))
-    word, bit = fresh(df, "sift_word"), fresh(df, "sift_bits")
-    bits = (
-        keys.select(F.shiftright(place, 6).alias(word), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(columns)}), 64) as int))").alias(bit))
-        .groupBy(word).agg(F.bit_or(bit).alias(bit))
-    )
-    held = df.withColumn(word, F.shiftright(place, 6)).join(F.broadcast(bits), word, "left")
-    there = F.coalesce(F.getbit(F.col(bit), F.pmod(F.xxhash64(*columns), F.lit(64)).cast("int")) == 1, F.lit(False))
-    return held.where(there if keep else ~there).drop(word, bit)
-
-
 def blocks(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes, so that scratch arrays stay small; a longer text is a range of its own."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) or pa.types.is_binary(texts.type) else np.int64)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.operators.sifting import without
 from verdigris.session import settle
 from verdigris.sinks.keyed import KeyedTable
 
@@ -14,16 +15,21 @@ RESET_TABLES = ("findings", "chunks", "attempts", "model_runs")
 
 def cascade_delete(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
     """Every table without the doomed reviews and their children. ``doomed``: review_id."""
-    ids = doomed.select("review_id").distinct()
-    return {
-        name: df.join(ids, "review_id", "left_anti") if "review_id" in df.columns else df for name, df in tables.items()
-    }
+    ids = settle(doomed.select("review_id").distinct(), "doomed-reviews")
+    return {name: without(df, ids, ["review_id"]) if "review_id" in df.columns else df for name, df in tables.items()}
 
 
 def reset_review(tables: dict[str, DataFrame], restarted: DataFrame) -> dict[str, DataFrame]:
     """Results of the restarted reviews are dropped; their events stay, so sequences go on."""
-    ids = restarted.select("review_id").distinct()
-    return {name: df.join(ids, "review_id", "left_anti") if name in RESET_TABLES else df for name, df in tables.items()}
+    ids = settle(restarted.select("review_id").distinct(), "restarted-reviews")
+    return {name: without(df, ids, ["review_id"]) if name in RESET_TABLES else df for name, df in tables.items()}
+
+
+def purge_outcome(users: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What happens to each of the wanted users: purged, or refused as ``protected`` (admins) or ``unknown``."""
+    return wanted.select("user_id").distinct().join(users.select("user_id", "role"), "user_id", "left").select(
+        "user_id", F.when(F.col("role").isNull(), "unknown").when(F.col("role") == "admin", "protected").otherwise("purged").alias("result")
+    )
 
 
 def purge_users(tables: dict[str, DataFrame], wanted: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -31,16 +37,13 @@ def purge_users(tables: dict[str, DataFrame], wanted: DataFrame) -> tuple[dict[s
 
     Admins and unknown users are refused. Tables: users, reviews, auth_sessions and any child tables.
     """
-    users = tables["users"].select("user_id", "role")
-    outcome = wanted.select("user_id").distinct().join(users, "user_id", "left").select(
-        "user_id", F.when(F.col("role").isNull(), "unknown").when(F.col("role") == "admin", "protected").otherwise("purged").alias("result")
-    )
+    outcome = settle(purge_outcome(tables["users"], wanted), "purge-outcome")
     gone = outcome.where("result = 'purged'").select("user_id")
     reviews = tables["reviews"].join(gone.withColumnRenamed("user_id", "owner_id"), "owner_id", "left_semi").select("review_id")
     left = cascade_delete(tables, reviews)
     for name in ("users", "auth_sessions"):
         if name in left:
-            left[name] = left[name].join(gone, "user_id", "left_anti")
+            left[name] = without(left[name], gone, ["user_id"])
     return left, outcome
 
 
@@ -60,8 +63,7 @@ def purge_users_from(tables: dict[str, KeyedTable], wanted: DataFrame) -> tuple[
     Reviews and their children are bucketed by review_id, users and sessions by user_id. Users go last, so that a job run again
     after a failure still knows whom it was to purge. Returns the buckets rewritten and what happened to each user.
     """
-    _, outcome = purge_users({"users": tables["users"].read(), "reviews": tables["reviews"].read()}, wanted)
-    outcome = settle(outcome, "purge-outcome")
+    outcome = settle(purge_outcome(tables["users"].read(), wanted), "purge-outcome")
     gone = outcome.where("result = 'purged'").select("user_id")
     owned = tables["reviews"].read().join(gone.withColumnRenamed("user_id", "owner_id"), "owner_id", "left_semi").select("review_id")
     doomed = settle(owned, "purge-reviews")

@@ -276,8 +276,7 @@ def _(t: Tables):
     + "SELECT w.user_id, CASE WHEN role IS NULL THEN 'unknown' WHEN role = 'admin' THEN 'protected' ELSE 'purged' END AS result FROM (SELECT user_id * 2 AS user_id FROM wanted) w LEFT JOIN users USING (user_id)",
 )
 def _(t: Tables):
-    _, outcome = governance.purge_users(review_tables(t), t.spans.select((F.col("supplier_id") * 6).alias("user_id")))
-    return outcome
+    return governance.purge_outcome(t.users, t.spans.select((F.col("supplier_id") * 6).alias("user_id")))
 
 
 @query(
