@@ -9,13 +9,19 @@ a second one that tries for the same version fails.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.operators.running import latest
+from verdigris.operators.sifting import without
+from verdigris.session import settle
+
+#: Changes of which so large a share are of different keys have little to cut before they are shuffled.
+DISTINCT = 0.9
 
 _LOG = "kind string, bucket int, load string, writer string, batch bigint"
 
@@ -73,16 +79,35 @@ class KeyedTable:
 
     # --- data
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
+
     def _write(self, rows: DataFrame, version: int) -> tuple[str, list[int]]:
         """A new load with these rows, and the buckets that it has."""
+        return self._write_dealt(rows.select(*self.schema.names).withColumn("bucket", self._bucket()).hint("rebalance", "bucket"), version)
+
+    def _write_dealt(self, rows: DataFrame, version: int) -> tuple[str, list[int]]:
+        """A new load with rows (and their ``bucket``) that lie so that few tasks hold rows of a bucket."""
         load = f"{version:012d}-{uuid.uuid4().hex}"
-        bucket = F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
-        held = rows.select(*self.schema.names).withColumn("bucket", bucket).hint("rebalance", "bucket")
         folder = f"{self.path}/data/load={load}"
-        held.write.partitionBy("bucket").parquet(folder)
+        rows.select(*self.schema.names, "bucket").write.partitionBy("bucket").parquet(folder)
         read = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(folder)
         return load, sorted(row["bucket"] for row in read.select("bucket").distinct().collect())
 
+    def _write_newest(self, changes: DataFrame, version: int) -> tuple[str, list[int]]:
+        """A new load with the newest of ``changes`` per key.
+
+        Mostly different keys are shuffled once, to slices of their buckets, and written from there. Where many rows are of the
+        same keys, these are first cut to one per task, as ``latest`` does, and what is left is shuffled to its buckets.
+        """
+        rows = changes.withColumn("load", F.lit(""))
+        n, keys = changes.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*self.keys), 0.01)).first()
+        if keys < DISTINCT * n:
+            return self._write(latest(rows, self.keys, self.order), version)
+        slices = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        dealt = rows.withColumns({"bucket": self._bucket(), "_slice": F.pmod(F.hash(*self.keys), F.lit(slices))}).repartition("bucket", "_slice")
+        return self._write_dealt(latest(dealt, ["bucket", "_slice", *self.keys], self.order), version)
+
     def _read(self, entries: list[Entry]) -> DataFrame:
         """All rows of some loads with their load and bucket."""
         schema = T.StructType([*self.schema.fields, T.StructField("load", T.StringType()), T.StructField("bucket", T.IntegerType())])
@@ -91,13 +116,20 @@ class KeyedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths)
 
+    def _newest(self, held: list[Entry]) -> tuple[DataFrame, DataFrame | None]:
+        """The newest row of every key in these loads: of buckets with one load as they lie, and of the others, if any, ranked.
+
+        No load has a key twice.
+        """
+        loads = Counter(one.bucket for one in held)
+        several = [one for one in held if loads[one.bucket] > 1]
+        ranked = latest(self._read(several), ["bucket", *self.keys], self.order) if several else None
+        return self._read([one for one in held if loads[one.bucket] == 1]), ranked
+
     def read(self, version: int | None = None) -> DataFrame:
-        """The newest row of every key. Buckets without deltas are read as they lie; only the others are ranked."""
-        held = [one for one in self.entries(version) if one.kind != "batch"]
-        open_ones = {one.bucket for one in held if one.kind == "delta"}
-        plain = self._read([one for one in held if one.bucket not in open_ones])
-        ranked = latest(self._read([one for one in held if one.bucket in open_ones]), ["bucket", *self.keys], self.order)
-        return plain.unionByName(ranked).select(*self.schema.names)
+        """The newest row of every key. Buckets of a single load are read as they lie; only the others are ranked."""
+        plain, ranked = self._newest([one for one in self.entries(version) if one.kind != "batch"])
+        return (plain.unionByName(ranked) if ranked else plain).select(*self.schema.names)
 
     # --- changes
 
@@ -107,8 +139,7 @@ class KeyedTable:
         done = max((one.batch for one in entries if one.kind == "batch" and one.writer == writer), default=-1)
         if batch is not None and batch <= done:
             return False
-        newest = latest(changes.withColumn("load", F.lit("")), self.keys, self.order)
-        load, touched = self._write(newest, version)
+        load, touched = self._write_newest(changes, version)
         entries = entries + [Entry("delta", bucket, load) for bucket in touched]
         if batch is not None:
             entries = [one for one in entries if one.kind != "batch" or one.writer != writer] + [Entry("batch", writer=writer, batch=batch)]
@@ -119,15 +150,17 @@ class KeyedTable:
         """Rows of the ``doomed`` keys (columns of ``bucket_by``, and more keys if wanted) go; returns the buckets rewritten."""
         version, entries = self._next()
         on = [key for key in self.keys if key in doomed.columns]
-        wanted = doomed.select(on).distinct()
-        bucket = F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int").alias("bucket")
+        wanted = settle(doomed.select(on).distinct(), "doomed-keys")
         known = {one.bucket for one in entries if one.kind != "batch"}
-        touched = known & {row["bucket"] for row in wanted.select(bucket).distinct().collect()}
+        touched = known & {row["bucket"] for row in wanted.select(self._bucket().alias("bucket")).distinct().collect()}
         if not touched:
             return []
-        held = [one for one in entries if one.bucket in touched]
-        left = latest(self._read(held), ["bucket", *self.keys], self.order).join(wanted, on, "left_anti")
-        load, kept = self._write(left, version)
+        plain, ranked = self._newest([one for one in entries if one.bucket in touched])
+        # Rows that lie in their buckets are written as they are read; what was ranked lies anywhere.
+        left = without(plain, wanted, on)
+        if ranked:
+            left = left.unionByName(without(ranked, wanted, on).hint("rebalance", "bucket"))
+        load, kept = self._write_dealt(left, version)
         self._commit(version, [one for one in entries if one.bucket not in touched] + [Entry("base", bucket, load) for bucket in kept])
         return sorted(touched)
 
