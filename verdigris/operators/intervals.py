@@ -196,11 +196,12 @@ def locate_evidence(drafts: DataFrame, files: DataFrame) -> DataFrame:
     tidy = lambda value: F.trim(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
     first_line_with = lambda text: F.array_position(F.transform("_range", lambda line: F.instr(line, text) > 0), True)
     in_range = (F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line")) & (F.col("end_line") <= F.col("_n"))
+    # Quotes are tidied before they meet their lines: above that join they would be tidied for every condition on them.
+    quoted = drafts.withColumn("_quote", quote).where("_quote <> ''").withColumn("_tight", squash_whitespace(F.col("_quote")))
     narrowed = (
-        with_lines(drafts, files, split_lines("content"), F.col("start_line"), F.col("end_line"), in_range)
+        with_lines(quoted, files, split_lines("content"), F.col("start_line"), F.col("end_line"), in_range)
         .withColumnRenamed("_lines", "_range")
-        .withColumn("_quote", quote)
-        .where((F.col("_quote") != "") & F.contains(squash_whitespace(F.array_join("_range", " ")), squash_whitespace(F.col("_quote"))))
+        .where(F.contains(squash_whitespace(F.array_join("_range", " ")), F.col("_tight")))
         .withColumns({"_first": tidy(F.element_at(pieces, 1)), "_last": tidy(F.element_at(pieces, -1))})
         .withColumns({"_whole_at": first_line_with(F.col("_quote")), "_breaks": F.size(F.split("_quote", "\n")) - 1})
     )
