@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import blocks, filled, lowered, mixed, slices, span_hashes, text_bytes, word_spans
 from verdigris.llm.elias_fano import Trie
-from verdigris.session import settle
+from verdigris.session import settle, settle_in_buckets
 
 #: Hashes of the end of a text, a token, and of its beginning, which is only a context.
 _END, _BEGIN = np.uint64(0x5A17), np.uint64(0xBE61)
@@ -245,7 +245,7 @@ def score(
     The share of each shard follows the corpus: more text, more shards. A context with over an eighth of a shard's share of
     all tokens is spread over all shards by its successors.
     """
-    read = settle(token_blocks(docs, key, held_out, text, tokens_per_block), "token-blocks")
+    read = settle_in_buckets(token_blocks(docs, key, held_out, text, tokens_per_block), "block", "token-blocks")
     totals = read.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("train_tokens"), F.sum("train_texts")).first()
     n_words, n_tokens, total, texts = (int(one or 0) for one in totals)
     shards = max(1, -(-n_words // entries_per_shard))
@@ -257,7 +257,9 @@ def score(
     kinds = counted.groupBy("shard").agg(F.max("distinct").alias("d")).agg(F.sum("d")).first()[0]
     distinct = int(kinds or 0) + (1 if texts else 0)
     by_block = counted.groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("counts"))
-    known = read.join(by_block, "block", "left").withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<shard:long,counts:binary>>")))
+    # Blocks lie in buckets, so that only what they have been answered is shuffled, here and below.
+    tokens = read.select("block", "ids", "held", "lengths", "words", "tokens")
+    known = tokens.join(by_block, "block", "left").withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<shard:long,counts:binary>>")))
     how = {"shards": shards, "pair_shards": pair_shards, "total": total, "texts": texts, "least": max(1, least_count)}
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
@@ -267,7 +269,7 @@ def score(
         table = np.asarray(trie.table, "<f8").tobytes()
         return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "codes": [_pack(one) for one in codes], "table": table})
 
-    answers = _pair_questions(known, **how).groupBy("shard").applyInPandas(answer, "block long, shard long, codes binary, table binary")
+    answers = _pair_questions(known.drop("ids"), **how).groupBy("shard").applyInPandas(answer, "block long, shard long, codes binary, table binary")
     answered = settle(answers, "pair-answers").groupBy("block").agg(F.collect_list(F.struct("shard", "codes", "table")).alias("answers"))
     none = F.array().cast("array<struct<shard:long,codes:binary,table:binary>>")
     joined = known.join(answered, "block", "left").withColumn("answers", F.coalesce("answers", none))

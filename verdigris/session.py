@@ -61,6 +61,20 @@ def settle(df: DataFrame, name: str = "stage", partition_by: str | None = None)
     return settled
 
 
+def settle_in_buckets(df: DataFrame, column: str, name: str = "stage") -> DataFrame:
+    """``settle`` in hash buckets of a column: joins by that column then read the table where it lies and shuffle the other side only.
+
+    The catalog knows the table no longer than it takes to read its layout; its files stay like those of ``settle``.
+    """
+    spark = df.sparkSession
+    table = f"settled_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, column).option("path", scratch_path(spark, name)).saveAsTable(table)
+    settled = spark.read.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return settled
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes settled tables that nothing reads any more: what was made of them has been settled itself."""
     for table in tables:
