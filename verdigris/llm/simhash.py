@@ -428,6 +428,12 @@ def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     share it bounds how much they differ. Texts that aren't connected yet meet one of each shingle's texts, then all others;
     only bounds that lose no link sort these out. What is left is read again and compared shingle by shingle.
     """
+    found, last, _ = _links_in_turn(texts, least, shingle)
+    return found.unionByName(last)
+
+
+def _links_in_turn(texts: DataFrame, least: float, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links of ``near_duplicates``: all but the last ones, the last ones, and the roots of what the former connect."""
     profiles = settle(_profiles(texts, shingle, least, _common(texts, shingle)).withColumn("id", F.xxhash64("node")), "text-profiles")
     each = profiles.select("id", F.col("shingles").alias("n"), F.col("fingerprint").alias("f"), F.explode("passages").alias("passage"))
     shared = settle(
@@ -474,10 +480,14 @@ def near_duplicates(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     sharers = _sharers(profiles, least)
     some = _within(profiles, _apart(sharers, roots, least, centres=True), least)
     second = _alike(rest.unionByName(some).distinct(), texts, least, shingle)
-    found = first.unionByName(second)
-    roots = settle(components(found), "near-roots")
+    roots = settle(components(_stars(roots).unionByName(second)), "near-roots")
     others = _within(profiles, _apart(sharers, roots, least, centres=False), least)
-    return found.unionByName(_alike(others, texts, least, shingle))
+    return first.unionByName(second), _alike(others, texts, least, shingle), roots
+
+
+def _stars(roots: DataFrame) -> DataFrame:
+    """An edge from each node to its root, which connects what the edges behind the roots did."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
@@ -529,7 +539,8 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     several = sift(once, copied, ["node"])
     alone = sift(once, copied, ["node"], keep=False)
     texts = alone.unionByName(several.groupBy("node").agg(F.first("said").alias("said")))
-    linked = components(near_duplicates(texts, least, shingle))
+    _, last, roots = _links_in_turn(texts, least, shingle)
+    linked = components(_stars(roots).unionByName(last))
     members = linked.join(nodes.select(F.col(node).alias("node"), F.col(low).alias("low")), "node")
     winners = members.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("w"))
     losers = members.join(winners, "root").where("node <> w.node").select(F.col("node").alias(node), F.lit(True).alias(lost))
