@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
+#: Values whose bits are spread out at a time, a multiple of eight.
+_PART = 1 << 16
 
 
 class EliasFano:
@@ -30,10 +32,14 @@ class EliasFano:
         high = np.packbits(bits, bitorder="little").view("<u8")
         low = np.zeros(0, np.uint8)
         if low_bits:
-            columns = np.empty((n, low_bits), np.uint8)
-            for bit in range(low_bits):
-                columns[:, bit] = (values >> np.uint64(bit)).astype(np.uint8) & 1
-            low = np.packbits(columns.ravel(), bitorder="little")
+            packed = []
+            for at in range(0, n, _PART):  # a multiple of eight values fills whole bytes
+                part = values[at : at + _PART]
+                columns = np.empty((len(part), low_bits), np.uint8)
+                for bit in range(low_bits):
+                    columns[:, bit] = (part >> np.uint64(bit)).astype(np.uint8) & 1
+                packed.append(np.packbits(columns.ravel(), bitorder="little"))
+            low = np.concatenate([low, *packed])
         low = np.concatenate([low, np.zeros(16, np.uint8)])
         return cls(n, low_bits, low, high, cls._zero_ranks(high))
 

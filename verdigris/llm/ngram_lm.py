@@ -206,26 +206,41 @@ def _pair_questions(rows: DataFrame, **how: int) -> DataFrame:
     return rows.mapInArrow(run, "block long, shard long, contexts binary, context_counts binary, successors binary, words binary, trained binary")
 
 
-def _shard_trie(frame: pd.DataFrame, prior: float, share: float) -> tuple[Trie, list[tuple[np.ndarray, np.ndarray]]]:
-    """The trie of a shard's training pairs, and each block's pairs."""
-    asked, contexts, words, trained, totals = [], [], [], [], []
+def _pairs_of(one) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and words of the pairs that a block asks a shard."""
+    return np.repeat(_unpack(one.contexts, "<u8"), _unpack(one.successors, "<u4")), _unpack(one.words, "<u4")
+
+
+def _shard_trie(frame: pd.DataFrame, prior: float, share: float) -> Trie:
+    """The trie of a shard's training pairs. Questions stay packed but for one block's, and a context's count is kept once."""
+    contexts, words, trained, heads, totals = [], [], [], [], []
     for one in frame.itertuples():
-        successors = _unpack(one.successors, "<u4")
-        context = np.repeat(_unpack(one.contexts, "<u8"), successors)
-        word, n = _unpack(one.words, "<u4"), _unpack(one.trained, "<u4")
-        asked.append((context, word))
+        context, word = _pairs_of(one)
+        n = _unpack(one.trained, "<u4")
         known = n > 0
         contexts.append(context[known])
         words.append(word[known])
-        trained.append(n[known].astype(np.int64))
-        totals.append(np.repeat(_unpack(one.context_counts, "<i8"), successors)[known])
-    context, word = np.concatenate(contexts), np.concatenate(words)
+        trained.append(n[known])
+        heads.append(_unpack(one.contexts, "<u8"))
+        totals.append(_unpack(one.context_counts, "<i8"))
+    head, first = np.unique(np.concatenate(heads), return_index=True)
+    total = np.concatenate(totals)[first]
+    del heads, totals, first
+    context, word, n = _joined(contexts), _joined(words), _joined(trained)
     order = np.lexsort((word, context))
-    context, word = context[order], word[order]
-    n, total = np.concatenate(trained)[order], np.concatenate(totals)[order]
+    context, word, n = context[order], word[order], n[order]
+    del order
     new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(context) else np.zeros(0, np.int64)
-    counts = np.add.reduceat(n, new) if len(new) else n
-    return Trie.of(context[new], word[new], np.log10(counts / (total[new] * (1 + share) + prior))), asked
+    counts = np.add.reduceat(n, new, dtype=np.int64) if len(new) else n
+    context, word = context[new], word[new]
+    return Trie.of(context, word, np.log10(counts / (total[np.searchsorted(head, context)] * (1 + share) + prior)))
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; the list is emptied."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
 
 
 def score(
@@ -263,11 +278,10 @@ def score(
     how = {"shards": shards, "pair_shards": pair_shards, "total": total, "texts": texts, "least": max(1, least_count)}
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        trie, asked = _shard_trie(frame, prior, share)
-        trie = Trie.open(trie.to_bytes())
-        codes = [trie.codes_of(context, word) for context, word in asked]
+        trie = Trie.open(_shard_trie(frame, prior, share).to_bytes())
+        codes = [_pack(trie.codes_of(*_pairs_of(one))) for one in frame.itertuples()]
         table = np.asarray(trie.table, "<f8").tobytes()
-        return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "codes": [_pack(one) for one in codes], "table": table})
+        return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "codes": codes, "table": table})
 
     answers = _pair_questions(known.drop("ids"), **how).groupBy("shard").applyInPandas(answer, "block long, shard long, codes binary, table binary")
     answered = settle(answers, "pair-answers").groupBy("block").agg(F.collect_list(F.struct("shard", "codes", "table")).alias("answers"))
