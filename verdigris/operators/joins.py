@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from verdigris.functions.arrow import similarity
+from verdigris.functions.arrow import most_similar, similarity
 from verdigris.functions.text import glob_to_regex, normalize_evidence
 from verdigris.operators.running import earliest, first_n
 from verdigris.session import settle
@@ -19,6 +22,10 @@ MAX_SIMILAR = 8
 # Ratios that are asked for first; a name with eight of them needs no others.
 SIMILARITY_ROUNDS = (0.9, 0.75)
 CONTEXT_RANKS = {"callee": 10, "caller": 20, "override": 5}
+#: Pairs of names of a scope that are compared within one row; scopes with more meet by joins.
+SCOPE_PAIRS = 1 << 22
+#: Rows of similar names that a task holds before it hands them on.
+SIMILAR_ROWS = 10_000
 RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
 INCLUDE = r'(?m)^\s*#\s*include\s*"([^"]+)"'
 
@@ -231,11 +238,55 @@ def character_pairs(wanted: DataFrame, visible: DataFrame, scope: list[str], min
 def similar_names(wanted: DataFrame, visible: DataFrame, scope: list[str], minimum: float = MIN_SIMILARITY) -> DataFrame:
     """Visible names similar to an unresolved one, best eight per name.
 
+    A scope of few pairs, as a file is, is compared as a whole within one row. The names of larger ones meet by joins.
+    """
+    names, candidates = [*scope, "name"], [*scope, "candidate"]
+    wanted = settle(wanted.select(names).where("name <> ''").distinct(), "wanted-names")
+    visible = settle(visible.select(candidates).where("candidate <> ''").distinct(), "visible-names")
+    size = lambda df, side: df.groupBy(*scope).agg(F.count(F.lit(1)).alias(side))
+    pairs = F.col("_names").cast("double") * F.col("_candidates")
+    large = settle(size(wanted, "_names").join(size(visible, "_candidates"), scope).where(pairs > SCOPE_PAIRS).select(scope), "large-scopes")
+    if large.isEmpty():
+        return _similar_in_scopes(wanted, visible, scope, minimum)
+    few = _similar_in_scopes(wanted.join(large, scope, "left_anti"), visible.join(large, scope, "left_anti"), scope, minimum)
+    many = _similar_by_rounds(wanted.join(large, scope, "left_semi"), visible.join(large, scope, "left_semi"), scope, minimum)
+    return few.unionByName(many.select(few.columns))
+
+
+def _similar_in_scopes(wanted: DataFrame, visible: DataFrame, scope: list[str], minimum: float) -> DataFrame:
+    """``similar_names`` of distinct names, where those of a scope fit in a row."""
+    listed = wanted.groupBy(*scope).agg(F.collect_list("name").alias("_names"))
+    held = listed.join(visible.groupBy(*scope).agg(F.collect_list("candidate").alias("_candidates")), scope)
+    held = held.select(*scope, "_names", "_candidates")
+    kinds = T.StructType([held.schema[name] for name in scope])
+    schema = kinds.add("name", T.StringType()).add("candidate", T.StringType()).add("ratio", T.DoubleType()).add("position", T.IntegerType())
+    return held.mapInArrow(partial(_similar_of_batches, minimum=minimum, most=MAX_SIMILAR), schema)
+
+
+def _similar_of_batches(batches: Iterator[pa.RecordBatch], minimum: float, most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        *keys, names, candidates = batch.columns
+        begin = 0
+        while begin < batch.num_rows:
+            rows, of = [], []
+            while begin < batch.num_rows and len(rows) < SIMILAR_ROWS:
+                found = list(most_similar(names[begin].as_py(), candidates[begin].as_py(), minimum, most))
+                rows.extend(found)
+                of.extend([begin] * len(found))
+                begin += 1
+            if rows:
+                values = [pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.float64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(key.take(pa.array(of)) for key in keys), *values], [*batch.schema.names[:-2], "name", "candidate", "ratio", "position"])
+
+
+def _similar_by_rounds(wanted: DataFrame, visible: DataFrame, scope: list[str], minimum: float) -> DataFrame:
+    """``similar_names`` of distinct names by joins.
+
     A top-k join with a falling threshold: all pairs of a high ratio are found first, and a name that has eight of them is
     done, since none of the others can be among its best. The next round asks for less, but only for the names still open.
     """
     names = [*scope, "name"]
-    open_names = settle(wanted.select(names).distinct(), "open-names")
+    open_names = settle(wanted, "open-names")
     order = Window.partitionBy(*names).orderBy(F.desc("ratio"), "candidate")
     found = None
     for least in (*(one for one in SIMILARITY_ROUNDS if one > minimum), minimum):
