@@ -25,6 +25,11 @@ EXACT_PAIRS = 1 << 16
 _SEG = ["file_id", "seg"]
 
 
+def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting: numbers of lines take so little room in files that Spark would send whole tables of them to every task."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def lines_of(files: DataFrame) -> DataFrame:
     """``file_id``, ``seg`` 0, ``line`` from 1 and ``mark`` of every line of ``content``; a null content has no lines."""
     each = files.select("file_id", F.posexplode(split_lines(F.coalesce("content", F.lit("")))).alias("at", "text"))
@@ -56,18 +61,18 @@ def _segments(old: DataFrame, new: DataFrame) -> DataFrame:
     def sides(lines: DataFrame, side: str) -> DataFrame:
         return lines.groupBy(*_SEG).agg(F.min("line").alias(f"{side}_first"), F.count(F.lit(1)).alias(f"{side}_n"))
 
-    segments = settle(sides(old, "old").join(sides(new, "new"), _SEG), "diff-segments")
+    segments = settle(_join(sides(old, "old"), sides(new, "new"), _SEG), "diff-segments")
     shorter = F.least("old_n", "new_n")
 
     def agreeing(name: str, place: str, limit) -> DataFrame:
         """Per segment how many lines from its beginning or end on agree, at most ``limit``."""
         at = {side: F.col("line") - F.col(f"{side}_first") if place == "head" else F.col(f"{side}_first") + F.col(f"{side}_n") - 1 - F.col("line") for side in ("old", "new")}
-        left = old.join(segments, _SEG).select(*_SEG, at["old"].alias("at"), "mark")
-        right = new.join(segments, _SEG).select(*_SEG, at["new"].alias("at"), F.col("mark").alias("other"))
-        first = left.join(right, [*_SEG, "at"]).where("mark <> other").groupBy(*_SEG).agg(F.min("at").alias("differs"))
-        return segments.join(first, _SEG, "left").select(*_SEG, F.least(F.coalesce("differs", limit), limit).alias(name))
+        left = _join(old, segments, _SEG).select(*_SEG, at["old"].alias("at"), "mark")
+        right = _join(new, segments, _SEG).select(*_SEG, at["new"].alias("at"), F.col("mark").alias("other"))
+        first = _join(left, right, [*_SEG, "at"]).where("mark <> other").groupBy(*_SEG).agg(F.min("at").alias("differs"))
+        return _join(segments, first, _SEG, "left").select(*_SEG, F.least(F.coalesce("differs", limit), limit).alias(name))
 
-    ends = segments.join(agreeing("head", "head", shorter), _SEG).join(agreeing("tail", "tail", shorter), _SEG)
+    ends = _join(_join(segments, agreeing("head", "head", shorter), _SEG), agreeing("tail", "tail", shorter), _SEG)
     return settle(ends.withColumn("tail", F.least("tail", shorter - F.col("head"))), "diff-segments")
 
 
@@ -84,14 +89,14 @@ def _ends(segments: DataFrame) -> DataFrame:
 def _inner(lines: DataFrame, segments: DataFrame, side: str) -> DataFrame:
     begin = F.col(f"{side}_first") + F.col("head")
     end = F.col(f"{side}_first") + F.col(f"{side}_n") - F.col("tail")
-    return lines.join(segments, _SEG).where((F.col("line") >= begin) & (F.col("line") < end)).select(*lines.columns)
+    return _join(lines, segments, _SEG).where((F.col("line") >= begin) & (F.col("line") < end)).select(*lines.columns)
 
 
 def _recut(lines: DataFrame, anchors: DataFrame, line: str) -> DataFrame:
     """The lines between the anchors of their segment; the anchor before them names the part."""
     held = anchors.select(*_SEG, F.col(line).alias("line"), F.col("old_line").alias("anchor"))
     so_far = Window.partitionBy(*_SEG).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.join(anchors.select(*_SEG).distinct(), _SEG, "left_semi").join(held, [*_SEG, "line"], "left")
+    marked = _join(_join(lines, anchors.select(*_SEG).distinct(), _SEG, "left_semi"), held, [*_SEG, "line"], "left")
     named = marked.withColumn("part", F.coalesce(F.last("anchor", ignorenulls=True).over(so_far), F.col("seg")))
     return named.where("anchor is null").select("file_id", F.col("part").alias("seg"), "line", "mark")
 
@@ -110,7 +115,7 @@ def matched_lines(old: DataFrame, new: DataFrame, exact_pairs: int = EXACT_PAIRS
         found = _ends(segments) if found is None else found.unionByName(_ends(segments))
         old, new = settle(_inner(old, segments, "old"), "diff-lines"), settle(_inner(new, segments, "new"), "diff-lines")
         mark = [*_SEG, "mark"]
-        counts = old.groupBy(*mark).agg(F.count(F.lit(1)).alias("olds")).join(new.groupBy(*mark).agg(F.count(F.lit(1)).alias("news")), mark)
+        counts = _join(old.groupBy(*mark).agg(F.count(F.lit(1)).alias("olds")), new.groupBy(*mark).agg(F.count(F.lit(1)).alias("news")), mark)
         counts = settle(counts.withColumn("once", (F.col("olds") == 1) & (F.col("news") == 1)), "diff-counts")
         kinds = counts.groupBy(*_SEG).agg(F.sum(F.col("olds").cast("double") * F.col("news")).alias("pairs"), F.max("once").alias("anchored"))
         kind = F.when(F.col("pairs") <= exact_pairs, "every").when(F.col("anchored"), "once").otherwise("nth")
@@ -119,21 +124,21 @@ def matched_lines(old: DataFrame, new: DataFrame, exact_pairs: int = EXACT_PAIRS
 
         def sides(which: DataFrame, keys: list[str]) -> list[DataFrame]:
             occurrence = F.row_number().over(Window.partitionBy(*mark).orderBy("line"))
-            chosen = [lines.join(which, keys, "left_semi").select(*mark, F.col("line").alias(name)) for lines, name in ((old, "old_line"), (new, "new_line"))]
+            chosen = [_join(lines, which, keys, "left_semi").select(*mark, F.col("line").alias(name)) for lines, name in ((old, "old_line"), (new, "new_line"))]
             return [one.withColumnRenamed(name, "line").withColumn("nth", occurrence).withColumnRenamed("line", name) for one, name in zip(chosen, ("old_line", "new_line"), strict=True)]
 
         def paired(which: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
             left, right = sides(which, keys)
-            return left.join(right.drop("nth") if "nth" not in on else right, on).select(*_SEG, "old_line", "new_line")
+            return _join(left, right.drop("nth") if "nth" not in on else right, on).select(*_SEG, "old_line", "new_line")
 
-        single = counts.where("once").join(once, _SEG, "left_semi").select(*mark)
+        single = _join(counts.where("once"), once, _SEG, "left_semi").select(*mark)
         pairs = paired(every, _SEG, mark).unionByName(paired(single, mark, mark)).unionByName(paired(nth, _SEG, [*mark, "nth"]))
         chains = pairs.groupBy(*_SEG).applyInPandas(_longest_chain, pairs.schema)
         chains = settle(chains, "diff-chains")
         found = found.unionByName(chains.select("file_id", "old_line", "new_line"))
         if once.isEmpty():
             return found
-        anchors = chains.join(once, _SEG, "left_semi")
+        anchors = _join(chains, once, _SEG, "left_semi")
         old, new = settle(_recut(old, anchors, "old_line"), "diff-lines"), settle(_recut(new, anchors, "new_line"), "diff-lines")
 
 
@@ -147,14 +152,15 @@ def revision_line_changes(old: DataFrame, new: DataFrame, exact_pairs: int = EXA
     before, after = settle(lines_of(old), "diff-lines"), settle(lines_of(new), "diff-lines")
     matched = settle(matched_lines(before, after, exact_pairs), "diff-matches")
     numbers = lambda lines, name: lines.select("file_id", F.col("line").alias(name))
-    added = numbers(after, "new_line").join(matched, ["file_id", "new_line"], "left_anti").select("file_id", F.col("new_line").alias("start_line"))
+    added = _join(numbers(after, "new_line"), matched, ["file_id", "new_line"], "left_anti").select("file_id", F.col("new_line").alias("start_line"))
     so_far = Window.partitionBy("file_id").orderBy("old_line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     length = new.select("file_id", F.size(split_lines(F.coalesce("content", F.lit("")))).alias("_lines"))
-    removed = (
-        numbers(before, "old_line").join(matched, ["file_id", "old_line"], "left")
+    lost = (
+        _join(numbers(before, "old_line"), matched, ["file_id", "old_line"], "left")
         .withColumn("_last", F.last("new_line", ignorenulls=True).over(so_far))
         .where(F.col("new_line").isNull())
-        .join(length, "file_id")
-        .select("file_id", F.least(F.coalesce("_last", F.lit(0)) + 1, F.greatest(F.lit(1), F.col("_lines"))).alias("start_line"))
+    )
+    removed = _join(lost, length, "file_id").select(
+        "file_id", F.least(F.coalesce("_last", F.lit(0)) + 1, F.greatest(F.lit(1), F.col("_lines"))).alias("start_line")
     )
     return merge_ranges(added.unionByName(removed).withColumn("end_line", F.col("start_line")), ["file_id"])
