@@ -75,15 +75,20 @@ class InOrder(StatefulProcessor):
     #: Whether rows wait for the watermark, and whether there are timers at all.
     waits = False
     timed = False
+    #: Whether a key has moments of its own to wake up at, see ``due``.
+    expires = False
     slot_millis = 60_000
     block_rows = 256
     frame_rows = 10_000
+    #: The moment of the first row that was left waiting, of those that the current call has seen.
+    earliest: int | None = None
 
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
         self.blocks = handle.getMapState("blocks", "at bigint, sequence bigint, copy bigint", "rows string")
         self.released = handle.getValueState("released", "slot bigint")
+        self.timer = handle.getValueState("timer", "at bigint")
 
     def apply(self, state: tuple | None, row: dict) -> tuple[tuple | None, list[tuple]]:
         raise NotImplementedError
@@ -96,6 +101,7 @@ class InOrder(StatefulProcessor):
         return state, []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self.earliest = None
         first, second = next(rows), None if self.waits else next(rows, None)
         if not self.waits and second is None:
             yield from self._apply(key, sorted(_records(first), key=_moment))
@@ -105,22 +111,27 @@ class InOrder(StatefulProcessor):
                 yield from self._put(key, chunk, released[0] * 1000 * self.slot_millis if released else None)
             if not self.waits:
                 yield from self._apply(key, self._waiting(None))
-        self._wake()
+        if self.waits:  # what waited before has set the timer already, and rows that wait change no state
+            self._wake([self._known_timer(), self._slot_end()])
+        elif self.timed:
+            self._wake([self.due(self.state.get())])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.earliest = None
         watermark = timerValues.getCurrentWatermarkInMs()
         if self.waits:
             end = watermark // self.slot_millis
             yield from self._apply(key, self._waiting(end * 1000 * self.slot_millis))
             self.released.update((end,))
-        if self.timed:
+        if self.expires:
             state = self.state.get()
             due = self.due(state)
             if due is not None and due <= watermark:
                 state, out = self.expire(state)
                 self._keep(state)
                 yield self.frame(key, out)
-        self._wake()
+        due = self.due(self.state.get()) if self.expires else None
+        self._wake([self._slot_end(), due], expiredTimerInfo.getExpiryTimeInMs())
 
     def _apply(self, key, rows: Iterable[dict]) -> Iterator[pd.DataFrame]:
         state = self.state.get()
@@ -145,6 +156,8 @@ class InOrder(StatefulProcessor):
 
     def _hold(self, rows: list[dict], size: int) -> None:
         """Keeps rows, which are in event order, as blocks of that size."""
+        if rows:
+            self._left(rows[0]["at"])
         for start in range(0, len(rows), size):
             block = rows[start : start + size]
             place = (*_moment(block[0]), 0)
@@ -161,6 +174,7 @@ class InOrder(StatefulProcessor):
         opened: list[tuple] = []
         for number, place in enumerate(sorted(tuple(one) for one in self.blocks.keys())):
             if end is not None and place[0] >= end:
+                self._left(place[0])
                 break
             while opened and opened[0][0] < place[:2]:
                 yield heappop(opened)[-1]
@@ -179,18 +193,29 @@ class InOrder(StatefulProcessor):
         else:
             self.state.update(state)
 
-    def _wake(self) -> None:
-        if not self.timed:
+    def _left(self, at: int) -> None:
+        self.earliest = at if self.earliest is None else min(self.earliest, at)
+
+    def _slot_end(self) -> int | None:
+        """The watermark (milliseconds) that releases the first row left waiting."""
+        return None if self.earliest is None else (int(self.earliest) // (1000 * self.slot_millis) + 1) * self.slot_millis
+
+    def _known_timer(self) -> int | None:
+        held = self.timer.get()
+        return held[0] if held else None
+
+    def _wake(self, moments: list[int | None], fired: int | None = None) -> None:
+        """Sets the key's one timer to the first of the moments. It is kept as a number, since lists of timers and blocks cost more calls."""
+        wanted, known = min((one for one in moments if one is not None), default=None), self._known_timer()
+        if wanted == known and known != fired:
             return
-        slots = [(one[0] // (1000 * self.slot_millis) + 1) * self.slot_millis for one in self.blocks.keys()] if self.waits else []
-        due = self.due(self.state.get())
-        wanted = min([*slots, *([] if due is None else [due])], default=None)
-        timers = [timer if isinstance(timer, int) else timer[0] for timer in self.handle.listTimers()]
-        for timer in timers:
-            if timer != wanted:
-                self.handle.deleteTimer(timer)
-        if wanted is not None and wanted not in timers:
+        if known is not None and known != fired:
+            self.handle.deleteTimer(known)
+        if wanted is None:
+            self.timer.clear()
+        else:
             self.handle.registerTimer(wanted)
+            self.timer.update((wanted,))
 
     def frame(self, key, out: list[tuple], late: bool = False) -> pd.DataFrame:
         names = self.output_names
@@ -255,6 +280,7 @@ class Deadlines(InOrder):
 
     state_schema = "sequence bigint, deadline bigint"
     output_names = ["review_id", "sequence", "expired_at"]
+    expires = True
 
     def __init__(self, seconds: int, restart: bool = False) -> None:
         self.micros = seconds * 1_000_000
